@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.frames import current_files, table
-from cairn.llm import docpairs, residue, tokens, vectors
+from cairn.functions.paths import repository
+from cairn.llm import docpairs, parsing, residue, tokens, vectors
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +23,7 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    files = current_files(table(spark, d, "files", "file_id", "path", "lang", "indexed_at", "is_test")).select("file_id", "path", "lang")
+    files = _current(spark, d)
     symbols = table(spark, d, "symbols", "symbol_id", "file_id", "name", "kind", "start_line", "signature", "doc_comment")
     return docpairs.doc_pairs(symbols, files, table(spark, d, "sources", "path", "content"))
 
@@ -35,6 +36,39 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("symbol_id", "lang", "code", "doc")
 
 
+def _current(spark: SparkSession, d: str) -> DataFrame:
+    files = current_files(table(spark, d, "files", "file_id", "path", "lang", "indexed_at", "is_test"))
+    return files.select("file_id", "path", "lang")
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    """file_id, valid, error_line, error_token; a text delivered twice is read twice and counted once."""
+    files = _current(spark, d)
+    sources = table(spark, d, "sources", "path", "content").where("content is not null").withColumnRenamed("path", "p")
+    texts = sources.join(files, F.col("p") == F.col("path")).select("file_id", "lang", "content")
+    return parsing.check_files(texts)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d).where("not valid").select("file_id").distinct()
+
+
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """The verdict on each file with its first error."""
+    return _checked(spark, d).distinct()
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid files per repository and language, beside what the indexing runs complained about."""
+    verdict = _checked(spark, d).groupBy(F.col("file_id").alias("vid")).agg(F.min("valid").alias("valid"))
+    hints = table(spark, d, "index_errors", "path").where("path is not null").distinct().select(F.col("path").alias("hp"))
+    files = _current(spark, d).join(hints, F.col("path") == F.col("hp"), "left")
+    rows = files.join(verdict, F.col("file_id") == F.col("vid")).select(
+        repository(F.col("path")).alias("repo"), "lang", "valid", F.col("hp").isNotNull().alias("hinted")
+    )
+    return parsing.error_rates(rows)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", tokens.token_ids("text").alias("ids"))
 
@@ -54,6 +88,9 @@ QUERIES = {
     "p5_nearest": p5_nearest,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p7_found": p7_found,
+    "p7_files": p7_files,
+    "p7_rates": p7_rates,
     "p8_ids": p8_ids,
     "p10_found": p10_found,
     "p10_rest": p10_rest,

@@ -7,7 +7,32 @@ from pyspark.sql import functions as F
 
 from cairn.frames import current_files, table
 from cairn.functions.paths import repository
-from cairn.llm import docpairs, parsing, residue, tokens, vectors
+from cairn.llm import docpairs, parsing, provenance, residue, tokens, vectors
+
+
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    return provenance.judge(table(spark, d, "sources", "path", "content"), table(spark, d, "known_libraries", "file_hash"))
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    judged, _ = _judged(spark, d)
+    return judged.where(F.size("kinds") > 0).select("path", "kinds").join(_current(spark, d), "path").select("file_id", "kinds")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d).select("file_id").distinct()
+
+
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """What each file is that was not written by hand where it lies."""
+    return _kinds(spark, d)
+
+
+def p1_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out precision and recall of each classifier, against the labels of repositories it wasn't fitted on."""
+    _, report = _judged(spark, d)
+    rows = [(h, float(r["precision"]), float(r["recall"]), int(r["n"])) for h, r in report.items()]
+    return spark.createDataFrame(rows, "head string, precision double, recall double, n_held_out long")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +109,9 @@ def p10_rest(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_kinds": p1_kinds,
+    "p1_validation": p1_validation,
     "p5_found": p5_found,
     "p5_nearest": p5_nearest,
     "p6_found": p6_found,

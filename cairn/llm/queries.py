@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.frames import current_files, table
 from cairn.functions.paths import repository
-from cairn.llm import docpairs, parsing, provenance, residue, tokens, vectors
+from cairn.llm import docpairs, mixing, parsing, provenance, residue, tokens, vectors
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
@@ -98,6 +98,23 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", tokens.token_ids("text").alias("ids"))
 
 
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    docs = table(spark, d, "documents", "doc_id", "text", "source", "lang", "doc_kind").withColumnRenamed("doc_kind", "topic")
+    return mixing.Mixture(docs, table(spark, d, "mix_targets", "source", "weight", "max_repeats"))
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).selection()
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).report()
+
+
+def p9_marginals(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).marginals()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents", "doc_id", "text")).select(F.col("id").alias("doc_id"))
 
@@ -120,6 +137,9 @@ QUERIES = {
     "p7_files": p7_files,
     "p7_rates": p7_rates,
     "p8_ids": p8_ids,
+    "p9_selection": p9_selection,
+    "p9_report": p9_report,
+    "p9_marginals": p9_marginals,
     "p10_found": p10_found,
     "p10_rest": p10_rest,
 }

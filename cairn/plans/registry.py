@@ -1,8 +1,8 @@
 """All queries of the core and their SQL, by name."""
 
-from cairn.plans import data_queries
+from cairn.plans import code_queries, data_queries
 
-_MODULES = [data_queries]
+_MODULES = [data_queries, code_queries]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

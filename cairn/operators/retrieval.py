@@ -17,7 +17,10 @@ def words(text: Column) -> Column:
 
 def postings(symbols: DataFrame) -> DataFrame:
     """term, symbol_id, f (occurrences weighted by column)."""
-    parts = [F.transform(words(F.col(c)), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in WEIGHTS.items()]
+    def weighed(column: str, weight: float) -> Column:
+        return F.transform(words(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    parts = [weighed(c, w) for c, w in WEIGHTS.items()]
     rows = symbols.select("symbol_id", F.explode(F.concat(*parts)).alias("p"))
     return rows.groupBy(F.col("p.term").alias("term"), "symbol_id").agg(F.sum("p.w").alias("f"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions.paths import base_name, extension, normalize_path, parent_dir, path_ancestors
 from cairn.operators import graph, relational, resolution, retrieval
 from cairn.operators.relational import Index
+from cairn.plans import code_sql
 
 
 def _on_index(fn):
@@ -171,4 +172,4 @@ QUERIES = {
     "outline_depth": _on_index(outline),
     "asset_users": _on_index(asset_users),
 }
-ORACLES: dict[str, str] = {}
+ORACLES = code_sql.ORACLES

@@ -16,7 +16,7 @@ decorated: 'def' fdef | 'class' cdef | 'async' 'def' fdef
 simple: small ( ';' [ small ] )* NL
 small: 'pass' | 'break' | 'continue' | 'return' [ exprs ] | 'raise' [ expr [ 'from' expr ] ] | 'global' NAME ( ',' NAME )* | 'nonlocal' NAME ( ',' NAME )*
   | 'del' exprs | 'assert' expr [ ',' expr ] | 'import' dotted_as ( ',' dotted_as )* | 'from' ( ( '.' | '...' )+ [ dotted ] | dotted ) 'import' ( STAR | '(' names ')' | name_as ( ',' name_as )* )
-  | exprs [ ':' expr ] ( ASSIGN ( 'yield' yrest | exprs ) )* | 'yield' yrest
+  | exprs [ ':' expr ] ( ASSIGN ( 'yield' [ yrest ] | exprs ) )* | 'yield' [ yrest ]
 yrest: 'from' expr | exprs
 names: name_as ( ',' [ name_as ] )*
 name_as: NAME [ 'as' NAME ]
@@ -43,7 +43,7 @@ lparam: ( STAR [ NAME ] | '**' NAME | '/' | NAME ) [ ASSIGN expr ]
 ors: operand ( bin operand )*
 bin: BIN | SIGN | STAR | '**' | '/' | 'and' | 'or' | 'is' [ 'not' ] | 'in' | 'not' 'in'
 operand: ( 'not' | PRE | SIGN | 'await' )* atom ( '.' NAME | '(' [ args ] ')' | '[' subs ']' )*
-atom: NAME | NUM | STR+ | '...' | 'None' | 'True' | 'False' | '(' [ inner | 'yield' yrest ] ')' | '[' [ inner ] ']' | '{' [ entries ] '}'
+atom: NAME | NUM | STR+ | '...' | 'None' | 'True' | 'False' | '(' [ inner | 'yield' [ yrest ] ] ')' | '[' [ inner ] ']' | '{' [ entries ] '}'
 inner: star ( comp | ( ',' [ star ] )* )
 comp: [ 'async' ] 'for' exprs_in 'in' ors ( 'if' ors | [ 'async' ] 'for' exprs_in 'in' ors )*
 exprs_in: tgt ( ',' [ tgt ] )*
@@ -115,7 +115,7 @@ arg: NL | LABEL [ expr ] | value [ ASSIGN expr | ':' expr ]
 """
 
 GO = r"""
-file: ';'* 'package' NAME ';'+ ( 'import' ( imp | '(' ( imp ';' | ';' )* ')' ) ( ';' )+ )* ( top ( ';' )+ )* EOF
+file: ';'* ( EOF | 'package' NAME ';'+ ( 'import' ( imp | '(' ( imp ';' | ';' )* ')' ) ( ';' )+ )* ( top ( ';' )+ )* EOF )
 imp: [ NAME | '.' ] STR
 top: 'func' ( NAME [ tparams ] | '(' [ params ] ')' NAME ) sig [ block ] | 'type' ( tspec | '(' ( tspec ';' | ';' )* ')' ) | 'var' ( vspec | '(' ( vspec ';' | ';' )* ')' ) | 'const' ( vspec | '(' ( vspec ';' | ';' )* ')' )
 tspec: NAME [ ASSIGN ] ( type | '[' [ NAME ( ( ',' NAME )* type ( ',' NAME+ type )* ']' | ']' ) | ']' | NUM ']' ] type )
@@ -157,8 +157,7 @@ slice: ':' [ expr ] [ ':' expr ] | expr ( ':' [ expr ] [ ':' expr ] | ( ',' type
 RUST = r"""
 file: ( item )* EOF
 attr: '#' [ '!' ] '[' ( tok )* ']'
-tok: NAME | NUM | STR | ASSIGN | ',' | '(' ( tok )* ')' | '[' ( tok )* ']' | '{' ( tok )* '}' | BIN | SIGN | '::' | ':' | ';' | '!' | '.' | '&' | '<' | '>' | STAR | '=>' | '#' | '$' | '|' | LIFE | '->' | '?' | '@' | KEY | '..' | '..='
-KEYS: KEY
+tok: NAME | NUM | STR | ASSIGN | ',' | '(' ( tok )* ')' | '[' ( tok )* ']' | '{' ( tok )* '}' | BIN | SIGN | '::' | ':' | ';' | '!' | '.' | '&' | '<' | '>' | STAR | '=>' | '#' | '$' | '|' | LIFE | '->' | '?' | '@' | '..' | '..=' | '||' | PRE | 'self' | 'Self' | 'super' | 'crate' | 'mut' | 'as' | 'if' | 'else' | 'match' | 'let' | 'fn' | 'move' | 'ref' | 'in' | 'for' | 'while' | 'loop' | 'return' | 'break' | 'continue' | 'pub' | 'use' | 'mod' | 'struct' | 'enum' | 'impl' | 'trait' | 'type' | 'const' | 'static' | 'unsafe' | 'async' | 'await' | 'dyn' | 'extern' | 'where'
 item: attr | ';' | [ 'pub' [ '(' ( tok )+ ')' ] ] decl
 decl: 'use' usetree ';' | 'mod' NAME ( ';' | '{' ( item )* '}' ) | ( 'const' | 'static' ) ( 'mut' NAME ':' type ASSIGN expr ';' | NAME ':' type [ ASSIGN expr ] ';' | fn ) | fn | 'unsafe' ( fn | impl | trait ) | 'async' [ 'unsafe' ] fn | 'extern' [ STR ] ( fn | 'crate' NAME ';' | '{' ( item )* '}' ) | 'struct' NAME [ gen ] sbody | 'enum' NAME [ gen ] [ where ] '{' [ variant ( ',' [ variant ] )* ] '}'
   | 'type' NAME [ gen ] [ ':' bounds ] [ ASSIGN type ] ';' | impl | trait | NAME '!' [ NAME ] ( '{' ( tok )* '}' | '(' ( tok )* ')' ';' )
@@ -212,13 +211,12 @@ args: expr ( ',' [ expr ] )*
 """
 # what may follow an operand of Rust, written into the two rules that use it
 RUST = (
-    RUST.replace("KEYS: KEY\n", "")
-    .replace("post: POST\n", "")
+    RUST.replace("post: POST\n", "")
     .replace(" post\n", " ( '.' ( NAME [ '::' targs ] | NUM | 'await' ) | '(' [ args ] ')' | '[' expr ']' | '?' | 'as' type )*\n")
 )
 
 JAVA = r"""
-file: ( ';' | 'package' dotted ';' | 'import' [ 'static' ] dotted [ '.' STAR ] ';' | type_decl )* EOF
+file: ( ';' | 'package' dotted ';' | 'import' [ MOD ] NAME ( '.' ( NAME | STAR ) )* ';' | type_decl )* EOF
 dotted: NAME ( '.' NAME )*
 mods: ( MOD | ann )+
 ann: '@' dotted [ '(' [ anarg ( ',' anarg )* ] ')' ]
@@ -263,7 +261,7 @@ file: ( ';' | using | top )* EOF
 using: [ 'global' ] 'using' [ 'static' ] NAME [ ASSIGN type ';' | ( '.' NAME )* [ targs ] ';' ]
 top: 'namespace' dotted ( ';' | '{' ( ';' | using | top )* '}' ) | attr | mods_decl
 dotted: NAME ( '.' NAME )*
-attr: '[' [ NAME ':' ] atr ( ',' [ atr ] )* ']'
+attr: '[' atr [ ':' atr ] ( ',' [ atr ] )* ']'
 atr: dotted [ '(' [ args ] ')' ]
 mods_decl: ( MOD )* tdecl
 tdecl: ( 'class' | 'struct' | 'interface' | 'record' [ 'class' | 'struct' ] ) NAME [ gen ] [ '(' [ params ] ')' ] [ ':' type [ '(' [ args ] ')' ] ( ',' type )* ] ( where )* ( body [ ';' ] | ';' ) | 'enum' NAME [ ':' type ] '{' [ en ( ',' [ en ] )* ] '}' [ ';' ] | 'delegate' type NAME [ gen ] '(' [ params ] ')' ( where )* ';'
@@ -294,7 +292,7 @@ ors: operand ( bin operand )* [ 'switch' '{' [ sarm ( ',' [ sarm ] )* ] '}' ] [
 sarm: carg [ 'when' expr ] '=>' expr
 bin: BIN | SIGN | STAR | '&' | '|' | '<' | '>' [ '>' ] | 'is' [ 'not' ] | 'as' | 'and' | 'or'
 operand: ( PRE | SIGN | STAR | '&' | '~' | '++' | '--' | 'await' | 'ref' | 'out' | 'throw' | 'not' )* atom ( ( '.' | '?.' | '::' ) NAME | ( '(' | '?(' ) [ args ] ')' | ( '[' | '?[' ) [ args ] ']' | '++' | '--' | '!' )*
-atom: NAME | GENERIC | PRIM | NUM | STR | 'null' | 'true' | 'false' | 'this' | 'base' | '(' [ arg ( ',' arg )* ] ')' [ operand ] | '[' [ args ] ']' | 'new' ( type ( '(' [ args ] ')' [ oinit ] | oinit | '[' args ']' [ oinit ] ) | '(' [ args ] ')' [ oinit ] | oinit | '[' ']' oinit ) | ( 'typeof' | 'sizeof' | 'nameof' | 'default' | 'checked' ) [ '(' type ')' ] | 'delegate' [ '(' [ params ] ')' ] block | 'async' expr | 'static' expr
+atom: NAME | GENERIC | PRIM | NUM | STR | 'null' | 'true' | 'false' | 'this' | 'base' | '(' [ arg ( ',' arg )* ] ')' [ operand ] | '[' [ args ] ']' | 'new' ( '(' [ args ] ')' [ oinit ] | type ( '(' [ args ] ')' [ oinit ] | oinit | '[' args ']' [ oinit ] ) | oinit | '[' ']' oinit ) | ( 'typeof' | 'sizeof' | 'nameof' | 'default' | 'checked' ) [ '(' type ')' ] | 'delegate' [ '(' [ params ] ')' ] block | 'async' expr | 'static' expr
 oinit: '{' [ ini ( ',' [ ini ] )* ] '}'
 ini: '{' [ args ] '}' | expr
 args: arg ( ',' [ arg ] )*
@@ -306,7 +304,7 @@ file: ( top )* EOF
 top: ';' | 'namespace' [ NAME ( '::' NAME )* ] ( '{' ( top )* '}' | ASSIGN qual ';' ) | 'template' tlist top | 'using' ( 'namespace' qual ';' | NAME ( ASSIGN type ';' | ( '::' NAME )* ';' ) ) | 'typedef' ( tagdef | type ) [ NAME ] [ '[' [ expr ] ']' ] ';' | 'extern' STR ( '{' ( top )* '}' | decl ) | 'static_assert' '(' args ')' ';' | attr | decl
 attr: '[' '[' ( NAME | '::' | '(' args ')' | ',' )* ']' ']'
 tlist: '<' [ tpar ( ',' tpar )* ] '>'
-tpar: ( 'typename' | 'class' ) [ '...' ] [ NAME ] [ ASSIGN type ] | type [ NAME ] [ ASSIGN cond ]
+tpar: ( 'typename' | 'class' ) [ '...' ] [ NAME ] [ ASSIGN type ] | type [ NAME ] [ ASSIGN ( NUM | STR | PRIM | qual | 'true' | 'false' | 'nullptr' ) ]
 decl: ( MOD )* ( tagdef [ declr ( ',' declr )* ] ';' | '~' NAME '(' ')' fend | 'operator' type '(' ')' fend | type ( ptr )* drest )
 drest: ';' | '(' [ params ] ')' fend | declr ( '(' [ params ] ')' fend | [ '[' [ expr ] ']' ] ( '[' [ expr ] ']' )* [ ASSIGN init | '{' [ inits ] '}' | ':' expr ] ( ',' declr [ ASSIGN init ] )* ';' )
 declr: ( ptr )* ( NAME | 'operator' ( OPS | '(' ')' | '[' ']' ) ) ( '::' ( NAME | '~' NAME | 'operator' OPS ) )*
@@ -335,7 +333,7 @@ cond: ors [ '?' expr ':' expr ]
 ors: operand ( bin operand )*
 bin: BIN | SIGN | STAR | '&' | '&&' | '<' | '>' [ '>' ]
 operand: ( PRE | SIGN | STAR | '&' | '~' | '!' | '++' | '--' | 'co_await' )* atom ( ( '.' | '->' ) [ 'template' ] ( NAME | '~' NAME | GENERIC ) | '::' ( NAME | GENERIC ) | '(' [ args ] ')' | '[' expr ']' | '++' | '--' | '{' [ inits ] '}' )*
-atom: NAME | GENERIC | [ 'typename' ] PRIM ( PRIM )* | '::' ( NAME | GENERIC ) | NUM | STR+ | 'nullptr' | 'true' | 'false' | 'this' | '(' expr ( ',' expr )* ')' [ operand ] | '[' [ cap ( ',' cap )* ] ']' [ '(' [ params ] ')' ] ( MODF )* [ '->' type ] block | 'new' type ( ptr )* [ '(' [ args ] ')' | '{' [ inits ] '}' | '[' expr ']' ] | 'sizeof' operand | 'delete' [ '[' ']' ] operand
+atom: NAME | GENERIC | [ 'typename' ] PRIM ( PRIM )* | '::' ( NAME | GENERIC ) | NUM | STR+ | 'nullptr' | 'true' | 'false' | 'this' | '(' expr ( ',' expr )* ')' [ operand ] | '[' [ cap ( ',' cap )* ] ']' [ '(' [ params ] ')' ( MODF )* [ '->' type ] block | block ] | 'new' type ( ptr )* [ '(' [ args ] ')' | '{' [ inits ] '}' | '[' expr ']' ] | 'sizeof' operand | 'delete' [ '[' ']' ] operand
 cap: ASSIGN | '&' [ NAME ] | [ STAR ] 'this' | NAME [ ASSIGN expr ]
 args: init ( ',' init )*
 """
@@ -395,7 +393,7 @@ def _script(typed: bool) -> str:
     """JavaScript, or TypeScript with its annotations, types and declarations."""
     fill = {
         "ANNOT": "[ ':' type ]", "GEN2": "[ gen ]", "GEN": "[ gen ]", "RET": "[ ':' rtype ]", "IMPL": "[ 'implements' type ( ',' type )* ]", "TARGS": "[ targs ]", "OPT2": "[ '?:' type ]",
-        "OPT": "[ '?:' type | '!' ]", "SEMIDECL": "';'", "MEMBERMOD": "( MOD )*", "PARAMMOD": "( MOD )*", "PITEM": "[ ':' type | '?:' type ] [ ASSIGN expr ]",
+        "OPT": "[ '?:' type | '!' ]", "SEMIDECL": "';'", "MEMBERMOD": "( MOD | 'readonly' | 'abstract' | 'declare' )*", "PARAMMOD": "( MOD | 'readonly' )*", "PITEM": "[ ':' type | '?:' type ] [ ASSIGN expr ]",
         "TSSTMT": "| 'interface' name [ gen ] [ 'extends' type ( ',' type )* ] tbody | 'enum' name '{' [ en ( ',' [ en ] )* ] '}' | 'namespace' name ( '.' name )* block | 'declare' stmt | 'abstract' 'class' cdef | 'type' name [ gen ] ASSIGN type semi",
         "TSEXPORT": "| 'interface' name [ gen ] [ 'extends' type ( ',' type )* ] tbody | 'enum' name '{' [ en ( ',' [ en ] )* ] '}' | 'const' 'enum' name '{' [ en ( ',' [ en ] )* ] '}' | 'namespace' name ( '.' name )* block | 'declare' stmt | 'abstract' 'class' cdef | 'type' ( name [ gen ] ASSIGN type semi | '{' [ spec ( ',' [ spec ] )* ] '}' [ 'from' STR ] semi )",
         "CONTEXT": "| 'get' | 'set' | 'is'", "POSTFIX": "| '!' | 'as' type | 'satisfies' type", "PARENTAIL": "[ ':' rtype ]",

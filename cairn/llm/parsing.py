@@ -35,7 +35,8 @@ BARE_NUMBER = re.compile(r"0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(
 SUFFIX = re.compile(r"^(?:[uUlLfFdDmMjJn]|[uU][lL]{1,2}|[lL]{1,2}[uU]?|[uif](?:8|16|32|64|128|size)|ul|UL)?$")
 NAME = re.compile(r"[^\W\d]\w*")
 NAME_S = re.compile(r"[$\w]+")
-OPERAND_END = {"NAME", "CONST", "IVAR", "NUM", "STR", "TPL", "REGEX", "SYM", ")", "]", "}", "end", "nil", "true", "false", "self", "this", "super", "null", "next", "break", "return", "redo", "retry", "yield", "None", "True", "False", "KEY", "OPNAME", "++", "--"}
+OPERAND_END = {"NAME", "CONST", "IVAR", "NUM", "STR", "TPL", "REGEX", "SYM", ")", "]", "}", "end", "nil", "true", "false", "self", "this", "super", "null", "None", "True", "False", "KEY", "OPNAME", "++", "--"}
+RUBY_END = OPERAND_END | {"next", "break", "return", "redo", "retry", "yield"}
 # what may begin the argument of a Ruby call without brackets
 ARGUMENT = re.compile(r"[ \t]+(?!(?:if|unless|while|until|and|or|do|then|rescue|end|in|else|elsif|when)\b)(?:[A-Za-z_\"'@\d`]|:[\w\"']|::[A-Z]|\[|->|[*&!~-](?=[\w(:\[@\"'])|\{(?=\s*\}))")
 
@@ -234,7 +235,7 @@ class Lexer:
                     out.append("CMD")
                 return end
             token = self.words.get(word)
-            if token in ("if", "unless", "while", "until", "rescue") and prev in OPERAND_END:
+            if token in ("if", "unless", "while", "until", "rescue") and prev in RUBY_END:
                 token += "_mod"
             if token is None:
                 token = "CONST" if word[0].isupper() else "NAME"
@@ -254,7 +255,7 @@ class Lexer:
                 token = None
             elif token in ("get", "set"):
                 return end  # an accessor's mark; what follows is the member
-            elif token in ("type", "declare", "namespace", "abstract", "interface", "enum", "MOD", "readonly", "is", "asserts", "infer", "unique", "keyof", "satisfies", "implements", "async", "static") and re.match(r"^\s*(?:[=.,;)(\]}+*/?|&!]|$)", text[end:]) and not (token == "async" and re.match(r"^\s*\(", text[end:])):
+            elif token in ("type", "declare", "namespace", "abstract", "interface", "enum", "MOD", "readonly", "is", "asserts", "infer", "unique", "keyof", "satisfies", "implements", "async", "static") and re.match(r"^\s*(?:[=.,;)\]}]|$)" if token == "async" else r"^\s*(?:[=.,;)(\]}+*/?|&!]|$)", text[end:]):
                 token = None
         if lang == "java" and word in ("record", "yield", "sealed", "default") and not re.match(r"^\s+[A-Za-z_]", text[end:]) and word != "default":
             token = None
@@ -316,6 +317,12 @@ class Lexer:
             op = "/"
         elif op == "--" and lang == "rust":
             op = "-"
+        elif op == "::" and lang in INDENTED:
+            out += [":", ":"]
+            return at + 2
+        elif op == ">" and text.startswith(">>", at):
+            out.append("ASSIGN" if text.startswith(">>=", at) else "BIN")
+            return at + 2
         size = len(op)
         if lang not in SCRIPTS + ("ruby",) and op in ("===", "!=="):
             out.append("ERR")

@@ -243,9 +243,9 @@ stmt: ';' | block | 'if' '(' expr ')' stmt [ 'else' stmt ] | 'while' '(' expr ')
   | 'try' [ '(' local ( ';' [ local ] )* ')' ] block ( 'catch' '(' [ mods ] type ( '|' type )* NAME ')' block )* [ 'finally' block ] | 'return' [ expr ] ';' | 'throw' expr ';' | 'break' [ NAME ] ';' | 'continue' [ NAME ] ';' | 'synchronized' '(' expr ')' block | 'assert' expr [ ':' expr ] ';'
   | mods ( tdecl | local ';' ) | tdecl | 'yield' expr ';' | local ( ';' | ':' stmt )
 frest: [ expr ] ';' [ expr ( ',' expr )* ] ')' stmt
-local: [ 'final' ] expr ( ',' expr )* [ NAME ( '[' ']' )* [ ASSIGN init ] ( ',' NAME [ ASSIGN init ] )* ]
+local: [ 'final' ] expr ( ',' expr )* [ NAME ( '[' ']' )* [ ASSIGN init ] ( ',' NAME ( '[' ']' )* [ ASSIGN init ] )* ]
 carg: operand ( bin operand )* [ NAME ]
-expr: cond [ ASSIGN ( expr ) | '->' ( block | expr ) ]
+expr: cond [ ASSIGN ( expr | '{' [ init ( ',' [ init ] )* ] '}' ) | '->' ( block | expr ) ]
 cond: ors [ '?' expr ':' expr ]
 ors: operand ( bin operand )*
 bin: BIN | SIGN | STAR | '&' | '|' | '<' | '>' [ '>' [ '>' ] ] | 'instanceof' [ 'final' ]

@@ -444,7 +444,7 @@ def check_files(files: DataFrame) -> DataFrame:
             rows = []
             for i, lang, text in zip(pdf["file_id"], pdf["lang"], pdf["content"]):
                 found = first_error(lang, text) if lang in GRAMMARS else None
-                rows.append((i, lang not in GRAMMARS and None or found is None, *(found or (None, None))))
+                rows.append((i, found is None if lang in GRAMMARS else None, *(found or (None, None))))
             out = pd.DataFrame(rows, columns=["file_id", "valid", "error_line", "error_token"])
             out["error_line"] = out["error_line"].astype("Int32")
             yield out

@@ -52,8 +52,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The mean is rounded after a nudge, so that sums added in another order can't round a tie the other way."""
     return _figures(spark, d).select(
-        "src_table", "key", "n_rows", "n_sources", F.round("mean_value", 6).alias("mean_confidence"), "p25", "p50", "p75"
+        "src_table", "key", "n_rows", "n_sources", F.round(F.col("mean_value") + 1e-9, 6).alias("mean_confidence"), "p25", "p50", "p75"
     )
 
 
@@ -189,7 +190,7 @@ everything AS (
   UNION ALL SELECT * FROM heirs)"""
 
 _P3_HALF = """SELECT '{t}' AS src_table, CAST({k} AS VARCHAR) AS key, count(*) AS n_rows, count(DISTINCT {s}) AS n_sources,
-  round(avg(v), 6) AS mean_confidence,
+  round(avg(v) + 1e-9, 6) AS mean_confidence,
   max(v) FILTER (WHERE rn = greatest(ceil(0.25 * m), 1)) AS p25, max(v) FILTER (WHERE rn = greatest(ceil(0.5 * m), 1)) AS p50,
   max(v) FILTER (WHERE rn = greatest(ceil(0.75 * m), 1)) AS p75
 FROM (SELECT *, row_number() OVER (PARTITION BY {k}, v IS NULL ORDER BY v) AS rn, count(v) OVER (PARTITION BY {k}) AS m

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +26,32 @@ def build_session(app: str = "cairn", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_SHIPPED: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application, wherever it was started from."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        folder = Path(tempfile.mkdtemp(prefix="spark-cairn-"))
+        copy = folder / "root" / package.name
+        shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+        _SHIPPED[application] = shutil.make_archive(str(folder / f"cairn-{uuid.uuid4().hex[:8]}"), "zip", folder / "root")
+        spark.sparkContext.addPyFile(_SHIPPED[application])
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that makes sure the workers have the package before it runs."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 

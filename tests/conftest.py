@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from cairn.session import build_session
+    from cairn.session import build_session, ship_package
 
     session = build_session(
         **{
@@ -18,5 +18,6 @@ def spark():
         }
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()

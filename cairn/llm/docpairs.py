@@ -269,15 +269,19 @@ def doc_pairs(symbols: DataFrame, files: DataFrame, sources: DataFrame) -> DataF
     files: file_id, path, lang (one row each).
     """
     wanted = symbols.where(F.col("kind").isin(*KINDS) & F.col("doc_comment").isNotNull() & F.col("symbol_id").isNotNull())
-    wanted = wanted.select("symbol_id", "file_id", "name", "start_line", "signature", F.col("doc_comment").alias("doc")).dropDuplicates(["symbol_id"])
+    wanted = wanted.select("symbol_id", "file_id", "name", "start_line", "end_line", "signature", F.col("doc_comment").alias("doc")).dropDuplicates(["symbol_id"])
     wanted = wanted.where(says_something("doc", "name", "signature")).drop("name", "signature")
     texts = sources.where("content is not null").select(F.col("path").alias("p"), "content").dropDuplicates(["p"])
     texts = files.join(texts, F.col("path") == F.col("p")).select("file_id", "lang", "content")
     lexed = extract_functions(texts).select(F.col("file_id").alias("fid"), "first_line", "code", "comment")
     lexed = lexed.groupBy("fid", "first_line").agg(F.max_by(F.struct("code", "comment"), F.length("code")).alias("f"))
     langs = files.select(F.col("file_id").alias("lid"), "lang")
-    return (
-        wanted.join(lexed, (F.col("file_id") == F.col("fid")) & (F.col("start_line") == F.col("first_line")), "left")
-        .join(langs, F.col("file_id") == F.col("lid"), "left")
-        .select("symbol_id", "file_id", "lang", F.col("f.code").alias("code"), "doc", F.col("f.comment").alias("comment"))
+    met = wanted.join(lexed, (F.col("file_id") == F.col("fid")) & (F.col("start_line") == F.col("first_line")), "left")
+    paired = met.where("f is not null").select("symbol_id", "file_id", F.col("f.code").alias("code"), "doc", F.col("f.comment").alias("comment"))
+    # what the lexer doesn't delimit keeps the lines that the index names
+    plain = texts.select(F.col("file_id").alias("tid"), F.split(F.regexp_replace("content", "\r\n", "\n"), "\n").alias("lines"))
+    lines = F.slice("lines", F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1)))
+    rest = met.where("f is null").join(plain, F.col("file_id") == F.col("tid"), "left").select(
+        "symbol_id", "file_id", F.when(F.size("lines") > 0, F.array_join(lines, "\n")).alias("code"), "doc", F.lit(None).cast("string").alias("comment")
     )
+    return paired.unionByName(rest).join(langs, F.col("file_id") == F.col("lid"), "left").select("symbol_id", "file_id", "lang", "code", "doc", "comment")

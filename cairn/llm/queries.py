@@ -49,7 +49,7 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     files = _current(spark, d)
-    symbols = table(spark, d, "symbols", "symbol_id", "file_id", "name", "kind", "start_line", "signature", "doc_comment")
+    symbols = table(spark, d, "symbols", "symbol_id", "file_id", "name", "kind", "start_line", "end_line", "signature", "doc_comment")
     return docpairs.doc_pairs(symbols, files, table(spark, d, "sources", "path", "content"))
 
 

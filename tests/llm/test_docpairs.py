@@ -41,11 +41,11 @@ def test_other_families():
 
 def test_pairs_table(spark):
     symbols = spark.createDataFrame(
-        [(1, 1, "a", "function", 2, "a(x)", "Never throws.", "z"), (1, 1, "a", "function", 2, "a(x)", "Never throws.", "z"), (2, 1, "b", "class", 1, None, "A real text here.", "z"), (3, 2, "c", "method", 1, None, "Blocks until drained.", "z"), (4, 1, None, "function", None, None, None, "z")],
-        "symbol_id long, file_id long, name string, kind string, start_line int, signature string, doc_comment string, code string",
+        [(1, 1, "a", "function", 2, 3, "a(x)", "Never throws.", "z"), (1, 1, "a", "function", 2, 3, "a(x)", "Never throws.", "z"), (2, 1, "b", "class", 1, 1, None, "A real text here.", "z"), (3, 2, "c", "method", 1, 1, None, "Blocks until drained.", "z"), (4, 1, None, "function", None, None, None, None, "z"), (5, 1, "odd", "function", 3, 3, None, "Lines count from one here.", "z"), (6, 1, "far", "function", None, None, None, "Never throws.", "z")],
+        "symbol_id long, file_id long, name string, kind string, start_line int, end_line int, signature string, doc_comment string, code string",
     )
     files = spark.createDataFrame([(1, "r/a.py", "python"), (2, "r/b.py", "python")], "file_id long, path string, lang string")
     sources = spark.createDataFrame([("r/a.py", "# Note.\ndef a(x):\n    return x\n"), ("r/b.py", None)], "path string, content string")
     rows = {r["symbol_id"]: r for r in dp.doc_pairs(symbols, files, sources).collect()}
-    assert set(rows) == {1, 3} and rows[1]["code"] == "def a(x):\n    return x" and rows[3]["code"] is None
+    assert set(rows) == {1, 3, 5, 6} and rows[5]["code"] == "    return x" and rows[6]["code"] is None and rows[1]["code"] == "def a(x):\n    return x" and rows[3]["code"] is None
     assert dp.doc_pairs(symbols.limit(0), files, sources).count() == 0

@@ -282,6 +282,6 @@ def doc_pairs(symbols: DataFrame, files: DataFrame, sources: DataFrame) -> DataF
     plain = texts.select(F.col("file_id").alias("tid"), F.split(F.regexp_replace("content", "\r\n", "\n"), "\n").alias("lines"))
     lines = F.slice("lines", F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1)))
     rest = met.where("f is null").join(plain, F.col("file_id") == F.col("tid"), "left").select(
-        "symbol_id", "file_id", F.when(F.size("lines") > 0, F.array_join(lines, "\n")).alias("code"), "doc", F.lit(None).cast("string").alias("comment")
+        "symbol_id", "file_id", F.when(F.col("start_line").isNotNull() & F.col("end_line").isNotNull(), F.array_join(lines, "\n")).alias("code"), "doc", F.lit(None).cast("string").alias("comment")
     )
     return paired.unionByName(rest).join(langs, F.col("file_id") == F.col("lid"), "left").select("symbol_id", "file_id", "lang", "code", "doc", "comment")

@@ -1,10 +1,11 @@
 """Template residue, filler and error pages among texts.
 
 Every text is cut into units (lines and sentences, code left out) and each unit gets a kind from its own wording: an open
-slot, an unfilled form line, filler, an error or script notice, page furniture, or text. Then records are aligned: for
-short texts each unit is counted with every run of one to three words masked, so units of the same template meet under
-one key and the words that differ under it are its slot. A template seen with several fillings whose fixed part speaks of
-failures or scripts makes its units error units; a form label seen in several records makes its line a form line; a
+slot, an unfilled form line, filler, an error or script notice, page furniture, or text. Then records are aligned: each
+unit is counted with every run of up to three words masked, so units of the same template meet under one key and the
+words that differ under it are its slot. Names in any pair of delimiters that fill slots of such templates make the pair a
+slot form, and every variable name in an induced form is an open slot, as are the forms listed here. A template seen with
+several fillings whose fixed part speaks of failures or scripts makes its units error units; a form label seen in several records makes its line a form line; a
 phrase that repeats within some record makes the same phrase filler where it stands alone. A text is residue if it has an
 open slot or filler paragraph anywhere, or if nothing in it is real content.
 
@@ -47,6 +48,11 @@ SLOTS = [
 ]
 SLOT_MARKS = "{<%@«[_"  # every slot holds one of these
 SLOT = re.compile("|".join(f"(?:{s})" for s in SLOTS), re.I)
+# A name in any pair of delimiters; which pairs mark slots is induced from the records.
+MARK = r"[^\w\s.,;:!?'’\"“”„\-]"
+DELIMITED = re.compile(rf"(?<!\w)({MARK}{{1,3}})[ ]?([A-Za-z][A-Za-z0-9]+(?:[_.\-][A-Za-z0-9]+)*)[ ]?({MARK}{{1,3}})(?!\w)")
+MIRROR = str.maketrans("([{<«‹⟨【", ")]}>»›⟩】")
+FORM_SHARE = 0.8  # of the records with a form, those in which it holds a variable name
 CODE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|``.+?``|`[^`\n]*`")
 QUOTED = re.compile(r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|« [^»\n]{0,200} »")
 COMMENT = re.compile(r"(?s)<!--.*?-->")
@@ -117,24 +123,61 @@ def without_slots(text: str) -> str:
     return SLOT.sub("", text) if any(c in text for c in SLOT_MARKS) else text
 
 
+def delimited(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, form, name) of every name between a delimiter and its mirror image."""
+    out = []
+    for m in DELIMITED.finditer(text):
+        for k in range(len(m[1])):
+            close = m[1][k:].translate(MIRROR)[::-1]
+            if m[3].startswith(close):
+                out.append((m.start() + k, m.start(3) + len(close), f"{m[1][k:]}…{close}", m[2]))
+                break
+    return out
+
+
+def normal(unit: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"[0-9a-f]*\d[0-9a-f]*", "0", unit.lower())).strip(" ")
+
+
+def slot_frames(text: str) -> list[tuple[str, str, str, str, bool]]:
+    """(form, name, frame, filling, listed) of every delimited name, the frame being its unit with the name's words masked."""
+    out = []
+    if not delimited(text):
+        return out
+    for line in text.splitlines():
+        for s in sentences(line):
+            for start, end, form, name in delimited(s):
+                left, right = s.rfind(" ", 0, start) + 1, s.find(" ", end)
+                right = len(s) if right < 0 else right
+                frame = normal(f"{s[:left]} … {s[right:]}")
+                out.append((form, name.lower(), frame, normal(s[left:right]), SLOT.search(s[start:end]) is not None))
+    return out
+
+
 def sentences(line: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?。])\s+", line.strip()) if s]
 
 
+def without_quotes(text: str) -> str:
+    if any(q in text for q in '"“„«'):
+        return QUOTED.sub(lambda m: m[0] if m[0].startswith('"') and SLOT.fullmatch(m[0][1:-1]) else " \x00 ", text)
+    return text
+
+
+def without_code(text: str) -> str:
+    if "<!--" in text:
+        text = COMMENT.sub(" ", text)
+    return CODE.sub(" \x00 ", text) if "`" in text or "~~~" in text else text
+
+
 def unit_kinds(text: str | None) -> list[tuple[str, str]]:
     """(kind, unit) of every unit of a text, in order."""
     if text is None or not text.strip():
         return []
     out: list[tuple[str, str]] = []
-    plain, comments = text, 0
-    if "<!--" in plain:
-        comments = len(COMMENT.findall(plain))
-        plain = COMMENT.sub(" ", plain)
-    if "`" in plain or "~~~" in plain:
-        plain = CODE.sub(" \x00 ", plain)
-    loose = plain
-    if any(q in plain for q in '"“„«'):
-        loose = QUOTED.sub(lambda m: m[0] if m[0].startswith('"') and SLOT.fullmatch(m[0][1:-1]) else " \x00 ", plain)
+    comments = len(COMMENT.findall(text)) if "<!--" in text else 0
+    plain = without_code(text)
+    loose = without_quotes(plain)
     if any(c in loose for c in SLOT_MARKS) and (slot := SLOT.search(loose)):
         out.append(("slot", slot[0]))
     out += [("blank", "<!-- -->")] * comments
@@ -199,16 +242,19 @@ def _record(text: str | None) -> tuple:
     return (
         "slot" in names, "latin" in names, len(solid), names.count("error"), names.count("filler"), names.count("blank"),
         names.count("heading"), [u for k, u in kinds if k == "label"], solid if short else [], echo,
+        slot_frames(without_quotes(without_code(text))) if text else [], sorted({normal(u) for u in solid}),
     )
 
 
 RECORD = (
-    "slot boolean, latin boolean, n_text int, n_error int, n_filler int, n_blank int, n_heading int, labels array<string>, open array<string>, echo array<string>"
+    "slot boolean, latin boolean, n_text int, n_error int, n_filler int, n_blank int, n_heading int, labels array<string>, open array<string>, echo array<string>, "
+    "slots array<struct<form:string,name:string,frame:string,filling:string,listed:boolean>>, units array<string>"
 )
+COLUMNS = "slot latin n_text n_error n_filler n_blank n_heading labels open echo slots units".split()
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in RECORD.split(", ")]
+    names = COLUMNS
     for pdf in batches:
         rows = [_record(t) for t in pdf["text"]]
         out = pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({c: [] for c in names})
@@ -216,6 +262,43 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def open_slots(seen: DataFrame, counted: DataFrame) -> DataFrame:
+    """key of every record with a variable name in a slot form that the alignment of all units induces."""
+    found = seen.where(F.size("slots") > 0).select("key", F.explode("slots").alias("s")).select("key", "s.*").join(counted, "key")
+    names = found.where("listed").groupBy("name").agg(F.countDistinct("key").alias("n")).where("n >= 2").select("name", F.lit(True).alias("seeded"))
+    found = found.join(names, "name", "left").withColumn("variable", F.coalesce("seeded", F.lit(False)) | F.col("name").contains("_"))
+
+    # which other fillings the frames of delimited names have, over the units of all records
+    frames = found.where("variable and frame <> '…'").select("frame").distinct()
+    units = seen.select("key", F.explode("units").alias("unit"))
+    w = F.split("unit", " ")
+    n = F.size(w)
+    spans = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.least(n - 1, F.lit(3))),
+            lambda k: F.transform(
+                F.sequence(F.lit(1), n - k + 1),
+                lambda i: F.struct(F.concat_ws(" ", F.slice(w, 1, i - 1), F.lit("…"), F.slice(w, i + k, n)).alias("frame"), F.concat_ws(" ", F.slice(w, i, k)).alias("filling")),
+            ),
+        )
+    )
+    spread = units.select("unit").distinct().select("unit", F.explode(spans).alias("s")).select("unit", "s.frame", "s.filling")
+    others = spread.join(frames, "frame", "left_semi").join(units, "unit").select("frame", "filling", "key").join(counted, "key")
+    filled = others.select("frame", "filling", "key", "copies").unionByName(found.where("variable").select("frame", "filling", "key", "copies"))
+    per_record = filled.groupBy("frame", "key").agg(F.first("copies").alias("copies"), F.min("filling").alias("a"), F.max("filling").alias("z"))
+    templates = per_record.groupBy("frame").agg(F.sum("copies").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"))
+    templates = templates.where((F.col("n") >= SUPPORT) & (F.col("a") != F.col("z"))).select("frame", F.lit(True).alias("aligned"))
+
+    held = found.join(templates, "frame", "left").groupBy("form", "key").agg(
+        F.first("copies").alias("copies"), F.max("variable").alias("variable"), F.max(F.col("variable") & F.col("aligned").isNotNull()).alias("aligned")
+    )
+    forms = held.groupBy("form").agg(
+        F.sum(F.when(F.col("aligned"), F.col("copies"))).alias("n"), F.sum(F.when(F.col("variable"), F.col("copies"))).alias("n_variable"), F.sum("copies").alias("n_all")
+    )
+    forms = forms.where((F.col("n") >= SUPPORT) & (F.col("n_variable") >= FORM_SHARE * F.col("n_all"))).select("form")
+    return found.where("variable").join(forms, "form", "left_semi").select("key").distinct()
+
+
 def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, why: the records that are residue, once each. why: open slot, filler, unfilled form, error page."""
     scratch = Scratch(df.sparkSession, "residue")
@@ -268,12 +351,14 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     aligned = aligned.groupBy("key").agg(F.count(F.lit(1)).alias("n_aligned"))
     repeated = units.join(echoes, "phrase", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_echoed"))
 
+    induced = open_slots(seen, counted).withColumn("induced", F.lit(True))
+
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     verdict = (
-        seen.join(form_lines, "key", "left").join(n_labels, "key", "left").join(aligned, "key", "left").join(repeated, "key", "left")
+        seen.join(form_lines, "key", "left").join(n_labels, "key", "left").join(aligned, "key", "left").join(repeated, "key", "left").join(induced, "key", "left")
         .withColumn(
             "why",
-            F.when(F.col("slot"), F.lit("open slot"))
+            F.when(F.col("slot") | F.col("induced"), F.lit("open slot"))
             .when(F.col("latin") | ((F.col("n_filler") > 0) & (F.col("n_text") == zero("n_echoed"))), F.lit("filler"))
             .when((F.size("echo") > 0) & (F.col("n_text") == zero("n_echoed")), F.lit("filler"))
             .when((zero("n_echoed") > 0) & (zero("n_echoed") == F.col("n_text")) & (F.col("n_error") == 0), F.lit("filler"))

@@ -43,3 +43,9 @@ def test_empty_and_long(spark):
 @pytest.mark.parametrize("phrase, yes", [("sample text 72", True), ("content coming soon content coming soon", True), ("test the sample", False), ("asdf", True)])
 def test_stand_ins(phrase, yes):
     assert r.stands_in(phrase) is yes
+
+
+def test_slots_in_forms_that_are_not_listed(spark):
+    texts = [f"Dear $customer_{x}$, your report is ready." for x in ("name", "city", "mail")] + ["Dear Ann, your report is ready.", "The sweep keeps $PROJECT_NAME$ old rows.", "Dear **reader**, the price is $value$ or so.", "Write `$customer_name$` for the name."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["id"]: x["why"] for x in r.residue(df).collect()} == dict.fromkeys([0, 1, 2, 4], "open slot")

@@ -16,6 +16,7 @@ repeated rows get the same verdict; texts are read whole, whatever their length.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from cairn.session import Scratch
 
 SUPPORT = 3  # records a template, label or phrase must be seen in
-SHORT_WORDS = 60  # texts up to this length can be one whole-page template; longer ones always hold other text
+SHORT_WORDS = 60  # texts up to this length are aligned with whatever they say; longer ones if every unit of them speaks of failures or scripts
 
 # Words of the classic filler text.
 LATIN = set(
@@ -118,6 +119,8 @@ FURNITURE = re.compile(
 )
 WEAK = r"(?i)\b(?:java ?script|scripts?|skripte|cookies|browser|error|fehler|erreur|denied|forbidden|not found|unavailable|available|permission|session|reload|refresh|expired|introuvable|gefunden|encontrada|gateway|requests)\b"
 
+WEAK_WORDS = re.compile(WEAK)
+
 
 def without_slots(text: str) -> str:
     return SLOT.sub("", text) if any(c in text for c in SLOT_MARKS) else text
@@ -232,7 +235,10 @@ def _record(text: str | None) -> tuple:
     kinds = unit_kinds(text)
     names = [k for k, _ in kinds]
     solid = [u for k, u in kinds if k == "text"]
-    short = bool(solid) and len(" ".join(u for _, u in kinds).split()) <= SHORT_WORDS and "\x00" not in " ".join(solid) and "code" not in solid
+    whole = "\x00" not in " ".join(solid) and "code" not in solid
+    short = bool(solid) and whole and len(" ".join(u for _, u in kinds).split()) <= SHORT_WORDS
+    # only a text whose every unit is of this wording can be an error page by alignment, whatever its length
+    weak = bool(solid) and whole and all(WEAK_WORDS.search(u) for u in dict.fromkeys(solid))
     # a phrase said three times or more is on trial as filler
     said: dict[str, int] = {}
     for u in solid:
@@ -241,16 +247,17 @@ def _record(text: str | None) -> tuple:
     echo = [k for k, n in said.items() if n >= 3 and k and 3 * n * 10 >= 8 * 3 * len(solid)]
     return (
         "slot" in names, "latin" in names, len(solid), names.count("error"), names.count("filler"), names.count("blank"),
-        names.count("heading"), [u for k, u in kinds if k == "label"], solid if short else [], echo,
+        names.count("heading"), [u for k, u in kinds if k == "label"], [{"unit": u, "n": n} for u, n in Counter(solid).items()] if short or weak else [],
+        [{"phrase": k, "n": n} for k, n in said.items() if k], echo,
         slot_frames(without_quotes(without_code(text))) if text else [], sorted({normal(u) for u in solid}),
     )
 
 
 RECORD = (
-    "slot boolean, latin boolean, n_text int, n_error int, n_filler int, n_blank int, n_heading int, labels array<string>, open array<string>, echo array<string>, "
+    "slot boolean, latin boolean, n_text int, n_error int, n_filler int, n_blank int, n_heading int, labels array<string>, open array<struct<unit:string,n:int>>, said array<struct<phrase:string,n:int>>, echo array<string>, "
     "slots array<struct<form:string,name:string,frame:string,filling:string,listed:boolean>>, units array<string>"
 )
-COLUMNS = "slot latin n_text n_error n_filler n_blank n_heading labels open echo slots units".split()
+COLUMNS = "slot latin n_text n_error n_filler n_blank n_heading labels open said echo slots units".split()
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,28 +269,39 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def open_slots(seen: DataFrame, counted: DataFrame) -> DataFrame:
+def open_slots(seen: DataFrame, counted: DataFrame, scratch: Scratch) -> DataFrame:
     """key of every record with a variable name in a slot form that the alignment of all units induces."""
     found = seen.where(F.size("slots") > 0).select("key", F.explode("slots").alias("s")).select("key", "s.*").join(counted, "key")
     names = found.where("listed").groupBy("name").agg(F.countDistinct("key").alias("n")).where("n >= 2").select("name", F.lit(True).alias("seeded"))
     found = found.join(names, "name", "left").withColumn("variable", F.coalesce("seeded", F.lit(False)) | F.col("name").contains("_"))
 
-    # which other fillings the frames of delimited names have, over the units of all records
-    frames = found.where("variable and frame <> '…'").select("frame").distinct()
+    # which other fillings the frames of delimited names have, over the units of all records: a unit can only meet a frame
+    # whose longer side, left or right of the mask, it begins or ends with
+    found = scratch.save(found, "slots")
+    sides = F.split("frame", "…")
+    left, right = F.trim(sides[0]), F.trim(sides[1])
+    frames = scratch.save(found.where("variable and frame <> '…'").select("frame").distinct(), "slot_frames")
+    anchor = F.when(F.length(left) >= F.length(right), F.xxhash64(F.lit("left"), left)).otherwise(F.xxhash64(F.lit("right"), right))
+    anchors = scratch.save(frames.select(anchor.alias("anchor")).distinct(), "anchors")
     units = seen.select("key", F.explode("units").alias("unit"))
     w = F.split("unit", " ")
     n = F.size(w)
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.least(n - 1, F.lit(3))),
-            lambda k: F.transform(
-                F.sequence(F.lit(1), n - k + 1),
-                lambda i: F.struct(F.concat_ws(" ", F.slice(w, 1, i - 1), F.lit("…"), F.slice(w, i + k, n)).alias("frame"), F.concat_ws(" ", F.slice(w, i, k)).alias("filling")),
-            ),
-        )
+    at = F.sequence(F.lit(1), n)
+    begins = F.transform(at, lambda i: F.struct(F.xxhash64(F.lit("left"), F.concat_ws(" ", F.slice(w, 1, i))).alias("anchor"), i.alias("from")))
+    ends = F.transform(at, lambda i: F.struct(F.xxhash64(F.lit("right"), F.concat_ws(" ", F.slice(w, n - i + 1, i))).alias("anchor"), (-i).alias("from")))
+    met = units.select("unit").distinct().select("unit", F.explode(F.concat(begins, ends)).alias("s")).select("unit", "s.anchor", "s.from")
+    met = met.join(anchors, "anchor", "left_semi")
+    # i fixed words on the left, then k masked ones
+    i = lambda k: F.when(F.col("from") > 0, F.col("from")).otherwise(n + F.col("from") - k)
+    masks = F.transform(
+        F.array(*map(F.lit, range(4))),
+        lambda k: F.when(
+            (i(k) >= 0) & (i(k) + k <= n),
+            F.struct(F.concat_ws(" ", F.slice(w, 1, i(k)), F.lit("…"), F.slice(w, i(k) + k + 1, n)).alias("frame"), F.concat_ws(" ", F.slice(w, i(k) + 1, k)).alias("filling")),
+        ),
     )
-    spread = units.select("unit").distinct().select("unit", F.explode(spans).alias("s")).select("unit", "s.frame", "s.filling")
-    others = spread.join(frames, "frame", "left_semi").join(units, "unit").select("frame", "filling", "key").join(counted, "key")
+    spread = met.select("unit", F.explode(masks).alias("s")).where("s is not null").select("unit", "s.frame", "s.filling").distinct()
+    others = scratch.save(spread.join(frames, "frame", "left_semi"), "spread").join(units, "unit").select("frame", "filling", "key").join(counted, "key")
     filled = others.select("frame", "filling", "key", "copies").unionByName(found.where("variable").select("frame", "filling", "key", "copies"))
     per_record = filled.groupBy("frame", "key").agg(F.first("copies").alias("copies"), F.min("filling").alias("a"), F.max("filling").alias("z"))
     templates = per_record.groupBy("frame").agg(F.sum("copies").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"))
@@ -312,18 +330,18 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     # labels: a form line if the label is a form's in several records
     labels = seen.select("key", F.explode("labels").alias("label")).distinct()
-    forms = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT).select("label")
+    forms = labels.join(counted, "key").groupBy("label").agg(F.sum("copies").alias("n")).where(F.col("n") >= SUPPORT).select("label")
     form_lines = labels.join(forms, "label").groupBy("key").agg(F.count(F.lit(1)).alias("n_form"))
     n_labels = seen.select("key", F.size(F.array_distinct("labels")).alias("n_labels"))
 
     # phrases that echo within records
     echoes = seen.select(F.explode("echo").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("phrase")
 
-    # alignment of the units of short records
-    units = seen.select("key", F.posexplode("open").alias("at", "unit")).select(
-        "key", "at", F.trim(F.regexp_replace(F.regexp_replace(F.lower("unit"), r"[0-9a-f]*\d[0-9a-f]*", "0"), r"\s+", " ")).alias("unit")
+    # alignment of the units of records that can be whole-page templates; a unit said several times is carried once
+    units = seen.select("key", F.posexplode("open").alias("at", "u")).select(
+        "key", "at", "u.n", F.trim(F.regexp_replace(F.regexp_replace(F.lower("u.unit"), r"[0-9a-f]*\d[0-9a-f]*", "0"), r"\s+", " ")).alias("unit")
     )
-    units = units.withColumn("phrase", F.trim(F.regexp_replace("unit", r"\W+", " ")))
+    units = units.withColumnRenamed("n", "times")
     w = F.split("unit", " ")
     n = F.size(w)
     spans = F.flatten(
@@ -338,7 +356,7 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             ),
         )
     )
-    framed = units.where((n >= 3) & F.col("unit").rlike(WEAK)).select("key", "at", F.explode(spans).alias("s")).select("key", "at", "s.frame", "s.filling")
+    framed = units.where((n >= 3) & F.col("unit").rlike(WEAK)).select("key", "at", "times", F.explode(spans).alias("s")).select("key", "at", "times", "s.frame", "s.filling")
     framed = scratch.save(framed.where(F.col("frame").rlike(WEAK)), "frames")
     templates = (
         framed.join(counted, "key")
@@ -347,11 +365,12 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         .where((F.col("n") >= SUPPORT) & (F.col("a") != F.col("z")))
         .select("frame")
     )
-    aligned = framed.join(templates, "frame", "left_semi").select("key", "at").distinct()
-    aligned = aligned.groupBy("key").agg(F.count(F.lit(1)).alias("n_aligned"))
-    repeated = units.join(echoes, "phrase", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_echoed"))
+    aligned = framed.join(templates, "frame", "left_semi").select("key", "at", "times").distinct()
+    aligned = aligned.groupBy("key").agg(F.sum("times").alias("n_aligned"))
+    said = seen.select("key", F.explode("said").alias("s")).select("key", "s.phrase", "s.n")
+    repeated = said.join(echoes, "phrase", "left_semi").groupBy("key").agg(F.sum("n").alias("n_echoed"))
 
-    induced = open_slots(seen, counted).withColumn("induced", F.lit(True))
+    induced = open_slots(seen, counted, scratch).withColumn("induced", F.lit(True))
 
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     verdict = (

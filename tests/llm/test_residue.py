@@ -49,3 +49,13 @@ def test_slots_in_forms_that_are_not_listed(spark):
     texts = [f"Dear $customer_{x}$, your report is ready." for x in ("name", "city", "mail")] + ["Dear Ann, your report is ready.", "The sweep keeps $PROJECT_NAME$ old rows.", "Dear **reader**, the price is $value$ or so.", "Write `$customer_name$` for the name."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {x["id"]: x["why"] for x in r.residue(df).collect()} == dict.fromkeys([0, 1, 2, 4], "open slot")
+
+
+def test_long_texts_take_part_and_copies_count(spark):
+    echo = ["пример текста здесь. " * 40 + tail for tail in ("", "пример текста здесь.")]
+    parts = " ".join("Try again later. Something went wrong. Sign in again." for _ in range(10))
+    pages = [f"{parts} The {x} gateway keeps no session for you." for x in ("atlas", "mill", "kiln")]
+    form = ["Reviewer: \nDeadline: \n"] * 3
+    real = ["The sweep keeps old rows and reports each of them. " + "It reads the index in path order. " * 10]
+    df = spark.createDataFrame(list(enumerate(echo + pages + form + real)), "doc_id long, text string")
+    assert {x["id"]: x["why"] for x in r.residue(df).collect()} == dict.fromkeys([0, 1], "filler") | dict.fromkeys([2, 3, 4], "error page") | dict.fromkeys([5, 6, 7], "unfilled form")

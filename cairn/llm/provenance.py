@@ -47,7 +47,7 @@ SHIPPED_NAME = re.compile(r"(?i)(?:[._-]min|\.bundle|\.chunk|-bundle)\.(?:js|mjs
 GENERATED_NAME = re.compile(r"(?i)(?:_pb2(?:_grpc)?|\.pb|\.g|\.designer|\.generated|_generated|\.gen)\.\w+$")
 FOREIGN_PLACE = re.compile(r"(?i)/(?:third[_-]?party|node_modules|bower_components|vendored|pods|externals?|extern|deps|libs/ext|(?<=/)vendors?)/[^/]+/(?:.*/)?[^/]+$")
 COMMENT = re.compile(r"(?s)/\*.*?\*/|//[^\n]*|(?m:^\s*#[^\n]*)|\"\"\".*?\"\"\"|'''.*?'''|<!--.*?-->")
-TOP = re.compile(r"\A﻿?(?:[ \t]*(?://|#(?!include|!)|--)[^\n]*\n|[ \t]*/\*[\s\S]{0,3000}?\*/[ \t]*\n|\s*\n)+")
+TOP = re.compile(r"\A﻿?(?:[ \t]*(?://|#(?!include|!)|--)[^\n]*\n|[ \t]*/\*(?:[^*]|\*(?!/))*+\*/[ \t]*\n|\s*\n)+")
 BLOB = re.compile(r"[\"'`][A-Za-z0-9+/=_-]{200,}[\"'`]")
 LITERALS = re.compile(r"^\s*(?:[\[({]\s*)?(?:(?:[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')\s*(?:[,;:]\s*|=>\s*|$|(?=[\])}])))+(?:[\])}]\s*[,;]?\s*)*$")
 
@@ -82,11 +82,10 @@ def evidence(path: str, text: str) -> tuple[bool, list[bool]]:
     size = sum(map(len, lines)) or 1
     literal = sum(len(x) for x in lines if LITERALS.match(x))
     literal += sum(len(m) for x in lines if len(x) > 200 and not LITERALS.match(x) for m in BLOB.findall(x))
-    edge = lf[:1500] + "\n" + lf[-600:]
-    low = edge.lower()
-    notice = _holds(low, NOTICE_WORDS) and NOTICE.search(edge) is not None
-    upstream = _holds(low, UPSTREAM_WORDS) and UPSTREAM.search(edge) is not None
-    shipped = _holds(low, SHIPPED_WORDS) and SHIPPED.search(edge) is not None
+    low = lf.lower()
+    notice = _holds(low, NOTICE_WORDS) and NOTICE.search(lf) is not None
+    upstream = _holds(low, UPSTREAM_WORDS) and UPSTREAM.search(lf) is not None
+    shipped = _holds(low, SHIPPED_WORDS) and SHIPPED.search(lf) is not None
     place = FOREIGN_PLACE.search(path) is not None and not first_party_vendor(path)
     return code, [
         notice or GENERATED_NAME.search(path) is not None or GENERATED_PLACE.search(path) is not None,
@@ -266,7 +265,7 @@ def judge(sources: DataFrame, libraries: DataFrame) -> tuple[DataFrame, dict[str
 
     said = texts.mapInPandas(score, "path string, " + ", ".join(f"svm_{h} boolean" for h in HEADS))
     said = said.groupBy("path").agg(*[F.max(f"svm_{h}").alias(f"svm_{h}") for h in HEADS])
-    # a third party's file looks like any other: what the classifier says of it must be borne out by an exact mark
+    # a third party's file looks like any other, so only an exact mark decides; its classifier is reported, not used
     verdict = {h: F.col(f"svm_{h}") | F.col(h) for h in HEADS} | {"vendored": F.col("vendored")}
     kinds = F.filter(F.array(*[F.when(verdict[h], F.lit(h)) for h in HEADS]), lambda x: x.isNotNull())
     judged = seen.join(said, "path").where("code").select("path", kinds.alias("kinds"), *HEADS, *[f"svm_{h}" for h in HEADS])

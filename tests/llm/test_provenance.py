@@ -66,3 +66,14 @@ def test_learned_without_notices(spark):
 def test_empty(spark):
     judged, _ = pv.judge(spark.createDataFrame([], "path string, content string"), spark.createDataFrame([], "file_hash string"))
     assert judged.count() == 0
+
+
+def test_notices_and_tops_of_any_length():
+    from cairn.llm.provenance import content_hashes, evidence
+
+    body = "int f(int a) { return a; }\n" * 200
+    licence = "/*\n" + " * Permission is hereby granted to any person who has a copy of this text.\n" * 80 + " */\n"
+    assert set(content_hashes(licence + body)) & set(content_hashes(body))
+    assert evidence("r/src/a.c", body + "// upstream: https://example.invalid/a 1.2\n" + body)[1][2]
+    assert evidence("r/src/a.c", licence + "// Code generated by protoc. DO NOT EDIT.\n" + body)[1][0]
+    assert not any(evidence("r/src/a.c", licence + body)[1])

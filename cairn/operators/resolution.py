@@ -56,17 +56,29 @@ def import_candidates(lang: Column, path: Column, spec: Column) -> Column:
         F.when(F.startswith(spec, F.lit(".")), F.array(near)).otherwise(F.array().cast("array<string>"))
     )
     quoted = F.when(F.startswith(spec, F.lit("<")), F.array().cast("array<string>")).otherwise(F.array(near, join_path(root, spec)))
-    crate = F.regexp_replace(F.regexp_replace(spec, r"^(crate|self|super)::", ""), "::", "/")
-    rust_base = F.when(F.startswith(spec, F.lit("crate::")), join_path(root, F.concat(F.lit("src/"), crate))).when(
-        F.startswith(spec, F.lit("self::")), join_path(here, crate)
-    ).when(F.startswith(spec, F.lit("super::")), join_path(parent_dir(here), crate)).when(F.startswith(spec, F.lit("./")), near)
-    rust = F.when(rust_base.isNotNull(), F.array(F.concat(rust_base, F.lit(".rs")), F.concat(rust_base, F.lit("/mod.rs")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    # a path from the repository's root without its ending
+    rooted = lambda end: F.when(F.contains(spec, F.lit("/")) & ~F.startswith(spec, F.lit(".")), F.array(F.concat(root, F.lit("/"), spec, F.lit(end)))).otherwise(none)
+    segments = F.split(F.regexp_replace(spec, r"^(crate|self|super)::", ""), "::")
+    rust_bases = (
+        F.when(F.startswith(spec, F.lit("crate::")), F.array(F.concat(root, F.lit("/src")), root))
+        .when(F.startswith(spec, F.lit("self::")), F.array(here))
+        .when(F.startswith(spec, F.lit("super::")), F.array(parent_dir(here)))
+        .otherwise(none)
+    )
+    both = lambda stem: F.array(F.concat(stem, F.lit(".rs")), F.concat(stem, F.lit("/mod.rs")))
+    longest_first = F.sequence(F.size(segments), F.lit(1), F.lit(-1))
+    prefixes = lambda b: F.flatten(F.transform(longest_first, lambda k: both(F.concat(b, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/")))))
+    modules = F.concat(both(near), both(F.concat(root, F.lit("/src/"), F.substring(spec, 3, 100_000))))
+    rust = F.when(F.startswith(spec, F.lit("./")), modules).otherwise(F.concat(F.flatten(F.transform(rust_bases, prefixes)), rooted(".rs")))
     scripts = F.when(F.startswith(spec, F.lit(".")), script_candidates(path, spec)).otherwise(F.array().cast("array<string>"))
     return (
         F.when(lang.isin("typescript", "javascript"), scripts)
         .when(lang == "python", python)
         .when(lang == "ruby", ruby)
-        .when(lang == "gdscript", godot)
+        .when(lang == "gdscript", F.concat(godot, rooted(".gd")))
+        .when(lang == "go", rooted(".go"))
+        .when(lang == "c_sharp", rooted(".cs"))
         .when(lang == "cpp", quoted)
         .when(lang == "rust", rust)
         .otherwise(F.array().cast("array<string>"))
@@ -85,7 +97,24 @@ def resolve_imports(ix: Index) -> DataFrame:
     ends = files.where("lang = 'java'").select("file_id", F.explode(path_suffixes(F.col("path"))).alias("suffix"))
     unique = ends.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("target_file_id")).where("n = 1").drop("n")
     java = wanted.join(unique, "suffix").select("import_id", "target_file_id")
-    return ruled.unionByName(java)
+    # go: a package is a folder and stands for its first file; c_sharp: the first file that declares the namespace;
+    # cpp: a base name that only one file of the repository has
+    top = lambda c: F.substring_index(c, "/", 1)
+    first = lambda df, *keys: df.groupBy(*keys).agg(F.min_by("file_id", F.struct("path", "file_id")).alias("target_file_id"))
+    folders = first(files.where("endswith(path, '.go')").select("file_id", "path", parent_dir(F.col("path")).alias("folder")), "folder")
+    inside = (F.col("specifier") == top("path")) | F.startswith("specifier", F.concat(top("path"), F.lit("/")))
+    asked = rows.where("lang = 'go'").where(inside | F.contains("specifier", F.lit("/")))
+    go = asked.select("import_id", F.when(inside, F.col("specifier")).otherwise(F.concat(top("path"), F.lit("/"), "specifier")).alias("folder"))
+    go = go.join(folders, "folder").select("import_id", "target_file_id")
+    spaces = ix.symbols.where("kind = 'namespace'").select("file_id", F.coalesce("qualified_name", "name").alias("space")).join(files.where("lang = 'c_sharp'"), "file_id")
+    spaces = first(spaces.select("file_id", "path", top("path").alias("root"), "space"), "root", "space")
+    using = rows.where("lang = 'c_sharp'").select("import_id", top("path").alias("root"), F.regexp_replace(F.regexp_replace("specifier", r"^static\s+", ""), r"^\w+\s*=\s*", "").alias("space"))
+    c_sharp = using.join(spaces, ["root", "space"]).select("import_id", "target_file_id")
+    bases = files.groupBy(top("path").alias("root"), F.substring_index("path", "/", -1).alias("base")).agg(F.countDistinct("file_id").alias("n"), F.min("file_id").alias("target_file_id")).where("n = 1")
+    quoted = rows.where("lang = 'cpp' and not startswith(specifier, '<')").select("import_id", top("path").alias("root"), F.substring_index("specifier", "/", -1).alias("base"))
+    cpp = quoted.join(bases, ["root", "base"]).select("import_id", "target_file_id")
+    rest = go.unionByName(c_sharp).unionByName(cpp).join(ruled, "import_id", "left_anti")
+    return ruled.unionByName(java).unionByName(rest.dropDuplicates(["import_id"]))
 
 
 def _stats(df: DataFrame, keys: list[str]) -> DataFrame:

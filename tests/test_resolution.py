@@ -57,3 +57,14 @@ def test_pairs_and_counts(ix):
     assert {(r["file_id"], r["resolved_file_id"]) for r in relational.import_pairs(ix).collect()} >= {(1, 2), (1, 3), (4, 5)}
     counts = {r["lang"]: (r["n_files"], r["n_symbols"]) for r in relational.counts_by_language(ix).collect()}
     assert counts["typescript"] == (3, 6) and counts["gdscript"] == (1, 0)
+
+
+def test_imports_of_go_c_sharp_cpp_and_rust(spark, tmp_path):
+    files = [(1, "r/cmd/m.go", "go"), (2, "r/pkg/b.go", "go"), (3, "r/pkg/a.go", "go"), (4, "r/src/t.go", "go"), (5, "r/M.cs", "c_sharp"), (6, "r/z/B.cs", "c_sharp"), (7, "r/z/A.cs", "c_sharp"), (8, "r/c/m.cpp", "cpp"), (9, "r/inc/u.hpp", "cpp"), (10, "r/src/k/o.rs", "rust"), (11, "r/src/a/b.rs", "rust"), (12, "r/top.rs", "rust"), (13, "r/src/x.rs", "rust")]
+    imports = [(1, 1, "r/pkg", 3), (2, 1, "src/t", 4), (3, 1, "fmt", None), (4, 5, "static N.S", 7), (5, 8, "lib/u.hpp", 9), (6, 10, "crate::a::b::Type", 11), (7, 10, "crate::top::f", 12), (8, 10, "./x", 13), (9, 1, "pkg/", None), (10, 5, "X = N.S", 7)]
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("files", [(i, p, lang, 1, False) for i, p, lang in files], "file_id long, path string, lang string, indexed_at long, is_test boolean")
+    put("imports", [(i, f, s, None, 1, None) for i, f, s, _ in imports], "import_id long, file_id long, specifier string, names array<string>, start_line int, resolved_file_id long")
+    put("symbols", [(1, 6, "N.S", "N.S", "namespace", True, None), (2, 7, "N.S", "N.S", "namespace", True, None)], "symbol_id long, file_id long, name string, qualified_name string, kind string, is_exported boolean, bases array<struct<name:string,kind:string>>")
+    got = {r["import_id"]: r["target_file_id"] for r in resolution.resolve_imports(Index(spark, str(tmp_path))).collect()}
+    assert got == {i: t for i, _, _, t in imports if t}

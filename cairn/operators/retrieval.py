@@ -1,4 +1,4 @@
-"""Full-text search with BM25, substring fallback, exact nearest vectors and rank fusion, for a table of queries at once."""
+"""Full-text search with BM25, prefixes and rank fusion, for a table of queries at once (no substring fallback, no vectors)."""
 
 from __future__ import annotations
 

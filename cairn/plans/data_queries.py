@@ -64,6 +64,7 @@ def _orphan_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         "symbols": ["symbol_id", "file_id", "parent_symbol_id"],
         "imports": ["import_id", "file_id", "specifier", "resolved_file_id"],
         "occurrences": ["occ_id", "file_id", "resolved_symbol_id"],
+        "edges": ["src_symbol_id", "dst_symbol_id", "kind"],
         "assets": ["asset_id", "path", "indexed_at"],
         "asset_refs": ["ref_id", "asset_id", "target_kind", "target"],
         "removals": ["rec_table", "rec_id"],
@@ -71,12 +72,12 @@ def _orphan_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {name: table(spark, d, name, *cols) for name, cols in columns.items()}
 
 
-P4_FIELDS = ["occurrences", "imports", "asset_refs"]
+P4_FIELDS = ["resolved_symbol_id", "resolved_file_id", "specifier", "target"]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = orphans.orphan_cascade(_orphan_tables(spark, d))
-    return rows.where((F.col("level") == 0) & F.col("src_table").isin(P4_FIELDS)).select(orphans.COLUMNS)
+    return rows.where((F.col("level") == 0) & F.col("field_name").isin(P4_FIELDS)).select(orphans.COLUMNS)
 
 
 def p4_orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -172,22 +173,43 @@ _P4_ALL = """syms AS (
   SELECT s.symbol_id, s.file_id, s.parent, c.d, c.file_id IS NULL AS no_file
   FROM (SELECT symbol_id, min(file_id) AS file_id, min(parent_symbol_id) AS parent FROM symbols WHERE symbol_id IS NOT NULL GROUP BY 1) s
   LEFT JOIN cur c ON c.file_id = s.file_id),
+gone AS (SELECT DISTINCT rec_table, rec_id FROM removals),
 fallen AS (
   SELECT symbol_id, d, 'parent_symbol_id' AS field_name,
-    CASE WHEN parent IN (SELECT rec_id FROM removals WHERE rec_table = 'symbols') THEN 'deleted' ELSE 'missing' END AS reason
+    CASE WHEN parent IN (SELECT rec_id FROM gone WHERE rec_table = 'symbols') THEN 'deleted' ELSE 'missing' END AS reason
   FROM syms WHERE parent IS NOT NULL AND parent NOT IN (SELECT symbol_id FROM syms)
-  UNION ALL SELECT symbol_id, d, 'file_id', 'missing' FROM syms WHERE file_id IS NOT NULL AND no_file),
-down(symbol_id, d, field_name, reason, level) AS (
-  SELECT symbol_id, d, field_name, reason, 0 FROM fallen
-  UNION ALL SELECT s.symbol_id, s.d, 'parent_symbol_id', w.reason, w.level + 1 FROM down w JOIN syms s ON s.parent = w.symbol_id),
+  UNION ALL SELECT symbol_id, d, 'file_id',
+    CASE WHEN file_id IN (SELECT rec_id FROM gone WHERE rec_table = 'files') THEN 'deleted' ELSE 'missing' END
+  FROM syms WHERE file_id IS NOT NULL AND no_file),
+down(symbol_id, d, reason, level) AS (
+  SELECT symbol_id, any_value(d), min(reason), 0::BIGINT FROM fallen GROUP BY 1
+  UNION ALL SELECT s.symbol_id, s.d, w.reason, w.level + 1 FROM down w JOIN syms s ON s.parent = w.symbol_id
+  WHERE s.symbol_id NOT IN (SELECT symbol_id FROM fallen)),
 heirs AS (
-  SELECT DISTINCT 'occurrences' AS src_table, 'resolved_symbol_id' AS field_name, o.occ_id AS row_id, w.reason, f.d AS period_day, w.level + 1 AS level
-  FROM occurrences o JOIN (SELECT symbol_id, min(level) AS level, min(reason) AS reason FROM down GROUP BY 1) w
-  ON w.symbol_id = o.resolved_symbol_id LEFT JOIN cur f ON f.file_id = o.file_id),
+  SELECT DISTINCT 'occurrences' AS src_table, 'resolved_symbol_id' AS field_name, o.occ_id AS row_id, NULL::VARCHAR AS row_key,
+    w.reason, f.d AS period_day, w.level + 1 AS level
+  FROM occurrences o JOIN down w ON w.symbol_id = o.resolved_symbol_id LEFT JOIN cur f ON f.file_id = o.file_id),
+links AS (
+  SELECT DISTINCT e.src_symbol_id, e.dst_symbol_id, s.d,
+    coalesce(e.src_symbol_id::VARCHAR, '') || '>' || coalesce(e.dst_symbol_id::VARCHAR, '') || ':' || coalesce(e.kind, '') AS row_key
+  FROM edges e LEFT JOIN syms s ON s.symbol_id = e.src_symbol_id),
+ends AS (
+  SELECT 'src_symbol_id' AS field_name, src_symbol_id AS ref, d, row_key FROM links
+  UNION ALL SELECT 'dst_symbol_id', dst_symbol_id, d, row_key FROM links),
+owners AS (
+  SELECT DISTINCT 'occurrences' AS src_table, 'file_id' AS field_name, occ_id AS row_id, NULL::VARCHAR AS row_key, 'files' AS rec_table, file_id AS ref, NULL::VARCHAR AS d
+  FROM occurrences WHERE file_id NOT IN (SELECT file_id FROM cur)
+  UNION SELECT 'imports', 'file_id', import_id, NULL, 'files', file_id, NULL FROM imports WHERE file_id NOT IN (SELECT file_id FROM cur)
+  UNION SELECT 'asset_refs', 'asset_id', ref_id, NULL, 'assets', asset_id, NULL FROM asset_refs WHERE asset_id NOT IN (SELECT asset_id FROM assets)
+  UNION SELECT 'edges', field_name, NULL, row_key, 'symbols', ref, d FROM ends WHERE ref IS NOT NULL AND ref NOT IN (SELECT symbol_id FROM syms)),
 everything AS (
-  SELECT src_table, field_name, row_id, reason, period_day, 0 AS level FROM direct
-  UNION ALL SELECT 'symbols', field_name, symbol_id, reason, d, level FROM down
-  UNION ALL SELECT * FROM heirs)"""
+  SELECT src_table, field_name, row_id, NULL::VARCHAR AS row_key, reason, period_day, 0::BIGINT AS level FROM direct
+  UNION ALL SELECT 'symbols', field_name, symbol_id, NULL, reason, d, 0 FROM fallen
+  UNION ALL SELECT 'symbols', 'parent_symbol_id', symbol_id, NULL, reason, d, level FROM down WHERE level > 0
+  UNION ALL SELECT * FROM heirs
+  UNION ALL SELECT 'edges', field_name, NULL, row_key, w.reason, e.d, w.level + 1 FROM ends e JOIN down w ON w.symbol_id = e.ref
+  UNION ALL SELECT src_table, field_name, row_id, row_key, CASE WHEN g.rec_id IS NULL THEN 'missing' ELSE 'deleted' END, d, 0
+    FROM owners o LEFT JOIN gone g ON g.rec_table = o.rec_table AND g.rec_id = o.ref)"""
 
 _P3_HALF = """SELECT '{t}' AS src_table, CAST({k} AS VARCHAR) AS key, count(*) AS n_rows, count(DISTINCT {s}) AS n_sources,
   round(avg(v) + 1e-9, 6) AS mean_confidence,

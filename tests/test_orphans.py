@@ -10,6 +10,7 @@ def tables(spark, **rows):
         "symbols": "symbol_id long, file_id long, parent_symbol_id long, reason string",
         "imports": "import_id long, file_id long, specifier string, resolved_file_id long",
         "occurrences": "occ_id long, file_id long, resolved_symbol_id long",
+        "edges": "src_symbol_id long, dst_symbol_id long, kind string, level int",
         "assets": "asset_id long, path string, indexed_at long",
         "asset_refs": "ref_id long, asset_id long, target_kind string, target string",
         "removals": "rec_table string, rec_id long",
@@ -31,7 +32,8 @@ def test_reasons_periods_and_inheritance(spark):
     out = orphan_cascade(t)
     rows = {(r["src_table"], r["field_name"], r["row_id"], r["reason"], r["period_day"], r["level"]) for r in out.collect()}
     day = "2026-03-01"
-    direct = {x for x in rows if x[5] == 0 and x[0] != "symbols"}
+    direct = {x for x in rows if x[5] == 0 and x[0] != "symbols" and x[1] != "file_id"}
+    assert ("imports", "file_id", 8, "missing", None, 0) in rows
     assert direct == {
         ("occurrences", "resolved_symbol_id", 2, "late", day, 0), ("occurrences", "resolved_symbol_id", 3, "missing", day, 0), ("occurrences", "resolved_symbol_id", 4, "deleted", day, 0),
         ("occurrences", "resolved_symbol_id", 6, "missing", None, 0), ("imports", "specifier", 3, "missing", day, 0), ("imports", "resolved_file_id", 5, "late", day, 0),
@@ -48,3 +50,23 @@ def test_reasons_periods_and_inheritance(spark):
 
 def test_empty_tables(spark):
     assert orphan_cascade(tables(spark)).count() == 0
+
+
+def test_a_long_chain_with_a_circle_beside_it_and_edges(spark):
+    n = 2000
+    chain = [(i, 1, i - 1 if i > 1 else 9_999_999, None) for i in range(1, n + 1)]
+    circle = [(n + 1, 1, n + 2, None), (n + 2, 1, n + 1, None), (n + 3, 1, n + 2, None), (n + 4, 77, 5, None)]
+    t = tables(
+        spark,
+        files=[(1, "r/a.py", "python", T0, False, None)],
+        symbols=chain + circle,
+        edges=[(1, 5, "calls", 3), (1, 5, "calls", 4), (n + 1, 12_345, "calls", None), (n + 1, n + 2, None, None), (None, None, None, None)],
+        removals=[("files", 77)],
+    )
+    rows = orphan_cascade(t).collect()
+    levels = {r["row_id"]: r["level"] for r in rows if r["src_table"] == "symbols" and r["field_name"] == "parent_symbol_id"}
+    assert levels == {i: i - 1 for i in range(1, n + 1)}
+    assert [(r["row_id"], r["reason"], r["level"]) for r in rows if r["field_name"] == "file_id"] == [(n + 4, "deleted", 0)]
+    edges = {(r["field_name"], r["row_key"], r["reason"], r["level"]) for r in rows if r["src_table"] == "edges"}
+    assert edges == {("src_symbol_id", "1>5:calls", "missing", 1), ("dst_symbol_id", "1>5:calls", "missing", 5), ("dst_symbol_id", f"{n + 1}>12345:calls", "missing", 0)}
+    assert len(rows) == n + 1 + 3

@@ -25,6 +25,7 @@ SCRIPTS = ("javascript", "typescript")
 INDENTED = ("python", "gdscript")
 NEWLINE_ENDS = ("python", "gdscript", "ruby")
 LINE_COMMENT = {"python": "#", "gdscript": "#", "ruby": "#"}
+OPENERS = {"c_sharp": "$@", "go": "`", "javascript": "`", "typescript": "`", "ruby": "`/:%"}
 OPERATOR = re.compile(
     r">>>=|<<=|>>=|\*\*=|//=|\?\?=|&&=|\|\|=|===|!==|<=>|\.\.\.|\.\.=|->|=>|<-|:=|::|\?\.|\?\?|\+\+|--|\*\*|\|\||&&|==|!=|<=|>=|=~|!~|<<|//|&\^|\.\.|[-+*/%&|^]=|[-+*/%&|^~!<>=?:;,.@#$()\[\]{}\\]"
 )
@@ -40,6 +41,39 @@ RUBY_END = OPERAND_END | {"next", "break", "return", "redo", "retry", "yield"}
 # what may begin the argument of a Ruby call without brackets
 ARGUMENT = re.compile(r"[ \t]+(?!(?:if|unless|while|until|and|or|do|then|rescue|end|in|else|elsif|when)\b)(?:[A-Za-z_\"'@\d`]|:[\w\"']|::[A-Z]|\[|->|[*&!~-](?=[\w(:\[@\"'])|\{(?=\s*\}))")
 
+DIGITS = re.compile(r"\d+")
+PY_STRING = re.compile(r"(?:[rRbBuUfFtT]{0,2})(\"\"\"|'''|\"|')")
+RUST_RAW = re.compile(r"b?r(#*)\"")
+RUST_CHAR = re.compile(r"b?'(?:\\[^']{1,10}|\\'|[^'\\])'")
+LIFETIME = re.compile(r"'[A-Za-z_]\w*")
+RUST_STRING = re.compile(r'b?"')
+SHARP_STRING = re.compile(r"(?:\$@|@\$|@)\"|\$*\"\"\"|\$?\"")
+CPP_RAW = re.compile(r"(?:u8|[uUL])?R\"([^()\\ ]{0,16})\(")
+CPP_PREFIX = re.compile(r"(?:u8|[uUL])(?=[\"'])")
+REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\[])+/[a-z]*")
+RUBY_SYMBOL = re.compile(r":(?:[A-Za-z_]\w*[?!=]?|\"(?:\\.|[^\"\\])*\")")
+RUBY_LIST = re.compile(r"%[wWiIqQ]?([\[({<|!])")
+RUBY_VARIABLE = re.compile(r"@{1,2}[A-Za-z_]\w*|\$(?:[A-Za-z_]\w*|\d|[!@&~_.,;/<>:\"'?*$])")
+RUBY_OPERATOR = re.compile(r"\[\]=?|<=>|===?|=~|![=~]?|[-+~]@?|\*\*?|<<|>>|<=?|>=?|[/%&|^]")
+# a word that isn't part of a number and no prefix of a string
+PLAIN_WORD = re.compile(r"(?<!\w)([^\W\d]\w*)(?![\w\"'#`])")
+# Words besides the keywords whose wording matters to some lexer.
+TOLD_APART = set("match case non record yield sealed default final where await global partial async new not and or when with nameof void int string bool object class static virtual begin end".split())
+DEPTHS = {"(": 1, "[": 1, "{": 1, "HASH": 1, "FUNBRACE": 1, ")": -1, "]": -1, "}": -1}
+
+
+class Shapes(dict):
+    """Words to what stands for them: themselves if a lexer knows them, else one of four words by first letter and length."""
+
+    def __init__(self, words: set[str]):
+        super().__init__((w, w) for w in words)
+
+    def __missing__(self, word: str) -> str:
+        shape = ("X" if word[0].isupper() else "x") * min(len(word), 2)
+        if len(self) < 500_000:
+            self[word] = shape
+        return shape
+
 
 class Lexer:
     """Lines to tokens. A state is (kind of open string or comment, what closes it), () in plain code."""
@@ -49,6 +83,16 @@ class Lexer:
     def __init__(self, lang: str):
         self.lang, self.words, self.own = lang, KEYWORDS[lang], set(OWN[lang].split())
         self.seen: dict[tuple, tuple] = {}
+        self.shapes = Shapes(set(self.words) | TOLD_APART)
+        # characters at which a comment, string or regular expression may begin; letters only before a quote
+        self.openers = {"\"", "'", "#" if lang in LINE_COMMENT else "/"} | set(OPENERS.get(lang, ""))
+
+    def shape(self, text: str) -> str:
+        """The line with its own words replaced; lines of one shape have the same tokens."""
+        parts = PLAIN_WORD.split(text)
+        shapes = self.shapes
+        parts[1::2] = [shapes[w] for w in parts[1::2]]
+        return "".join(parts)
 
     def line(self, state: tuple, text: str) -> tuple[tuple[str, ...], tuple, int]:
         """tokens, state after the line, change of bracket depth."""
@@ -57,7 +101,14 @@ class Lexer:
         if found is None:
             if len(self.seen) >= self.LIMIT:
                 self.seen.clear()
-            found = self.seen[key] = self._line(state, text)
+            if state or 'R"' in text:  # what closes a raw string is told by its wording
+                found = self._line(state, text)
+            else:
+                shape = self.shape(text)
+                found = self.seen.get((None, shape))
+                if found is None:
+                    found = self.seen[(None, shape)] = self._line(state, shape)
+            self.seen[key] = found
         return found
 
     def _line(self, state: tuple, text: str) -> tuple[tuple[str, ...], tuple, int]:
@@ -68,6 +119,7 @@ class Lexer:
             return (), (state if text.rstrip().endswith("\\") else ()), 0
         if lang == "ruby" and not state and text.startswith("=begin"):
             return (), ("comment", "=end"), 0
+        quoted = '"' in text or "'" in text
         while at < n:
             if state:
                 kind, close = state
@@ -83,7 +135,7 @@ class Lexer:
             if c == "\\" and not text[at + 1 :].strip():
                 out.append("\\")
                 break
-            opened = self._open(text, at, out)
+            opened = self._open(text, at, out) if c in self.openers or (quoted and c.isalpha()) else None
             if opened is not None:
                 at, token, state = opened
                 if token:
@@ -94,7 +146,7 @@ class Lexer:
             if c.isdigit() or (c == "." and at + 1 < n and text[at + 1].isdigit() and not (out and out[-1] in OPERAND_END)):
                 m = BARE_NUMBER.match(text, at) if c != "." else NUMBER.match(text, at)
                 if lang == "rust" and out and out[-1] == "." and "." in m[0]:
-                    m = re.compile(r"\d+").match(text, at)
+                    m = DIGITS.match(text, at)
                 rest = NAME_S.match(text, m.end())
                 tail = rest[0] if rest else ""
                 if not SUFFIX.match(tail) or (lang == "python" and re.fullmatch(r"0\d*[1-9]\d*", m[0])):
@@ -116,7 +168,7 @@ class Lexer:
 
     @staticmethod
     def _depth(out: list[str]) -> int:
-        return sum(t in ("(", "[", "{", "HASH", "FUNBRACE") for t in out) - sum(t in (")", "]", "}") for t in out)
+        return sum([DEPTHS[t] for t in out if t in DEPTHS])
 
     def _close(self, text: str, at: int, kind: str, close: str) -> int:
         if kind in ("comment", "raw"):
@@ -152,24 +204,24 @@ class Lexer:
             end = text.find("*/", at + 2)
             return (end + 2, "", ()) if end >= 0 else (n, "", ("comment", "*/"))
         if lang in INDENTED:
-            m = re.compile(r"(?:[rRbBuUfFtT]{0,2})(\"\"\"|'''|\"|')").match(text, at)
+            m = PY_STRING.match(text, at)
             if m and (m.start(1) == at or lang == "python"):
                 return self._string(text, m.end(), m[1], "str" if len(m[1]) == 3 else "")
             return None
         if lang == "rust":
-            m = re.compile(r"b?r(#*)\"").match(text, at)
+            m = RUST_RAW.match(text, at)
             if m:
                 return self._string(text, m.end(), '"' + m[1], "raw")
-            m = re.compile(r"b?'(?:\\[^']{1,10}|\\'|[^'\\])'").match(text, at)
+            m = RUST_CHAR.match(text, at)
             if m:
                 return m.end(), "STR", ()
-            m = re.compile(r"'[A-Za-z_]\w*").match(text, at)
+            m = LIFETIME.match(text, at)
             if m:
                 return m.end(), "LIFE", ()
-            m = re.compile(r'b?"').match(text, at)
+            m = RUST_STRING.match(text, at)
             return self._string(text, m.end(), '"', "str") if m else None
         if lang == "c_sharp":
-            m = re.compile(r"(?:\$@|@\$|@)\"|\$*\"\"\"|\$?\"").match(text, at)
+            m = SHARP_STRING.match(text, at)
             if m:
                 if m[0].endswith('"""'):
                     return self._string(text, m.end(), '"""', "rawx")
@@ -177,10 +229,10 @@ class Lexer:
         if lang == "java" and text.startswith('"""', at):
             return self._string(text, at + 3, '"""', "str")
         if lang == "cpp":
-            m = re.compile(r"(?:u8|[uUL])?R\"([^()\\ ]{0,16})\(").match(text, at)
+            m = CPP_RAW.match(text, at)
             if m:
                 return self._string(text, m.end(), ")" + m[1] + '"', "raw")
-            m = re.compile(r"(?:u8|[uUL])(?=[\"'])").match(text, at)
+            m = CPP_PREFIX.match(text, at)
             if m:
                 at, c = m.end(), text[m.end()]
         if lang == "go" and c == "`":
@@ -189,18 +241,18 @@ class Lexer:
             if c == "`":
                 return self._string(text, at + 1, "`", "tpl")
             if c == "/" and not (out and (out[-1] in OPERAND_END)):
-                m = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\[])+/[a-z]*").match(text, at)
+                m = REGEX.match(text, at)
                 return (m.end(), "REGEX", ()) if m else (n, "ERR", ())
         if lang == "ruby":
             if c == "`":
                 return self._string(text, at + 1, "`", "str")
             if c == "/" and not (out and out[-1] in OPERAND_END):
-                m = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\[])+/[a-z]*").match(text, at)
+                m = REGEX.match(text, at)
                 return (m.end(), "REGEX", ()) if m else (n, "ERR", ())
-            m = re.compile(r":(?:[A-Za-z_]\w*[?!=]?|\"(?:\\.|[^\"\\])*\")").match(text, at)
+            m = RUBY_SYMBOL.match(text, at)
             if m and not (at and text[at - 1] == ":") and text[at + 1 : at + 2] != ":":
                 return m.end(), "SYM", ()
-            m = re.compile(r"%[wWiIqQ]?([\[({<|!])").match(text, at)
+            m = RUBY_LIST.match(text, at)
             if m and not (out and out[-1] in OPERAND_END):
                 close = {"[": "]", "(": ")", "{": "}", "<": ">"}.get(m[1], m[1])
                 return self._string(text, m.end(), close, "str")
@@ -283,11 +335,11 @@ class Lexer:
             out.append("PRIVATE")
             return NAME_S.match(text, at + 1).end()
         if lang == "ruby" and op in ("@", "$"):
-            m = re.compile(r"@{1,2}[A-Za-z_]\w*|\$(?:[A-Za-z_]\w*|\d|[!@&~_.,;/<>:\"'?*$])").match(text, at)
+            m = RUBY_VARIABLE.match(text, at)
             out.append("IVAR" if m else "ERR")
             return m.end() if m else len(text)
         if lang == "ruby" and prev in ("def", ".") and op not in ("(", "["):
-            m = re.compile(r"\[\]=?|<=>|===?|=~|![=~]?|[-+~]@?|\*\*?|<<|>>|<=?|>=?|[/%&|^]").match(text, at)
+            m = RUBY_OPERATOR.match(text, at)
             if m and prev == "def":
                 out.append("OPNAME")
                 return m.end()
@@ -436,21 +488,36 @@ def _dotted(lines: list[str], number: int) -> bool:
     return False
 
 
-def check_files(files: DataFrame) -> DataFrame:
-    """file_id, valid, error_line, error_token from (file_id, lang, content)."""
+def check_texts(texts: DataFrame) -> DataFrame:
+    """lang, sha, valid, error_line, error_token from (lang, sha, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, lang, text in zip(pdf["file_id"], pdf["lang"], pdf["content"]):
+            for sha, lang, text in zip(pdf["sha"], pdf["lang"], pdf["content"]):
                 found = first_error(lang, text) if lang in GRAMMARS else None
-                rows.append((i, found is None if lang in GRAMMARS else None, *(found or (None, None))))
-            out = pd.DataFrame(rows, columns=["file_id", "valid", "error_line", "error_token"])
+                rows.append((lang, sha, found is None if lang in GRAMMARS else None, *(found or (None, None))))
+            out = pd.DataFrame(rows, columns=["lang", "sha", "valid", "error_line", "error_token"])
             out["error_line"] = out["error_line"].astype("Int32")
             yield out
 
-    schema = "file_id long, valid boolean, error_line int, error_token string"
-    return files.select("file_id", "lang", "content").where("content is not null").mapInPandas(run, schema)
+    return texts.select("lang", "sha", "content").mapInPandas(run, "lang string, sha string, valid boolean, error_line int, error_token string")
+
+
+def check_files(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """file_id, valid, error_line, error_token of every file with a text.
+
+    files: file_id, path, lang. sources: path, content. A text that comes again, under whatever path, is parsed once a
+    language: files meet hashes, and only one copy of each text is shuffled to where it is parsed.
+    """
+    sha = F.sha2("content", 256).alias("sha")
+    texts = sources.where("content is not null and path is not null")
+    hashed = files.join(texts.select(F.col("path").alias("p"), sha).distinct(), F.col("path") == F.col("p")).select("file_id", "lang", "sha")
+    wanted = hashed.select("sha", "lang").distinct()
+    once = texts.select(sha, "content").dropDuplicates(["sha"])
+    verdict = check_texts(once.join(wanted, "sha")).withColumnRenamed("lang", "as_lang")
+    known = hashed.join(verdict, (hashed["sha"] == verdict["sha"]) & F.col("lang").eqNullSafe(F.col("as_lang")))
+    return known.select("file_id", "valid", "error_line", "error_token").distinct()
 
 
 def error_rates(checked: DataFrame) -> DataFrame:

@@ -67,11 +67,8 @@ def _current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:
-    """file_id, valid, error_line, error_token; a text delivered twice is read twice and counted once."""
-    files = _current(spark, d)
-    sources = table(spark, d, "sources", "path", "content").where("content is not null").withColumnRenamed("path", "p")
-    texts = sources.join(files, F.col("p") == F.col("path")).select("file_id", "lang", "content")
-    return parsing.check_files(texts)
+    """file_id, valid, error_line, error_token."""
+    return parsing.check_files(_current(spark, d), table(spark, d, "sources", "path", "content"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +77,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_files(spark: SparkSession, d: str) -> DataFrame:
     """The verdict on each file with its first error."""
-    return _checked(spark, d).distinct()
+    return _checked(spark, d)
 
 
 def p7_rates(spark: SparkSession, d: str) -> DataFrame:

@@ -62,8 +62,22 @@ def test_engine():
 
 
 def test_table(spark):
-    df = spark.createDataFrame([(1, "python", "x = 1\n", 1), (2, "python", "x = (\n", 1), (3, "python", None, 1), (4, "cobol", "x", 1), (5, None, "x", 1), (6, "go", "", 1)], "file_id long, lang string, content string, valid int")
-    out = {r["file_id"]: r for r in parsing.check_files(df).collect()}
-    assert set(out) == {1, 2, 4, 5, 6}
+    rows = [("r/1", 1, "python", "x = 1\n"), ("r/2", 2, "python", "x = (\n"), ("r/3", 3, "python", None), ("r/4", 4, "cobol", "x"), ("r/5", 5, None, "x"), ("r/6", 6, "go", ""), ("r/7", 7, "go", "x = (\n"), ("r/8", 8, "python", "x = (\n")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "path string, file_id long, lang string, content string, valid int")
+    files, sources = df.drop("content"), df.drop("lang", "file_id")
+    out = {r["file_id"]: r for r in parsing.check_files(files.select("file_id", "path", "lang"), sources.unionByName(sources)).collect()}
+    assert set(out) == {1, 2, 4, 5, 6, 7, 8}
     assert out[1]["valid"] and out[2]["valid"] is False and out[2]["error_token"] == "end of file" and out[4]["valid"] is None and out[5]["valid"] is None
-    assert parsing.check_files(df.limit(0)).count() == 0
+    assert out[7]["valid"] is False and out[8]["valid"] is False and out[6]["valid"]
+    assert parsing.check_files(files.limit(0), sources).count() == 0
+
+
+@pytest.mark.parametrize("lang", sorted(VALID))
+def test_lines_of_one_shape_have_the_same_tokens(lang):
+    lexer = parsing.Lexer(lang)
+    for text in (VALID[lang], BREAKS["cut"](VALID[lang]) if "cut" in BREAKS else "x = 'a"):
+        state = ()
+        for line in text.split("\n"):
+            tokens, after, depth = lexer.line(state, line)
+            assert (tokens, after, depth) == lexer._line(state, line)
+            state = after

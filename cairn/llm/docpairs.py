@@ -2,18 +2,21 @@
 
 A state machine of one pattern per language family walks each text once and tells strings, comments, regular expressions
 and code apart. In what is left, braces are matched (``end`` words in Ruby, indentation in Python and GDScript) to find
-where each function begins and ends, and the comment right above it (or the first string inside it) is attached. The
-functions meet the rows of ``symbols`` by file and first line; those whose documentation says nothing are dropped.
+where each function begins and ends, and the comment right above it (or the first string inside it) is attached. Names and
+signatures come from the rows of ``symbols`` that begin on the same line; functions whose attached comment says nothing
+are dropped. Where the attached comment and the index's doc_comment differ in their words, both have to say something.
 
 Defined results: a function without documentation, or whose documentation consists of its own name, bare parameters,
-tags, tool directives, section lines, licence notes, code or stand-ins, gives no pair; a file whose content is null gives
-pairs with a null code; twice-delivered rows count once; line ends may be LF or CR LF; unknown languages are lexed like C.
+tags, tool directives, section lines, licence notes, code or stand-ins, gives no pair; what the lexer doesn't delimit in a
+readable text gives no pair either; for files whose text is null or absent there is nothing to lex, so their pairs rest
+on the index alone and are marked (readable false, code and comment null); twice-delivered rows count once; line ends may
+be LF or CR LF; unknown languages are lexed like C.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -94,6 +97,28 @@ def informative(doc: str | None, name: str | None, signature: str | None = None)
     return False
 
 
+_MARKS = re.compile(r"^[ \t]*(?:/\*+[!*]?|\*+/|//+[!/<]*|\*(?!/)|#+(?![!:\w])|#+(?=\w)|=begin\b|=end\b)?[ \t]?|[ \t]*\*+/[ \t]*$", re.M)
+_QUOTES = re.compile(r"(?s)\A[rRbBuUfF]{0,2}(\"\"\"|'''|\"|')(.*?)(?:\1)?\Z")
+
+
+def without_marks(comment: str | None) -> str | None:
+    """The text of a comment or of a documentation string."""
+    if comment is None:
+        return None
+    m = _QUOTES.match(comment.strip())
+    return m[2] if m else _MARKS.sub("", comment)
+
+
+def same_words(a: str | None, b: str | None) -> bool:
+    return re.findall(r"[^\W_]+", a or "") == re.findall(r"[^\W_]+", b or "")
+
+
+def documented(comment: str | None, doc: str | None, name: str | None, signature: str | None) -> bool:
+    """Whether the attached comment says something; the index's wording is asked too where it is another."""
+    text = without_marks(comment)
+    return informative(text, name, signature) and (same_words(text, doc) or informative(doc, name, signature))
+
+
 # --- the lexer -----------------------------------------------------------------------------------------------------
 
 _C_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
@@ -243,45 +268,56 @@ def functions(lang: str, text: str) -> list[tuple[int, int, str, str | None]]:
     return out
 
 
-def extract_functions(files: DataFrame) -> DataFrame:
-    """file_id, first_line, last_line, code, comment from (file_id, lang, content)."""
+def extract_functions(files: DataFrame, with_code: bool = True) -> DataFrame:
+    """file_id, first_line, last_line, code, comment from (file_id, lang, content); code is null if it isn't wanted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, *f) for i, lang, text in zip(pdf["file_id"], pdf["lang"], pdf["content"]) if text for f in functions(lang or "", text)]
+            rows = [
+                (i, first, last, code if with_code else None, comment)
+                for i, lang, text in zip(pdf["file_id"], pdf["lang"], pdf["content"])
+                if text
+                for first, last, code, comment in functions(lang or "", text)
+            ]
             yield pd.DataFrame(rows, columns=["file_id", "first_line", "last_line", "code", "comment"])
 
     schema = "file_id long, first_line int, last_line int, code string, comment string"
     return files.select("file_id", "lang", "content").where("content is not null").mapInPandas(run, schema)
 
 
-def says_something(doc: Column | str, name: Column | str, signature: Column | str) -> Column:
+def judged(rule: Callable[..., bool], *columns: str) -> Column:
+    """A rule on the values of some columns as a boolean column."""
+
     @F.pandas_udf("boolean")
-    def check(d: pd.Series, n: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([informative(*x) for x in zip(d, n, s)], dtype=bool)
+    def check(*values: pd.Series) -> pd.Series:
+        return pd.Series([rule(*x) for x in zip(*values)], dtype=bool)
 
-    return check(doc, name, signature)
+    return check(*columns)
 
 
-def doc_pairs(symbols: DataFrame, files: DataFrame, sources: DataFrame) -> DataFrame:
-    """symbol_id, file_id, lang, code, doc, comment (as lexed) of every documented function, method and constructor.
+def doc_pairs(symbols: DataFrame, files: DataFrame, sources: DataFrame, with_code: bool = True) -> DataFrame:
+    """symbol_id, file_id, lang, readable, code, doc, comment (as lexed) of every documented function, method and constructor.
 
     files: file_id, path, lang (one row each).
     """
     wanted = symbols.where(F.col("kind").isin(*KINDS) & F.col("doc_comment").isNotNull() & F.col("symbol_id").isNotNull())
-    wanted = wanted.select("symbol_id", "file_id", "name", "start_line", "end_line", "signature", F.col("doc_comment").alias("doc")).dropDuplicates(["symbol_id"])
-    wanted = wanted.where(says_something("doc", "name", "signature")).drop("name", "signature")
+    wanted = wanted.select("symbol_id", "file_id", "name", "start_line", "signature", F.col("doc_comment").alias("doc")).dropDuplicates(["symbol_id"])
     texts = sources.where("content is not null").select(F.col("path").alias("p"), "content").dropDuplicates(["p"])
     texts = files.join(texts, F.col("path") == F.col("p")).select("file_id", "lang", "content")
-    lexed = extract_functions(texts).select(F.col("file_id").alias("fid"), "first_line", "code", "comment")
-    lexed = lexed.groupBy("fid", "first_line").agg(F.max_by(F.struct("code", "comment"), F.length("code")).alias("f"))
+    lexed = extract_functions(texts, with_code).select(F.col("file_id").alias("fid"), "first_line", "last_line", "code", "comment").where("comment is not null")
+    # of functions that begin on one line the longest is meant
+    lexed = lexed.groupBy("fid", "first_line").agg(F.max_by(F.struct("code", "comment"), "last_line").alias("f"))
     langs = files.select(F.col("file_id").alias("lid"), "lang")
-    met = wanted.join(lexed, (F.col("file_id") == F.col("fid")) & (F.col("start_line") == F.col("first_line")), "left")
-    paired = met.where("f is not null").select("symbol_id", "file_id", F.col("f.code").alias("code"), "doc", F.col("f.comment").alias("comment"))
-    # what the lexer doesn't delimit keeps the lines that the index names
-    plain = texts.select(F.col("file_id").alias("tid"), F.split(F.regexp_replace("content", "\r\n", "\n"), "\n").alias("lines"))
-    lines = F.slice("lines", F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1)))
-    rest = met.where("f is null").join(plain, F.col("file_id") == F.col("tid"), "left").select(
-        "symbol_id", "file_id", F.when(F.col("start_line").isNotNull() & F.col("end_line").isNotNull(), F.array_join(lines, "\n")).alias("code"), "doc", F.lit(None).cast("string").alias("comment")
+    paired = (
+        lexed.join(wanted, (F.col("fid") == F.col("file_id")) & (F.col("first_line") == F.col("start_line")))
+        .select("symbol_id", "file_id", "name", "signature", F.col("f.code").alias("code"), "doc", F.col("f.comment").alias("comment"))
+        .where(judged(documented, "comment", "doc", "name", "signature"))
+        .select("symbol_id", "file_id", F.lit(True).alias("readable"), "code", "doc", "comment")
     )
-    return paired.unionByName(rest).join(langs, F.col("file_id") == F.col("lid"), "left").select("symbol_id", "file_id", "lang", "code", "doc", "comment")
+    readable = sources.where("content is not null").select(F.col("path").alias("p")).distinct()
+    readable = files.join(readable, F.col("path") == F.col("p"), "left_semi").select(F.col("file_id").alias("rid"))
+    unread = wanted.join(readable, F.col("file_id") == F.col("rid"), "left_anti").where(judged(informative, "doc", "name", "signature"))
+    none = F.lit(None).cast("string")
+    unread = unread.select("symbol_id", "file_id", F.lit(False).alias("readable"), none.alias("code"), "doc", none.alias("comment"))
+    both = paired.unionByName(unread)
+    return both.join(langs, F.col("file_id") == F.col("lid"), "left").select("symbol_id", "file_id", "lang", "readable", "code", "doc", "comment")

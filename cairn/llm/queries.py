@@ -47,18 +47,19 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("id").alias("chunk_id"), "rank", F.col("neighbour_id").alias("neighbour_chunk_id"), F.round("cosine", 5).alias("cosine"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, with_code: bool) -> DataFrame:
     files = _current(spark, d)
-    symbols = table(spark, d, "symbols", "symbol_id", "file_id", "name", "kind", "start_line", "end_line", "signature", "doc_comment")
-    return docpairs.doc_pairs(symbols, files, table(spark, d, "sources", "path", "content"))
+    symbols = table(spark, d, "symbols", "symbol_id", "file_id", "name", "kind", "start_line", "signature", "doc_comment")
+    return docpairs.doc_pairs(symbols, files, table(spark, d, "sources", "path", "content"), with_code)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("symbol_id")
+    return _pairs(spark, d, False).select("symbol_id")
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("symbol_id", "lang", "code", "doc")
+    """Code with the comment that was found at it (the index's for a file without a text)."""
+    return _pairs(spark, d, True).select("symbol_id", "lang", "readable", "code", "comment", "doc")
 
 
 def _current(spark: SparkSession, d: str) -> DataFrame:

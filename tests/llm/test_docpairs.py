@@ -45,7 +45,24 @@ def test_pairs_table(spark):
         "symbol_id long, file_id long, name string, kind string, start_line int, end_line int, signature string, doc_comment string, code string",
     )
     files = spark.createDataFrame([(1, "r/a.py", "python"), (2, "r/b.py", "python")], "file_id long, path string, lang string")
-    sources = spark.createDataFrame([("r/a.py", "# Note.\ndef a(x):\n    return x\n"), ("r/b.py", None)], "path string, content string")
+    sources = spark.createDataFrame([("r/a.py", "# TODO: later.\ndef a(x):\n    return x\n"), ("r/b.py", None)], "path string, content string")
     rows = {r["symbol_id"]: r for r in dp.doc_pairs(symbols, files, sources).collect()}
-    assert set(rows) == {1, 3, 5, 6} and rows[5]["code"] == "    return x" and rows[6]["code"] is None and rows[1]["code"] == "def a(x):\n    return x" and rows[3]["code"] is None
+    # nothing is said at 1, and 5 and 6 are no functions of the text
+    assert set(rows) == {3} and rows[3]["code"] is None and rows[3]["readable"] is False
+    sources = spark.createDataFrame([("r/a.py", "# Never throws.\ndef a(x):\n    return x\n"), ("r/b.py", None)], "path string, content string")
+    rows = {r["symbol_id"]: r for r in dp.doc_pairs(symbols, files, sources).collect()}
+    assert set(rows) == {1, 3} and rows[1]["code"] == "def a(x):\n    return x" and rows[1]["comment"] == "# Never throws." and rows[1]["readable"]
     assert dp.doc_pairs(symbols.limit(0), files, sources).count() == 0
+
+
+@pytest.mark.parametrize(
+    "comment, text",
+    [('"""Says so.\n    More."""', "Says so.\n    More."), ("/** Never throws.\n * @param x\n */", " Never throws."), ("// One.\n// Two.", "One.\nTwo."), ("/// <summary>A.</summary>", "<summary>A.</summary>"), ("=begin\nA.\n=end", "\nA.\n"), (None, None)],
+)
+def test_marks(comment, text):
+    assert (dp.without_marks(comment) or "").strip().startswith((text or "").strip().split("\n")[0])
+
+
+def test_both_wordings_are_asked_where_they_differ():
+    assert dp.documented("// Never throws.", "Never throws.", "x", None) and not dp.documented("// Never throws.", "TODO", "x", None)
+    assert not dp.documented("// TODO: later", "Never throws.", "x", None) and not dp.documented(None, "Never throws.", "x", None)

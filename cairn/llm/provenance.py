@@ -1,10 +1,15 @@
 """Files that were not written by hand where they lie: generated, minified, vendored, bulk data.
 
 Four linear support-vector classifiers work on hashed character n-grams of the text and on path components. Their labels
-come from giveaways (a tool's notice in a comment, a known library's hash, a shipping name, a table of literals); the
-notices are masked before the n-grams are taken, so that a classifier learns what such files look like without them.
-Repositories are split by hash: the classifiers are fitted on some and their thresholds chosen on the others. The
-fitting rows are a bounded sample (FIT_ROWS); every file is then judged by the classifiers and by exact evidence.
+come from giveaways (a tool's notice in a comment, a known library's hash, a shipping name, a table of literals); notices
+and telling names and folders are masked before the features are taken, so that a classifier learns what such files look
+like without them. Repositories are split by hash: the classifiers are fitted on three fifths, their two thresholds are
+chosen on another fifth and their precision and recall are reported on the last. The fitting rows come from a bounded
+sample of the files (SAMPLE_FILES, FIT_ROWS); then every file is read once for its margins and its giveaways.
+
+Only a classifier names a file: above its upper threshold its word is enough, between the two thresholds an exact giveaway
+must bear it out. The lower one lets all labelled files of the repositories it is chosen on pass. Where a file comes from
+can't be told by its looks for certain (BY_LOOKS), so third-party files always need a giveaway besides.
 
 Defined results: null content, empty and comment-only files are no cases; CR LF counts as LF; a text of any length is
 read whole; copies get the same n-grams and may differ by path only; twice-delivered rows count once.
@@ -26,12 +31,15 @@ from cairn.session import Scratch
 
 HEADS = ["generated", "minified", "vendored", "data"]
 TEXT_BINS, PATH_BINS = 1 << 15, 1 << 12
+SAMPLE_FILES = 20_000  # bound (in expectation) of the files that fitting rows are taken from
 FIT_ROWS = 1000  # bound of the positive rows of each classifier, and of its negative rows per 1
 NEGATIVES = 3  # negative rows for each allowed positive one
 GRAM = 5
 COST = 0.5
 EPOCHS = 12
 UNSURE = -0.6  # margin from which an unlabelled row isn't used as a negative
+BY_LOOKS = ["generated", "minified", "data"]  # heads whose classifier needs no giveaway above its upper threshold
+SLACK = 0.25  # how far the lower threshold lies below the lowest margin of a labelled file there
 # The notices of tools, in a comment, by language.
 NOTICE = re.compile(
     r"(?im)^[ \t]*(?://+|#+|/\*+!?|\*+|--|;+|<!--)[ \t]*(?!.*\b(?:not|no longer|isn't|never)\b.{0,20}generated)(?!.*\bmethod stub\b)(?:.*@generated\b|.*\bdo not (?:edit|modify)\b|(?:this (?:file|code) (?:is|was|has been) )?(?:auto-?generated|automatically generated|machine[- ](?:made|generated))\b|"
@@ -105,8 +113,18 @@ def masked(text: str) -> str:
     return lf
 
 
+def masked_path(path: str) -> str:
+    """The path without the names and folders that the labels were taken from."""
+    path = GENERATED_PLACE.sub("/", path)
+    m = FOREIGN_PLACE.search(path)
+    if m and not first_party_vendor(path):
+        path = path[: m.start()] + path[path.index("/", m.start() + 1) :]
+    name = SHIPPED_NAME.search(path) or GENERATED_NAME.search(path)
+    return path[: name.start()] + path[path.rindex(".") :] if name else path
+
+
 def _path_words(path: str) -> list[str]:
-    parts = path.lower().split("/")[1:]  # the repository's own name is no evidence
+    parts = masked_path(path).lower().split("/")[1:]  # the repository's own name is no evidence
     if not parts:
         return []
     folders, name = parts[:-1], parts[-1]
@@ -140,15 +158,6 @@ def features(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([at, np.asarray(words, np.int64)]), np.concatenate([values, np.full(len(words), weight)])
 
 
-def _evidence_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for p, t in zip(pdf["path"], pdf["content"]):
-            code, kinds = evidence(p, t)
-            rows.append((p, content_hashes(t), code, *kinds))
-        yield pd.DataFrame(rows, columns=["path", "shas", "code", *HEADS])
-
-
 def linear_svc(at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, bins: int, cost: float, rounds: int = EPOCHS) -> np.ndarray:
     """Weights and bias of a linear support-vector classifier (squared hinge), by dual coordinate descent."""
     w, alpha = np.zeros(bins + 1), np.zeros(len(y))
@@ -168,105 +177,128 @@ def linear_svc(at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, bi
     return w
 
 
+def _margins(w: np.ndarray, at: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
+    return np.asarray([w[a] @ v + w[-1] for a, v in zip(at, values)])
+
+
+def _scores(said: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """F1, precision, recall."""
+    hit = (said & y).sum()
+    p, r = hit / max(1, said.sum()), hit / max(1, y.sum())
+    return 2 * p * r / max(1e-9, p + r), float(p), float(r)
+
+
 def _fit_head(rows: pd.DataFrame) -> pd.DataFrame:
-    """One classifier on its bounded sample: fit, drop unlabelled rows that look like cases, fit again, choose the threshold."""
+    """One classifier on its bounded sample: fit, drop unlabelled rows that look like cases, fit again, choose thresholds."""
     bins = TEXT_BINS + PATH_BINS
     rows = rows.sort_values("path")
-    at = [np.frombuffer(b, np.int32) for b in rows["at"]]
-    values = [np.frombuffer(b, np.float32).astype(np.float64) for b in rows["val"]]
-    label, held = rows["label"].to_numpy(bool), rows["held"].to_numpy(bool)
-    head = rows["head"].iloc[0]
-    out = {"head": head, "w": None, "threshold": None, "precision": 0.0, "recall": 0.0, "n": int(held.sum())}
-    use = np.flatnonzero(~held)
+    at = [np.frombuffer(b, np.uint16).astype(np.int64) for b in rows["at"]]
+    values = [np.frombuffer(b, np.float16).astype(np.float64) for b in rows["val"]]
+    label, part = rows["label"].to_numpy(bool), rows["part"].to_numpy()
+    out = {"head": rows["head"].iloc[0], "w": None, "lower": None, "upper": None, "precision": 0.0, "recall": 0.0, "n": int((part == 1).sum())}
+    use = np.flatnonzero(part > 1)
     if label[use].any() and not label[use].all():
         pick = lambda idx: ([at[i] for i in idx], [values[i] for i in idx], np.where(label[idx], 1.0, -1.0))
         w = linear_svc(*pick(use), bins, COST)
-        margin = np.asarray([w[a] @ v + w[bins] for a, v in zip(at, values)])
+        margin = _margins(w, at, values)
         use = use[label[use] | (margin[use] < UNSURE)]
         w = linear_svc(*pick(use), bins, COST)
-        margin = np.asarray([w[a] @ v + w[bins] for a, v in zip(at, values)])
-        m, y = margin[held], label[held]
-        best = (-1.0, 0.0, 0.0, 0.0)
+        margin = _margins(w, at, values)
+        chosen, told = part == 0, part == 1
+        m, y = margin[chosen], label[chosen]
+        upper, best = 0.0, (-1.0, 0.0, 0.0)
         for cut in (0.0, -0.1, 0.1, -0.2, 0.2, 0.3):
-            said = m > cut
-            hit = (said & y).sum()
-            p, r = hit / max(1, said.sum()), hit / max(1, y.sum())
-            f1 = 2 * p * r / max(1e-9, p + r)
-            if f1 > best[0] + 1e-9:
-                best = (f1, cut, p, r)
-        out |= {"w": w.astype(np.float32).tobytes(), "threshold": best[1], "precision": float(best[2]), "recall": float(best[3])}
+            got = _scores(m > cut, y)
+            if got[0] > best[0] + 1e-9:
+                upper, best = cut, got
+        _, precision, recall = _scores(margin[told] > upper, label[told])
+        lower = float(m[y].min()) - SLACK if y.any() else -np.inf
+        out |= {"w": w.astype(np.float32).tobytes(), "lower": min(lower, upper), "upper": upper, "precision": precision, "recall": recall}
     return pd.DataFrame([out])
 
 
-def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(pdf: pd.DataFrame) -> tuple[list[tuple], list[tuple[np.ndarray, np.ndarray]]]:
+    """The giveaways and the features of every file of a batch."""
+    told, made = [], []
+    for p, t in zip(pdf["path"], pdf["content"]):
+        code, kinds = evidence(p, t)
+        told.append((p, content_hashes(t), code, *kinds))
+        made.append(features(p, t))
+    return told, made
+
+
+TOLD = ["path", "shas", "code", *HEADS]
+TOLD_SCHEMA = "path string, shas array<string>, code boolean, " + ", ".join(f"{h} boolean" for h in HEADS)
+
+
+def _sample_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        made = [features(p, t) for p, t in zip(pdf["path"], pdf["content"])]
-        pdf = pdf.drop(columns=["content"])
-        pdf["at"] = [a.astype(np.int32).tobytes() for a, _ in made]
-        pdf["val"] = [v.astype(np.float32).tobytes() for _, v in made]
-        yield pdf
+        told, made = _read(pdf)
+        out = pd.DataFrame(told, columns=TOLD)
+        out["at"] = [a.astype(np.uint16).tobytes() for a, _ in made]
+        out["val"] = [v.astype(np.float16).tobytes() for _, v in made]
+        yield out
 
 
-def fit(sources: DataFrame, seen: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, dict[str, float]]]:
-    """Weights (heads by bins and bias), thresholds, and each head's held-out precision and recall by repository."""
-    order = F.xxhash64("path")
+def with_copies(told: DataFrame, libraries: DataFrame) -> DataFrame:
+    """A file with the hash of a known library's is vendored."""
+    hashes = libraries.select(F.lower("file_hash").alias("sha")).where("sha is not null").distinct()
+    known = told.select("path", F.explode("shas").alias("sha")).join(hashes, "sha", "left_semi").select(F.col("path").alias("kp")).distinct()
+    return told.drop("shas").join(known, F.col("path") == F.col("kp"), "left").withColumn("vendored", F.col("vendored") | F.col("kp").isNotNull()).drop("kp")
+
+
+def fit(texts: DataFrame, libraries: DataFrame, scratch: Scratch) -> dict[str, dict]:
+    """Each head's weights and thresholds, and its precision and recall on repositories that had no part in either."""
+    spread = 1_000_000
+    share = min(1.0, SAMPLE_FILES / max(1, texts.count()))
+    sampled = texts.where(F.pmod(F.xxhash64("path"), F.lit(spread)) < int(share * spread))
+    sample = scratch.save(sampled.mapInPandas(_sample_rows, f"{TOLD_SCHEMA}, at binary, val binary").dropDuplicates(["path"]), "sample")
+    seen = scratch.save(with_copies(sample.drop("at", "val"), libraries), "labels")
+    order = F.xxhash64("path", F.lit(1))
     any_head = F.greatest(*[F.col(h).cast("int") for h in HEADS]) == 1
-    picks = [seen.where(F.col(h)).orderBy(order).limit(FIT_ROWS).select("path", *HEADS) for h in HEADS]
-    picks.append(seen.where(~any_head & F.col("code")).orderBy(order).limit(FIT_ROWS * NEGATIVES).select("path", *HEADS))
+    picks = [seen.where(F.col(h)).orderBy(order).limit(FIT_ROWS) for h in HEADS]
+    picks.append(seen.where(~any_head & F.col("code")).orderBy(order).limit(FIT_ROWS * NEGATIVES))
     picked = picks[0]
     for more in picks[1:]:
         picked = picked.unionByName(more)
-    # at most FIT_ROWS * (NEGATIVES + 4) rows of a path and four flags
-    rows = sources.join(F.broadcast(picked.distinct()), "path")
-    kept = "path string, " + ", ".join(f"{h} boolean" for h in HEADS)
-    rows = rows.select("path", *HEADS, "content").mapInPandas(_feature_rows, f"{kept}, at binary, val binary").dropDuplicates(["path"])
-    held = F.pmod(F.xxhash64(F.substring_index("path", "/", 1)), F.lit(5)) == 0
+    # at most FIT_ROWS * (NEGATIVES + 4) rows of a path and five flags
+    rows = sample.select("path", "at", "val").join(F.broadcast(picked.distinct()), "path")
+    part = F.pmod(F.xxhash64(F.substring_index("path", "/", 1)), F.lit(5)).cast("int")
     heads = F.explode(F.array(*[F.struct(F.lit(h).alias("head"), F.col(h).alias("label")) for h in HEADS]))
-    long = rows.select("path", "at", "val", held.alias("held"), heads.alias("h")).select("path", "at", "val", "held", "h.head", "h.label")
-    made = long.groupBy("head").applyInPandas(_fit_head, "head string, w binary, threshold double, precision double, recall double, n long").collect()
-    by = {r["head"]: r for r in made}
-    weights, thresholds, report = [], [], {}
-    for head in HEADS:
-        r = by.get(head)
-        fitted = r is not None and r["w"] is not None
-        weights.append(np.frombuffer(r["w"], np.float32) if fitted else np.zeros(TEXT_BINS + PATH_BINS + 1, np.float32))
-        thresholds.append(r["threshold"] if fitted else np.inf)
-        report[head] = {"precision": r["precision"], "recall": r["recall"], "n": r["n"]} if r else {"precision": 0.0, "recall": 0.0, "n": 0}
-    return np.stack(weights), np.asarray(thresholds), report
-
-
-def judge(sources: DataFrame, libraries: DataFrame) -> tuple[DataFrame, dict[str, dict[str, float]]]:
-    """path, kinds (array of the heads that say so, with exact evidence) of every file, and the validation report."""
+    long = rows.select("path", "at", "val", part.alias("part"), heads.alias("h")).select("path", "at", "val", "part", "h.head", "h.label")
+    schema = "head string, w binary, lower double, upper double, precision double, recall double, n long"
+    made = {r["head"]: r.asDict() for r in long.groupBy("head").applyInPandas(_fit_head, schema).collect()}  # four rows
+    # with too few labelled repositories to learn from, a head goes by the giveaways
+    unfit = {"w": None, "lower": -np.inf, "upper": np.inf, "precision": 0.0, "recall": 0.0, "n": 0}
+    return {h: made[h] if h in made and made[h]["w"] is not None else unfit for h in HEADS}
+
+
+def judge(sources: DataFrame, libraries: DataFrame) -> tuple[DataFrame, dict[str, dict]]:
+    """path, kinds (array of the heads that say so) of every file, and the validation report."""
     scratch = Scratch(sources.sparkSession, "provenance")
     texts = sources.select("path", "content").where("content is not null and path is not null")
-    marks = texts.mapInPandas(_evidence_rows, "path string, shas array<string>, code boolean, " + ", ".join(f"{h} boolean" for h in HEADS))
-    marks = scratch.save(marks.dropDuplicates(["path"]), "marks")
-    hashes = libraries.select(F.lower("file_hash").alias("sha")).where("sha is not null").distinct()
-    known = marks.select("path", F.explode("shas").alias("sha")).join(hashes, "sha", "left_semi").select("path").distinct().withColumn("copied", F.lit(True))
-    marks = marks.drop("shas")
-    seen = scratch.save(
-        marks.join(known, "path", "left").withColumn("vendored", F.col("vendored") | F.coalesce("copied", F.lit(False))).drop("copied"), "evidence"
-    )
-    weights, thresholds, report = fit(texts, seen)
-    flat = weights[:, :-1].T.copy()
-    bias = weights[:, -1]
+    heads = fit(texts, libraries, scratch)
+    blank = np.zeros(TEXT_BINS + PATH_BINS + 1, np.float32)
+    weights = np.stack([np.frombuffer(heads[h]["w"], np.float32) if heads[h]["w"] is not None else blank for h in HEADS])
+    flat, bias = weights[:, :-1].T.copy(), weights[:, -1]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = np.zeros((len(pdf), len(HEADS)), np.float64)
-            for i, (p, t) in enumerate(zip(pdf["path"], pdf["content"])):
-                at, values = features(p, t)
-                out[i] = values @ flat[at] + bias
-            said = out > thresholds
-            frame = pd.DataFrame({"path": pdf["path"].to_numpy()})
+            told, made = _read(pdf)
+            out = pd.DataFrame(told, columns=TOLD)
+            margin = np.asarray([values @ flat[at] + bias for at, values in made]).reshape(len(made), len(HEADS))
             for k, h in enumerate(HEADS):
-                frame[f"svm_{h}"] = said[:, k]
-            yield frame
-
-    said = texts.mapInPandas(score, "path string, " + ", ".join(f"svm_{h} boolean" for h in HEADS))
-    said = said.groupBy("path").agg(*[F.max(f"svm_{h}").alias(f"svm_{h}") for h in HEADS])
-    # a third party's file looks like any other, so only an exact mark decides; its classifier is reported, not used
-    verdict = {h: F.col(f"svm_{h}") | F.col(h) for h in HEADS} | {"vendored": F.col("vendored")}
-    kinds = F.filter(F.array(*[F.when(verdict[h], F.lit(h)) for h in HEADS]), lambda x: x.isNotNull())
-    judged = seen.join(said, "path").where("code").select("path", kinds.alias("kinds"), *HEADS, *[f"svm_{h}" for h in HEADS])
-    return judged, report
+                out[f"margin_{h}"] = margin[:, k]
+            yield out
+
+    margins = ", ".join(f"margin_{h} double" for h in HEADS)
+    read = scratch.save(texts.mapInPandas(score, f"{TOLD_SCHEMA}, {margins}").dropDuplicates(["path"]), "read")
+    seen = with_copies(read, libraries)
+
+    def named(h: str) -> F.Column:
+        margin = F.col(f"margin_{h}")
+        enough = margin > F.lit(float(heads[h]["upper"])) if h in BY_LOOKS else F.lit(False)
+        return enough | ((margin > F.lit(float(heads[h]["lower"]))) & F.col(h))
+
+    kinds = F.filter(F.array(*[F.when(named(h), F.lit(h)) for h in HEADS]), lambda x: x.isNotNull())
+    return seen.where("code").select("path", kinds.alias("kinds"), *HEADS, *[f"margin_{h}" for h in HEADS]), heads

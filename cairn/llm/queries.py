@@ -29,7 +29,7 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out precision and recall of each classifier, against the labels of repositories it wasn't fitted on."""
+    """Precision and recall of each classifier, against the labels of repositories that had no part in fit or thresholds."""
     _, report = _judged(spark, d)
     rows = [(h, float(r["precision"]), float(r["recall"]), int(r["n"])) for h, r in report.items()]
     return spark.createDataFrame(rows, "head string, precision double, recall double, n_held_out long")

@@ -81,19 +81,27 @@ def content_hashes(text: str) -> list[str]:
     return sorted({hashlib.sha1(t.encode("utf-8", "surrogatepass")).hexdigest() for t in (lf, topless, topless.lstrip())})
 
 
-def evidence(path: str, text: str) -> tuple[bool, list[bool]]:
-    """Whether there is code at all, and the giveaways of each kind."""
+LITERAL_BEGINS = set("[({\"'+-0123456789")
+
+
+def notices(lf: str) -> list[re.Pattern]:
+    """The patterns of notices that the text holds the words of."""
+    low = lf.lower()
+    return [p for p, words in ((NOTICE, NOTICE_WORDS), (UPSTREAM, UPSTREAM_WORDS), (SHIPPED, SHIPPED_WORDS)) if _holds(low, words) and p.search(lf)]
+
+
+def evidence(path: str, text: str, found: list[re.Pattern] | None = None) -> tuple[bool, list[bool]]:
+    """Whether there is code at all, and the giveaways of each kind. found: the text's notices, if known."""
     lf = text.replace("\r\n", "\n")
     bare = COMMENT.sub(" ", lf)
     code = bool(bare.strip(" \n\t﻿"))
     lines = [x for x in bare.split("\n") if x.strip()]
     size = sum(map(len, lines)) or 1
-    literal = sum(len(x) for x in lines if LITERALS.match(x))
+    rows = [x for x in lines if x.lstrip()[0] in LITERAL_BEGINS and LITERALS.match(x)]
+    literal = sum(map(len, rows))
     literal += sum(len(m) for x in lines if len(x) > 200 and not LITERALS.match(x) for m in BLOB.findall(x))
-    low = lf.lower()
-    notice = _holds(low, NOTICE_WORDS) and NOTICE.search(lf) is not None
-    upstream = _holds(low, UPSTREAM_WORDS) and UPSTREAM.search(lf) is not None
-    shipped = _holds(low, SHIPPED_WORDS) and SHIPPED.search(lf) is not None
+    found = notices(lf) if found is None else found
+    notice, upstream, shipped = NOTICE in found, UPSTREAM in found, SHIPPED in found
     place = FOREIGN_PLACE.search(path) is not None and not first_party_vendor(path)
     return code, [
         notice or GENERATED_NAME.search(path) is not None or GENERATED_PLACE.search(path) is not None,
@@ -103,13 +111,11 @@ def evidence(path: str, text: str) -> tuple[bool, list[bool]]:
     ]
 
 
-def masked(text: str) -> str:
+def masked(text: str, found: list[re.Pattern] | None = None) -> str:
     """The text without the notices that the labels were taken from."""
     lf = text.replace("\r\n", "\n")
-    low = lf.lower()
-    for pattern, words in ((NOTICE, NOTICE_WORDS), (UPSTREAM, UPSTREAM_WORDS), (SHIPPED, SHIPPED_WORDS)):
-        if _holds(low, words):
-            lf = pattern.sub(" ", lf)
+    for pattern in notices(lf) if found is None else found:
+        lf = pattern.sub(" ", lf)
     return lf
 
 
@@ -136,9 +142,9 @@ def _path_words(path: str) -> list[str]:
 _FOLD = bytes.maketrans(b"123456789\t", b"000000000 ")
 
 
-def features(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+def features(path: str, text: str, found: list[re.Pattern] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the hashed features; the text's part and the path's part have length one each."""
-    b = np.frombuffer(masked(text).encode("utf-8", "replace").translate(_FOLD), np.uint8)
+    b = np.frombuffer(masked(text, found).encode("utf-8", "replace").translate(_FOLD), np.uint8)
     if len(b):
         blank = b == 32
         b = b[~(blank & np.concatenate([[False], blank[:-1]]))]  # runs of blanks count as one
@@ -147,9 +153,10 @@ def features(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         h = np.zeros(len(b) - GRAM + 1, np.uint32)
         for k in range(GRAM):
             h = (h ^ b[k : len(b) - GRAM + 1 + k]) * np.uint32(16777619)
-        counts = np.bincount((h ^ (h >> np.uint32(15))) & np.uint32(TEXT_BINS - 1), minlength=1)
-        at = np.flatnonzero(counts)
-        values = np.log1p(counts[at])
+        h = np.sort(((h ^ (h >> np.uint32(15))) & np.uint32(TEXT_BINS - 1)).astype(np.uint16))
+        ends = np.append(np.flatnonzero(h[1:] != h[:-1]), len(h) - 1)
+        at = h[ends].astype(np.int64)
+        values = np.log1p(np.diff(ends, prepend=-1))
         values = values / (np.linalg.norm(values) or 1)
     else:
         at, values = np.empty(0, np.int64), np.empty(0)
@@ -164,8 +171,9 @@ def linear_svc(at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, bi
     diagonal = 1 / (2 * cost * np.where(y > 0, max(1.0, (y < 0).sum() / max(1, (y > 0).sum())), 1.0))
     norm = np.asarray([v @ v + 1 for v in values]) + diagonal
     order = np.random.default_rng(5)
-    for _ in range(rounds):
-        for i in order.permutation(len(y)):
+    active = np.arange(len(y))
+    for turn in range(rounds):
+        for i in order.permutation(active):
             a, v = at[i], values[i]
             gradient = y[i] * (w[a] @ v + w[bins]) - 1 + diagonal[i] * alpha[i]
             new = max(alpha[i] - gradient / norm[i], 0.0)
@@ -174,6 +182,8 @@ def linear_svc(at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, bi
                 alpha[i] = new
                 w[a] += step * v
                 w[bins] += step
+        # rows that are no support vectors now are asked again every fourth turn only
+        active = np.flatnonzero(alpha > 0) if turn % 4 else np.arange(len(y))
     return w
 
 
@@ -221,9 +231,10 @@ def _read(pdf: pd.DataFrame) -> tuple[list[tuple], list[tuple[np.ndarray, np.nda
     """The giveaways and the features of every file of a batch."""
     told, made = [], []
     for p, t in zip(pdf["path"], pdf["content"]):
-        code, kinds = evidence(p, t)
+        found = notices(t.replace("\r\n", "\n"))
+        code, kinds = evidence(p, t, found)
         told.append((p, content_hashes(t), code, *kinds))
-        made.append(features(p, t))
+        made.append(features(p, t, found))
     return told, made
 
 

@@ -1,13 +1,21 @@
 """Template residue, filler and error pages among texts.
 
-Every text is cut into units (lines and sentences, code left out) and each unit gets a kind from its own wording: an open
-slot, an unfilled form line, filler, an error or script notice, page furniture, or text. Then records are aligned: each
-unit is counted with every run of up to three words masked, so units of the same template meet under one key and the
-words that differ under it are its slot. Names in any pair of delimiters that fill slots of such templates make the pair a
-slot form, and every variable name in an induced form is an open slot, as are the forms listed here. A template seen with
-several fillings whose fixed part speaks of failures or scripts makes its units error units; a form label seen in several records makes its line a form line; a
-phrase that repeats within some record makes the same phrase filler where it stands alone. A text is residue if it has an
-open slot or filler paragraph anywhere, or if nothing in it is real content.
+Every text is cut into units (lines and sentences, code left out), and records of the same template are aligned by them.
+
+*Slots.* Whatever stands between two marks (``{{x}}``, ``%(x)s``, ``<% x %>``, ``__x__``, ``____``: any marks, none are
+listed) is a candidate. Units that are the same but for their candidates are aligned; those under which several fillings
+come (none at all is one) are templates, and their candidates' marks are a slot form if what they hold, over all records,
+is mostly variable names, defaults or blanks. A name is a variable's if it is written with underscores or comes between
+three kinds of marks. Every variable name or blank in a form so induced is an open slot.
+
+*Error pages.* Each unit of a record that speaks of failures or scripts in a good part of its units is counted as it is
+and with every run of up to three words masked, so units of the same template meet under one key and the words that differ
+under it are its slot. A page is an error page if all its units are templates' and half of them speak of failures.
+
+Beside what is aligned, the wording of single units counts: listed slot forms, filler phrases, notices of errors that are
+seen once. A form label seen in several records makes its line a form line; a phrase that repeats within some record makes
+the same phrase filler where it stands alone. A text is residue if it has an open slot or filler paragraph anywhere, or if
+nothing in it is real content.
 
 Defined results: null and blank texts are no residue; code blocks, inline code and quoted passages are never evidence;
 repeated rows get the same verdict; texts are read whole, whatever their length.
@@ -26,7 +34,8 @@ from pyspark.sql import functions as F
 from cairn.session import Scratch
 
 SUPPORT = 3  # records a template, label or phrase must be seen in
-SHORT_WORDS = 60  # texts up to this length are aligned with whatever they say; longer ones if every unit of them speaks of failures or scripts
+FAILING = 0.25  # of a record's units, those that must speak of failures or scripts for it to be aligned as an error page
+FORMS = 3  # kinds of marks a name must come between to be a variable's
 
 # Words of the classic filler text.
 LATIN = set(
@@ -49,13 +58,14 @@ SLOTS = [
 ]
 SLOT_MARKS = "{<%@«[_"  # every slot holds one of these
 SLOT = re.compile("|".join(f"(?:{s})" for s in SLOTS), re.I)
-# A name in any pair of delimiters; which pairs mark slots is induced from the records.
+# Anything between marks: up to five words, or a blank to be written on.
 MARK = r"[^\w\s.,;:!?'’\"“”„\-]"
-DELIMITED = re.compile(rf"(?<!\w)({MARK}{{1,3}})[ ]?([A-Za-z][A-Za-z0-9]+(?:[_.\-][A-Za-z0-9]+)*)[ ]?({MARK}{{1,3}})(?!\w)")
-MIRROR = str.maketrans("([{<«‹⟨【", ")]}>»›⟩】")
-FORM_SHARE = 0.8  # of the records with a form, those in which it holds a variable name
+DELIMITED = re.compile(
+    rf"(?<!\w)(?:(?P<open>{MARK}{{1,3}}|__)[ ]?(?P<name>[A-Za-z](?:[\w.\-]*[A-Za-z0-9])?(?: [A-Za-z0-9][\w.\-]*){{0,4}}?)[ ]?(?P<close>(?<!_){MARK}{{1,3}}[a-z]?|__)|(?P<blank>_{{4,}}))(?!\w)"
+)
+FORM_SHARE = 0.8  # of the records with a form, those in which it holds a variable name or blank
 CODE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|``.+?``|`[^`\n]*`")
-QUOTED = re.compile(r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|« [^»\n]{0,200} »")
+QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|« [^»\n]* »")
 COMMENT = re.compile(r"(?s)<!--.*?-->")
 EMPTY_VALUE = re.compile(r"^[\W_]*(?:none yet|n/?a|tbd|todo|tba|\?+|-+|_+|\.{3,}|xxx+|none|aucun|keine|ninguno|noch nichts|à compléter|pendiente)?[\W_]*$", re.I)
 # Lines that ask for a number or name still to be given.
@@ -126,35 +136,31 @@ def without_slots(text: str) -> str:
     return SLOT.sub("", text) if any(c in text for c in SLOT_MARKS) else text
 
 
-def delimited(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, form, name) of every name between a delimiter and its mirror image."""
-    out = []
-    for m in DELIMITED.finditer(text):
-        for k in range(len(m[1])):
-            close = m[1][k:].translate(MIRROR)[::-1]
-            if m[3].startswith(close):
-                out.append((m.start() + k, m.start(3) + len(close), f"{m[1][k:]}…{close}", m[2]))
-                break
-    return out
-
-
 def normal(unit: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[0-9a-f]*\d[0-9a-f]*", "0", unit.lower())).strip(" ")
 
 
-def slot_frames(text: str) -> list[tuple[str, str, str, str, bool]]:
-    """(form, name, frame, filling, listed) of every delimited name, the frame being its unit with the name's words masked."""
-    out = []
-    if not delimited(text):
-        return out
+def candidates(unit: str) -> tuple[str, str, list[tuple[str, str]]]:
+    """The unit without what stands between marks, that filling, and (form, name) of each piece of it."""
+    found = [m for m in DELIMITED.finditer(unit)] if any(not c.isalnum() and c not in " .,;:!?'-" for c in unit) else []
+    if not found:
+        return normal(unit), "", []
+    bare = normal(DELIMITED.sub(" ", unit))
+    forms = [("____", "") if m["blank"] else (f"{m['open']}…{m['close']}", m["name"]) for m in found]
+    return bare, normal(" ".join(m[0] for m in found)), forms
+
+
+def alignable(text: str) -> tuple[list[dict], list[dict]]:
+    """The distinct units of a text as (bare, filling), and (bare, form, name, snake) of every candidate."""
+    units, slots = {}, {}
     for line in text.splitlines():
         for s in sentences(line):
-            for start, end, form, name in delimited(s):
-                left, right = s.rfind(" ", 0, start) + 1, s.find(" ", end)
-                right = len(s) if right < 0 else right
-                frame = normal(f"{s[:left]} … {s[right:]}")
-                out.append((form, name.lower(), frame, normal(s[left:right]), SLOT.search(s[start:end]) is not None))
-    return out
+            bare, filling, forms = candidates(s)
+            units[bare, filling] = {"bare": bare, "filling": filling}
+            for form, name in forms:
+                plain = re.sub(r"[\W_]+", " ", name).strip().lower()
+                slots[bare, form, plain] = {"bare": bare, "form": form, "name": plain, "snake": "_" in name.strip("_")}
+    return list(units.values()), list(slots.values())
 
 
 def sentences(line: str) -> list[str]:
@@ -233,12 +239,14 @@ def unit_kinds(text: str | None) -> list[tuple[str, str]]:
 
 def _record(text: str | None) -> tuple:
     kinds = unit_kinds(text)
+    units, slots = alignable(without_quotes(without_code(text))) if text else ([], [])
     names = [k for k, _ in kinds]
     solid = [u for k, u in kinds if k == "text"]
     whole = "\x00" not in " ".join(solid) and "code" not in solid
-    short = bool(solid) and whole and len(" ".join(u for _, u in kinds).split()) <= SHORT_WORDS
-    # only a text whose every unit is of this wording can be an error page by alignment, whatever its length
-    weak = bool(solid) and whole and all(WEAK_WORDS.search(u) for u in dict.fromkeys(solid))
+    # a page of failures has no code or quotes, and a good part of its units say so
+    talk = [(k, u) for k, u in kinds if k in ("text", "error")]
+    n_failing = sum(k == "error" or WEAK_WORDS.search(u) is not None for k, u in talk)
+    page = bool(talk) and whole and n_failing >= FAILING * len(talk)
     # a phrase said three times or more is on trial as filler
     said: dict[str, int] = {}
     for u in solid:
@@ -247,15 +255,14 @@ def _record(text: str | None) -> tuple:
     echo = [k for k, n in said.items() if n >= 3 and k and 3 * n * 10 >= 8 * 3 * len(solid)]
     return (
         "slot" in names, "latin" in names, len(solid), names.count("error"), names.count("filler"), names.count("blank"),
-        names.count("heading"), [u for k, u in kinds if k == "label"], [{"unit": u, "n": n} for u, n in Counter(solid).items()] if short or weak else [],
-        [{"phrase": k, "n": n} for k, n in said.items() if k], echo,
-        slot_frames(without_quotes(without_code(text))) if text else [], sorted({normal(u) for u in solid}),
+        names.count("heading"), [u for k, u in kinds if k == "label"], [{"unit": u, "n": n, "notice": k == "error"} for (k, u), n in Counter(talk).items()] if page else [],
+        [{"phrase": k, "n": n} for k, n in said.items() if k], echo, slots, units,
     )
 
 
 RECORD = (
-    "slot boolean, latin boolean, n_text int, n_error int, n_filler int, n_blank int, n_heading int, labels array<string>, open array<struct<unit:string,n:int>>, said array<struct<phrase:string,n:int>>, echo array<string>, "
-    "slots array<struct<form:string,name:string,frame:string,filling:string,listed:boolean>>, units array<string>"
+    "slot boolean, latin boolean, n_text int, n_error int, n_filler int, n_blank int, n_heading int, labels array<string>, open array<struct<unit:string,n:int,notice:boolean>>, said array<struct<phrase:string,n:int>>, echo array<string>, "
+    "slots array<struct<bare:string,form:string,name:string,snake:boolean>>, units array<struct<bare:string,filling:string>>"
 )
 COLUMNS = "slot latin n_text n_error n_filler n_blank n_heading labels open said echo slots units".split()
 
@@ -270,44 +277,27 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def open_slots(seen: DataFrame, counted: DataFrame, scratch: Scratch) -> DataFrame:
-    """key of every record with a variable name in a slot form that the alignment of all units induces."""
-    found = seen.where(F.size("slots") > 0).select("key", F.explode("slots").alias("s")).select("key", "s.*").join(counted, "key")
-    names = found.where("listed").groupBy("name").agg(F.countDistinct("key").alias("n")).where("n >= 2").select("name", F.lit(True).alias("seeded"))
-    found = found.join(names, "name", "left").withColumn("variable", F.coalesce("seeded", F.lit(False)) | F.col("name").contains("_"))
-
-    # which other fillings the frames of delimited names have, over the units of all records: a unit can only meet a frame
-    # whose longer side, left or right of the mask, it begins or ends with
-    found = scratch.save(found, "slots")
-    sides = F.split("frame", "…")
-    left, right = F.trim(sides[0]), F.trim(sides[1])
-    frames = scratch.save(found.where("variable and frame <> '…'").select("frame").distinct(), "slot_frames")
-    anchor = F.when(F.length(left) >= F.length(right), F.xxhash64(F.lit("left"), left)).otherwise(F.xxhash64(F.lit("right"), right))
-    anchors = scratch.save(frames.select(anchor.alias("anchor")).distinct(), "anchors")
-    units = seen.select("key", F.explode("units").alias("unit"))
-    w = F.split("unit", " ")
-    n = F.size(w)
-    at = F.sequence(F.lit(1), n)
-    begins = F.transform(at, lambda i: F.struct(F.xxhash64(F.lit("left"), F.concat_ws(" ", F.slice(w, 1, i))).alias("anchor"), i.alias("from")))
-    ends = F.transform(at, lambda i: F.struct(F.xxhash64(F.lit("right"), F.concat_ws(" ", F.slice(w, n - i + 1, i))).alias("anchor"), (-i).alias("from")))
-    met = units.select("unit").distinct().select("unit", F.explode(F.concat(begins, ends)).alias("s")).select("unit", "s.anchor", "s.from")
-    met = met.join(anchors, "anchor", "left_semi")
-    # i fixed words on the left, then k masked ones
-    i = lambda k: F.when(F.col("from") > 0, F.col("from")).otherwise(n + F.col("from") - k)
-    masks = F.transform(
-        F.array(*map(F.lit, range(4))),
-        lambda k: F.when(
-            (i(k) >= 0) & (i(k) + k <= n),
-            F.struct(F.concat_ws(" ", F.slice(w, 1, i(k)), F.lit("…"), F.slice(w, i(k) + k + 1, n)).alias("frame"), F.concat_ws(" ", F.slice(w, i(k) + 1, k)).alias("filling")),
-        ),
-    )
-    spread = met.select("unit", F.explode(masks).alias("s")).where("s is not null").select("unit", "s.frame", "s.filling").distinct()
-    others = scratch.save(spread.join(frames, "frame", "left_semi"), "spread").join(units, "unit").select("frame", "filling", "key").join(counted, "key")
-    filled = others.select("frame", "filling", "key", "copies").unionByName(found.where("variable").select("frame", "filling", "key", "copies"))
-    per_record = filled.groupBy("frame", "key").agg(F.first("copies").alias("copies"), F.min("filling").alias("a"), F.max("filling").alias("z"))
-    templates = per_record.groupBy("frame").agg(F.sum("copies").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"))
-    templates = templates.where((F.col("n") >= SUPPORT) & (F.col("a") != F.col("z"))).select("frame", F.lit(True).alias("aligned"))
-
-    held = found.join(templates, "frame", "left").groupBy("form", "key").agg(
+    """key of every record with a variable name or blank in a slot form that the alignment of all units induces."""
+    found = scratch.save(seen.where(F.size("slots") > 0).select("key", F.explode("slots").alias("s")).select("key", "s.*").join(counted, "key"), "slots")
+    # names of variables: those written with underscores, and those between several kinds of marks
+    by_form = found.where("name <> ''").groupBy("name", "form").agg(F.max("snake").alias("snake"))
+    names = by_form.groupBy("name").agg(F.max("snake").alias("snake"), F.count(F.lit(1)).alias("n")).where(F.col("snake") | (F.col("n") >= FORMS)).select("name")
+    names = scratch.save(names, "names")
+    # a default may say more than the name ("your title here"), so every run of its words is looked up
+    w = F.split("name", " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.concat_ws(" ", F.slice(w, i, k)))))
+    whole = found.select("name").where("name <> ''").distinct().select(F.col("name").alias("whole"), F.explode(runs).alias("name"))
+    variables = whole.join(names, "name", "left_semi").select(F.col("whole").alias("name"), F.lit(True).alias("known")).distinct()
+    found = found.join(variables, "name", "left").withColumn("variable", F.coalesce("known", F.lit(False)) | (F.col("name") == "")).drop("known")
+
+    # alignment: units of all records that are the same but for what stands between marks
+    bares = found.where("variable and bare <> ''").select("bare").distinct()
+    units = seen.select("key", F.explode("units").alias("u")).select("key", "u.bare", "u.filling").join(bares, "bare", "left_semi").join(counted, "key")
+    per_record = units.groupBy("bare", "key").agg(F.first("copies").alias("copies"), F.min("filling").alias("a"), F.max("filling").alias("z"))
+    templates = per_record.groupBy("bare").agg(F.sum("copies").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"))
+    templates = templates.where((F.col("n") >= SUPPORT) & (F.col("a") != F.col("z"))).select("bare", F.lit(True).alias("aligned"))
+
+    held = found.join(templates, "bare", "left").groupBy("form", "key").agg(
         F.first("copies").alias("copies"), F.max("variable").alias("variable"), F.max(F.col("variable") & F.col("aligned").isNotNull()).alias("aligned")
     )
     forms = held.groupBy("form").agg(
@@ -317,31 +307,11 @@ def open_slots(seen: DataFrame, counted: DataFrame, scratch: Scratch) -> DataFra
     return found.where("variable").join(forms, "form", "left_semi").select("key").distinct()
 
 
-def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, why: the records that are residue, once each. why: open slot, filler, unfilled form, error page."""
-    scratch = Scratch(df.sparkSession, "residue")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    rows = rows.withColumn("key", F.concat_ws("-", F.xxhash64("text").cast("string"), F.length("text").cast("string")))
-    scratch_ids = rows.select("id", "key")
-    # copies of a text are read once
-    texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.countDistinct("id").alias("copies"))
-    seen = scratch.save(texts.select("key", "text").mapInPandas(_records, f"key string, {RECORD}"), "records")
-    counted = texts.select("key", "copies")
-
-    # labels: a form line if the label is a form's in several records
-    labels = seen.select("key", F.explode("labels").alias("label")).distinct()
-    forms = labels.join(counted, "key").groupBy("label").agg(F.sum("copies").alias("n")).where(F.col("n") >= SUPPORT).select("label")
-    form_lines = labels.join(forms, "label").groupBy("key").agg(F.count(F.lit(1)).alias("n_form"))
-    n_labels = seen.select("key", F.size(F.array_distinct("labels")).alias("n_labels"))
-
-    # phrases that echo within records
-    echoes = seen.select(F.explode("echo").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("phrase")
-
-    # alignment of the units of records that can be whole-page templates; a unit said several times is carried once
+def error_pages(seen: DataFrame, counted: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, n_aligned, n_failing: how many units of a page are templates', and how many of those speak of failures."""
     units = seen.select("key", F.posexplode("open").alias("at", "u")).select(
-        "key", "at", "u.n", F.trim(F.regexp_replace(F.regexp_replace(F.lower("u.unit"), r"[0-9a-f]*\d[0-9a-f]*", "0"), r"\s+", " ")).alias("unit")
+        "key", "at", F.col("u.n").alias("times"), "u.notice", F.trim(F.regexp_replace(F.regexp_replace(F.lower("u.unit"), r"[0-9a-f]*\d[0-9a-f]*", "0"), r"\s+", " ")).alias("unit")
     )
-    units = units.withColumnRenamed("n", "times")
     w = F.split("unit", " ")
     n = F.size(w)
     spans = F.flatten(
@@ -356,17 +326,46 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             ),
         )
     )
-    framed = units.where((n >= 3) & F.col("unit").rlike(WEAK)).select("key", "at", "times", F.explode(spans).alias("s")).select("key", "at", "times", "s.frame", "s.filling")
-    framed = scratch.save(framed.where(F.col("frame").rlike(WEAK)), "frames")
+    itself = F.array(F.struct(F.col("unit").alias("frame"), F.lit("").alias("filling")))
+    every = F.when(n >= 3, F.concat(itself, spans)).otherwise(itself)
+    framed = units.where("unit <> ''").select("key", "at", "times", "notice", F.explode(every).alias("s")).select("key", "at", "times", "notice", "s.frame", "s.filling")
+    framed = scratch.save(framed, "frames")
+    # a unit as it is has to come in several texts, not only in copies of one
+    masked = F.col("frame").contains("…") & (F.col("a") != F.col("z"))
     templates = (
         framed.join(counted, "key")
+        .groupBy("frame", "key")
+        .agg(F.first("copies").alias("copies"), F.min("filling").alias("a"), F.max("filling").alias("z"))
         .groupBy("frame")
-        .agg(F.sum("copies").alias("n"), F.min("filling").alias("a"), F.max("filling").alias("z"))
-        .where((F.col("n") >= SUPPORT) & (F.col("a") != F.col("z")))
-        .select("frame")
+        .agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_texts"), F.min("a").alias("a"), F.max("z").alias("z"))
+        .where(((F.col("n") >= SUPPORT) & masked) | ((F.col("n_texts") >= SUPPORT) & ~F.col("frame").contains("…")))
+        .select("frame", F.col("frame").rlike(WEAK).alias("failing"))
     )
-    aligned = framed.join(templates, "frame", "left_semi").select("key", "at", "times").distinct()
-    aligned = aligned.groupBy("key").agg(F.sum("times").alias("n_aligned"))
+    aligned = framed.join(templates, "frame").groupBy("key", "at").agg(F.first("times").alias("times"), F.max(F.col("failing") | F.col("notice")).alias("failing"))
+    return aligned.groupBy("key").agg(F.sum("times").alias("n_aligned"), F.sum(F.when(F.col("failing"), F.col("times")).otherwise(0)).alias("n_failing"))
+
+
+def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, why: the records that are residue, once each. why: open slot, filler, unfilled form, error page."""
+    scratch = Scratch(df.sparkSession, "residue")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
+    rows = rows.withColumn("key", F.sha2("text", 256))
+    scratch_ids = rows.select("id", "key")
+    # copies of a text are read once
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.countDistinct("id").alias("copies"))
+    seen = scratch.save(texts.select("key", "text").mapInPandas(_records, f"key string, {RECORD}"), "records")
+    counted = texts.select("key", "copies")
+
+    # labels: a form line if the label is a form's in several records
+    labels = seen.select("key", F.explode("labels").alias("label")).distinct()
+    forms = labels.join(counted, "key").groupBy("label").agg(F.sum("copies").alias("n")).where(F.col("n") >= SUPPORT).select("label")
+    form_lines = labels.join(forms, "label").groupBy("key").agg(F.count(F.lit(1)).alias("n_form"))
+    n_labels = seen.select("key", F.size(F.array_distinct("labels")).alias("n_labels"))
+
+    # phrases that echo within records
+    echoes = seen.select(F.explode("echo").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("phrase")
+
+    aligned = error_pages(seen, counted, scratch)
     said = seen.select("key", F.explode("said").alias("s")).select("key", "s.phrase", "s.n")
     repeated = said.join(echoes, "phrase", "left_semi").groupBy("key").agg(F.sum("n").alias("n_echoed"))
 
@@ -382,8 +381,8 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             .when((F.size("echo") > 0) & (F.col("n_text") == zero("n_echoed")), F.lit("filler"))
             .when((zero("n_echoed") > 0) & (zero("n_echoed") == F.col("n_text")) & (F.col("n_error") == 0), F.lit("filler"))
             .when((F.col("n_text") == 0) & (zero("n_form") + F.col("n_blank") >= 2) & (zero("n_form") == F.col("n_labels")) & (F.col("n_error") == 0), F.lit("unfilled form"))
-            .when((F.col("n_error") > 0) & (F.col("n_text") <= zero("n_aligned")), F.lit("error page"))
-            .when((zero("n_aligned") > 0) & (F.col("n_text") == zero("n_aligned")), F.lit("error page")),
+            .when((F.size("open") > 0) & (zero("n_aligned") == F.col("n_text") + F.col("n_error")) & (zero("n_failing") * 2 >= zero("n_aligned")), F.lit("error page"))
+            .when((F.col("n_error") > 0) & (F.col("n_text") == 0), F.lit("error page")),
         )
         .where("why is not null")
         .select("key", "why")

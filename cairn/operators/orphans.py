@@ -191,9 +191,7 @@ def fallen_symbols(links: DataFrame, fallen: DataFrame, scratch: Scratch) -> Dat
     )
     reach = 1
     while True:
-        known = found[0]
-        for more in found[1:]:
-            known = known.unionByName(more)
+        known = scratch.together(found)
         # orphans between ``reach`` and twice as many links down
         seen = Observation()
         below = (
@@ -208,10 +206,7 @@ def fallen_symbols(links: DataFrame, fallen: DataFrame, scratch: Scratch) -> Dat
         upper = links.select(F.col("low").alias("middle"), F.col("high").alias("top"))
         links = scratch.save(links.join(upper, F.col("high") == F.col("middle")).select("low", F.col("top").alias("high")), "links")
         reach *= 2
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return scratch.together(found)
 
 
 def orphan_cascade(t: dict[str, DataFrame]) -> DataFrame:

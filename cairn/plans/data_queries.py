@@ -19,16 +19,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    full = hierarchy.expand(_contract(spark, d))
-    sizes = hierarchy.descendant_counts(full).withColumnRenamed("id", "cid")
-    return full.join(sizes, F.col("id") == F.col("cid"), "left").select(
-        F.col("id").alias("symbol_id"),
-        "status",
-        "root_id",
-        "depth",
-        F.when(F.col("status") == "tree", F.array_join("path_names", "/")).alias("path"),
-        "cycle_id",
-        F.when(F.col("status") != "cycle", F.coalesce("n_descendants", F.lit(0)).cast("bigint")).alias("n_descendants"),
+    return hierarchy.expand(_contract(spark, d)).select(
+        F.col("id").alias("symbol_id"), "status", "root_id", "depth", F.when(F.col("status") == "tree", F.array_join("path_names", "/")).alias("path"), "cycle_id", "n_descendants"
     )
 
 

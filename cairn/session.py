@@ -70,7 +70,7 @@ class Scratch:
     """Tables written to the shared folder by one run of an operator.
 
     ``save`` writes a frame as Parquet and gives it back read from there, so that neither a lost executor nor a
-    long loop makes Spark recompute what came before. ``drop`` deletes a table that no later step reads.
+    long loop makes Spark recompute what came before.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -87,15 +87,6 @@ class Scratch:
         out._cairn_path = path
         return out
 
-    def size_of(self, df: DataFrame) -> int:
-        """Bytes on disk of a table made by ``save``."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._cairn_path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return int(fs.getContentSummary(path).getLength())
-
-    def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._cairn_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def together(self, frames: list[DataFrame]) -> DataFrame:
+        """The rows of several tables of one schema made by ``save``, as one scan."""
+        return self.spark.read.schema(frames[0].schema).parquet(*[df._cairn_path for df in frames])

@@ -58,7 +58,19 @@ def test_descendants_and_counts(spark):
     full = h.expand(h.contract(frame(spark, rows), "symbol_id", "parent_symbol_id", "name"))
     pairs = {tuple(r) for r in h.descendants(full).collect()}
     assert pairs == {(1, 2, 1), (1, 3, 1), (1, 4, 2), (2, 4, 1)}
-    assert {r["id"]: r["n_descendants"] for r in h.descendant_counts(full).collect()} == {1: 3, 2: 1}
+    assert {r["id"]: r["n_descendants"] for r in full.collect()} == {1: 3, 2: 1, 3: 0, 4: 0}
+
+
+def test_star_long_chain_and_large_circle(spark):
+    n = 400
+    chain = [(i, i - 1 if i > 1 else None, f"c{i}") for i in range(1, n + 1)]
+    star = [(1000 + i, 1000 if i else None, None) for i in range(600)]
+    circle = [(2000 + i, 2000 + (i + 1) % 300, "o") for i in range(300)] + [(3000 + i, 2007, "h") for i in range(200)]
+    full, circles = run(spark, chain + star + circle)
+    assert circles == {2000 + i: 2000 for i in range(300)}
+    assert all(full[i]["depth"] == i - 1 and full[i]["n_descendants"] == n - i and full[i]["path_ids"] == list(range(1, i + 1)) for i in range(1, n + 1))
+    assert full[1000]["n_descendants"] == 599 and full[1599]["depth"] == 1
+    assert all(full[3000 + i]["cycle_id"] == 2000 and full[3000 + i]["status"] == "below_cycle" and full[3000 + i]["n_descendants"] == 0 for i in range(200))
 
 
 def test_empty(spark):

@@ -28,19 +28,26 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.expand(_contract(spark, d)))
 
 
-def _figures(spark: SparkSession, d: str) -> DataFrame:
-    parts = []
-    for name, key, source in (("edges", "dst_symbol_id", "src_symbol_id"), ("occurrences", "name", "file_id")):
-        rows = table(spark, d, name, key, source, "confidence")
-        total = rows.agg(F.count(F.lit(1)).alias("total_rows"))
-        parts.append(
-            hotkeys.key_figures(rows, key, source, "confidence").crossJoin(F.broadcast(total)).withColumn("src_table", F.lit(name))
-        )
-    return parts[0].unionByName(parts[1])
+# table, key, source of the problem's two tables with hot keys
+HOT_TABLES = [("edges", "dst_symbol_id", "src_symbol_id"), ("occurrences", "name", "file_id")]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return hotkeys.heavy_keys(_figures(spark, d), 0.02).select("src_table", F.col("key").alias("heavy_key"))
+    out = None
+    for name, key, _ in HOT_TABLES:
+        rows = table(spark, d, name, key, "confidence")
+        heavy = hotkeys.heavy_keys(hotkeys.histogram(rows, key, "confidence"), rows, 0.02)
+        part = heavy.select(F.lit(name).alias("src_table"), F.col("key").alias("heavy_key"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _figures(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        hotkeys.key_figures(table(spark, d, name, key, source, "confidence"), key, source, "confidence").withColumn("src_table", F.lit(name))
+        for name, key, source in HOT_TABLES
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def p3_figures(spark: SparkSession, d: str) -> DataFrame:

@@ -41,6 +41,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every usable vector with its class of copies and how many other vectors are near it."""
+    rows = table(spark, d, "chunk_vectors", "chunk_id", "embedding")
+    return vectors.similar_links(rows, "chunk_id", "embedding", 0.95).withColumnRenamed("id", "chunk_id")
+
+
 def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chunk_vectors", "chunk_id", "embedding")
     near = vectors.nearest_rows(rows, "chunk_id", "embedding", 10)
@@ -128,6 +134,7 @@ QUERIES = {
     "p1_kinds": p1_kinds,
     "p1_validation": p1_validation,
     "p5_found": p5_found,
+    "p5_links": p5_links,
     "p5_nearest": p5_nearest,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
@@ -141,4 +148,21 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_rest": p10_rest,
 }
-ORACLES: dict[str, str] = {}
+_P5 = """vecs AS (
+  SELECT chunk_id AS id, any_value(embedding) AS v FROM chunk_vectors
+  WHERE chunk_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+    AND list_sum(list_transform(embedding, lambda e: e::DOUBLE * e)) > 0 GROUP BY 1),
+unit AS (SELECT id, v, list_transform(v, lambda e: e::DOUBLE) AS d FROM vecs),
+pairs AS (
+  SELECT a.id AS a, b.id AS b FROM unit a JOIN unit b ON a.id < b.id
+  WHERE a.v = b.v OR list_inner_product(a.d, b.d) / sqrt(list_inner_product(a.d, a.d) * list_inner_product(b.d, b.d)) >= 0.95)"""
+
+ORACLES: dict[str, str] = {
+    # every usable vector against every other
+    "p5_found": f"WITH {_P5} SELECT a AS chunk_id_a, b AS chunk_id_b FROM pairs",
+    "p5_links": f"""WITH {_P5},
+classes AS (SELECT id, min(id) OVER (PARTITION BY v) AS class_id, count(*) OVER (PARTITION BY v) AS n_copies FROM unit),
+both_ways AS (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs),
+links AS (SELECT id, count(*) AS n FROM both_ways GROUP BY 1)
+SELECT c.id AS chunk_id, class_id, n_copies, coalesce(n, 0) AS n_links FROM classes c LEFT JOIN links l USING (id)""",
+}

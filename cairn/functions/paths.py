@@ -47,9 +47,9 @@ def dotted_depth(spec: Column) -> Column:
     return F.length(F.regexp_extract(spec, r"^(\.*)", 1))
 
 
-def last_segment(name: Column) -> Column:
-    """What follows the last ``::`` or ``.``."""
-    return F.element_at(F.split(name, r"::|\."), -1)
+def tail(text: Column, start: int) -> Column:
+    """All of a text from a position on, counted from one."""
+    return F.substring(text, F.lit(start), F.length(text))
 
 
 def path_suffixes(path: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cairn.frames import current_files, day_of
-from cairn.functions.paths import join_path, normalize_path, parent_dir, repository
+from cairn.functions.paths import join_path, normalize_path, parent_dir, repository, tail
 from cairn.session import Scratch
 
 # How a relative specifier is completed, in this order.
@@ -110,7 +110,7 @@ def direct_orphans(t: dict[str, DataFrame]) -> DataFrame:
         .agg(F.max(F.when(F.col("day") == "", F.lit(None)).otherwise(F.col("day"))).alias("day"), F.lit(True).alias("there"))
     )
     res = refs.where("startswith(target, 'res://')").withColumn(
-        "full", normalize_path(join_path(repository(F.coalesce("apath", F.lit(""))), F.expr("substring(target, 7)")))
+        "full", normalize_path(join_path(repository(F.coalesce("apath", F.lit(""))), tail(F.col("target"), 7)))
     )
     found.append(
         res.join(there, F.col("full") == F.col("p"), "left")

@@ -183,14 +183,21 @@ def file_line_counts(ix: Index) -> DataFrame:
     return ix.symbols.groupBy("file_id").agg(F.max("end_line").alias("n_lines"))
 
 
+BLOCK_LINES = 50
+
+
 def enclosing_symbols(ix: Index, where: str = "role = 'call' and resolved_symbol_id is not null") -> DataFrame:
     """occ_id, resolved_symbol_id, confidence, enclosing_symbol_id: the innermost symbol around each occurrence.
 
-    Innermost is the one that begins last; then the one that ends first, then the lower id.
+    Innermost is the one that begins last; then the one that ends first, then the lower id. Both sides meet by file and
+    block of lines, so an occurrence meets the symbols near it, not all of a large file.
     """
-    occ = ix.occurrences.where(where).select("occ_id", "file_id", F.struct("start_line", "start_col").alias("at"), "resolved_symbol_id", "confidence")
-    sym = ix.symbols.select("file_id", "symbol_id", F.struct("start_line", "start_col").alias("s"), F.struct("end_line", "end_col").alias("e"))
-    inside = occ.join(sym, "file_id").where("at >= s and at <= e")
+    block = lambda line: F.floor(F.col(line) / BLOCK_LINES)
+    occ = ix.occurrences.where(where).select("occ_id", "file_id", block("start_line").alias("block"), F.struct("start_line", "start_col").alias("at"), "resolved_symbol_id", "confidence")
+    sym = ix.symbols.where("end_line >= start_line").select(
+        "file_id", "symbol_id", F.struct("start_line", "start_col").alias("s"), F.struct("end_line", "end_col").alias("e"), F.explode(F.sequence(block("start_line"), block("end_line"))).alias("block")
+    )
+    inside = occ.join(sym, ["file_id", "block"]).where("at >= s and at <= e")
     rank = F.struct(F.col("s.start_line"), F.col("s.start_col"), -F.col("e.end_line"), -F.col("e.end_col"), -F.col("symbol_id"))
     return inside.groupBy("occ_id", "resolved_symbol_id", "confidence").agg(F.max_by("symbol_id", rank).alias("enclosing_symbol_id"))
 

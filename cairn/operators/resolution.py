@@ -11,7 +11,7 @@ import builtins
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.paths import dotted_depth, join_path, normalize_path, parent_dir, path_suffixes
+from cairn.functions.paths import dotted_depth, join_path, normalize_path, parent_dir, path_suffixes, tail
 from cairn.operators.orphans import script_candidates
 from cairn.operators.relational import CALLABLE, TYPES, Index, enclosing_symbols, upsert_edges
 
@@ -52,7 +52,7 @@ def import_candidates(lang: Column, path: Column, spec: Column) -> Column:
     ruby = F.when(F.startswith(spec, F.lit(".")), F.array(near, F.concat(near, F.lit(".rb")))).otherwise(
         F.array(F.concat(root, F.lit("/lib/"), spec, F.lit(".rb")), F.concat(root, F.lit("/"), spec, F.lit(".rb")))
     )
-    godot = F.when(F.startswith(spec, F.lit("res://")), F.array(F.concat(root, F.lit("/"), F.substring(spec, 7, 100_000)))).otherwise(
+    godot = F.when(F.startswith(spec, F.lit("res://")), F.array(F.concat(root, F.lit("/"), tail(spec, 7)))).otherwise(
         F.when(F.startswith(spec, F.lit(".")), F.array(near)).otherwise(F.array().cast("array<string>"))
     )
     quoted = F.when(F.startswith(spec, F.lit("<")), F.array().cast("array<string>")).otherwise(F.array(near, join_path(root, spec)))
@@ -69,7 +69,7 @@ def import_candidates(lang: Column, path: Column, spec: Column) -> Column:
     both = lambda stem: F.array(F.concat(stem, F.lit(".rs")), F.concat(stem, F.lit("/mod.rs")))
     longest_first = F.sequence(F.size(segments), F.lit(1), F.lit(-1))
     prefixes = lambda b: F.flatten(F.transform(longest_first, lambda k: both(F.concat(b, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/")))))
-    modules = F.concat(both(near), both(F.concat(root, F.lit("/src/"), F.substring(spec, 3, 100_000))))
+    modules = F.concat(both(near), both(F.concat(root, F.lit("/src/"), tail(spec, 3))))
     rust = F.when(F.startswith(spec, F.lit("./")), modules).otherwise(F.concat(F.flatten(F.transform(rust_bases, prefixes)), rooted(".rs")))
     scripts = F.when(F.startswith(spec, F.lit(".")), script_candidates(path, spec)).otherwise(F.array().cast("array<string>"))
     return (
@@ -211,14 +211,27 @@ def type_edges(ix: Index) -> DataFrame:
     return upsert_edges(edges)
 
 
-def promote_edges(edges: DataFrame, precise: DataFrame) -> DataFrame:
-    """Edges after precise facts (src, dst): low-confidence calls that a fact confirms become (1.0, lsp); those it contradicts give way to the fact."""
-    facts = precise.select(F.col("src_symbol_id").alias("fs"), F.col("dst_symbol_id").alias("fd")).distinct()
-    told = facts.select(F.col("fs").alias("ts")).distinct()
-    low = (F.col("kind") == "calls") & (F.col("provenance") == "index") & (F.col("confidence") <= 0.6)
-    keep = edges.where(~low).unionByName(edges.where(low).join(told, F.col("src_symbol_id") == F.col("ts"), "left_anti"))
-    asked = edges.where(low).select(F.col("src_symbol_id").alias("q")).distinct()
-    new = facts.join(asked, F.col("fs") == F.col("q"), "left_semi").select(
-        F.col("fs").alias("src_symbol_id"), F.col("fd").alias("dst_symbol_id"), F.lit("calls").alias("kind"), F.lit(1.0).alias("confidence"), F.lit("lsp").alias("provenance")
-    )
-    return upsert_edges(keep.unionByName(new))
+def promote_edges(edges: DataFrame, sites: DataFrame, facts: DataFrame, most: float = 0.6) -> DataFrame:
+    """Edges after precise facts about call sites.
+
+    sites: src_symbol_id, dst_symbol_id, file_id, line, col, the place an unsure call edge is judged by. facts: file_id,
+    line, col, target (the symbol that is really called there). A fact that confirms an edge makes it (1.0, lsp); one that
+    names another symbol puts that edge in the place of the wrong one; an edge without a fact stays as it is.
+    """
+    low = edges.where((F.col("kind") == "calls") & (F.col("provenance") == "index") & (F.col("confidence") <= most))
+    known = facts.where("target is not null").groupBy("file_id", "line", "col").agg(F.min("target").alias("target"))
+    told = low.select("src_symbol_id", "dst_symbol_id").join(sites, ["src_symbol_id", "dst_symbol_id"]).join(known, ["file_id", "line", "col"])
+    told = told.groupBy("src_symbol_id", "dst_symbol_id").agg(F.min("target").alias("target"))
+    gone = told.select(F.col("src_symbol_id").alias("ts"), F.col("dst_symbol_id").alias("td"), F.lit("calls").alias("tk"))
+    keep = edges.join(gone, (F.col("src_symbol_id") == F.col("ts")) & (F.col("dst_symbol_id") == F.col("td")) & (F.col("kind") == F.col("tk")), "left_anti")
+    new = told.select("src_symbol_id", F.col("target").alias("dst_symbol_id"), F.lit("calls").alias("kind"), F.lit(1.0).alias("confidence"), F.lit("lsp").alias("provenance"))
+    return upsert_edges(keep.select(*new.columns).unionByName(new))
+
+
+def first_sites(ix: Index, edges: DataFrame) -> DataFrame:
+    """src_symbol_id, dst_symbol_id, file_id, line, col: the first call inside the source's lines that resolves to the target."""
+    span = ix.symbols.select(F.col("symbol_id").alias("src_symbol_id"), "file_id", F.col("start_line").alias("a"), F.col("end_line").alias("z"))
+    calls = ix.occurrences.where("role = 'call' and resolved_symbol_id is not null").select("file_id", F.col("resolved_symbol_id").alias("dst_symbol_id"), "start_line", "start_col")
+    met = edges.select("src_symbol_id", "dst_symbol_id").join(span, "src_symbol_id").join(calls, ["file_id", "dst_symbol_id"]).where("start_line between a and z")
+    first = met.groupBy("src_symbol_id", "dst_symbol_id", "file_id").agg(F.min(F.struct("start_line", "start_col")).alias("p"))
+    return first.select("src_symbol_id", "dst_symbol_id", "file_id", F.col("p.start_line").alias("line"), F.col("p.start_col").alias("col"))

@@ -1,4 +1,4 @@
-"""Full-text search with BM25, prefixes and rank fusion, for a table of queries at once (no substring fallback, no vectors)."""
+"""Full-text search with BM25, prefixes and rank fusion, for a table of queries at once."""
 
 from __future__ import annotations
 
@@ -30,13 +30,20 @@ def lengths(symbols: DataFrame) -> DataFrame:
 
 
 def bm25(symbols: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, symbol_id, score, rank: the best k symbols that hold every term of a query (query_id, terms array)."""
+    """query_id, symbol_id, score, rank: the best k symbols that hold every term of a query (query_id, terms array).
+
+    Each query begins with the postings of its rarest term; only what these hold is looked up for its other terms, so a
+    common term costs no more than the rare ones beside it.
+    """
     sizes = lengths(symbols)
     corpus = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("d").alias("mean_d"))
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("n_terms"))
     posts = postings(symbols).join(terms.select("term").distinct(), "term", "left_semi")
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = terms.join(posts, "term").join(df, "term").join(sizes, "symbol_id").crossJoin(F.broadcast(corpus))
+    asked = terms.join(df, "term")
+    rarest = asked.groupBy("query_id", "n_terms").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("known")).where("known = n_terms")
+    candidates = rarest.select("query_id", "term").join(posts, "term").select("query_id", "symbol_id")
+    hits = candidates.join(asked, "query_id").join(posts, ["term", "symbol_id"]).join(sizes, "symbol_id").crossJoin(F.broadcast(corpus))  # one row of two numbers
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean_d")))
     scored = hits.groupBy("query_id", "symbol_id", "n_terms").agg(F.round(F.sum(gain), 9).alias("score"), F.count(F.lit(1)).alias("n"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.paths import base_name, extension, normalize_path, parent_dir, path_ancestors
-from cairn.operators import graph, relational, resolution, retrieval
+from cairn.functions.paths import base_name, extension, normalize_path, parent_dir, path_ancestors, tail
+from cairn.operators import graph, hierarchy, relational, resolution, retrieval
 from cairn.operators.relational import Index
 from cairn.plans import code_sql
 
@@ -17,7 +17,7 @@ def _on_index(fn):
 
 def _name_queries(ix: Index) -> DataFrame:
     """Every folder name of the index as a query: its words are the terms."""
-    folders = ix.files.select(F.explode(F.slice(F.split("path", "/"), 2, 100)).alias("q")).select(F.regexp_replace("q", r"\.[^.]*$", "").alias("q"))
+    folders = ix.files.select(F.explode(F.slice(F.split("path", "/"), F.lit(2), F.size(F.split("path", "/")))).alias("q")).select(F.regexp_replace("q", r"\.[^.]*$", "").alias("q"))
     split = F.split(F.lower(F.regexp_replace("q", r"([a-z])([A-Z])", "$1_$2")), "[^a-z0-9]+")
     terms = F.filter(split, lambda t: t != "")
     return folders.distinct().select(F.col("q").alias("query_id"), terms.alias("terms")).where(F.size("terms") > 0)
@@ -80,14 +80,32 @@ def test_path_check(ix: Index) -> DataFrame:
     return ix.files.groupBy("lang", looks.alias("looks_like_test"), "is_test").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+# Names that a language's runtime or an engine calls by itself, as patterns by language.
+LIFECYCLE = {
+    "gdscript": r"^_",
+    "python": r"^__\w+__$",
+    "c_sharp": r"^(Awake|Start|Update|FixedUpdate|LateUpdate|OnEnable|OnDisable|OnDestroy|OnGUI|OnValidate|Reset|Main)$",
+    "cpp": r"^(main|BeginPlay|EndPlay|Tick)$",
+    "java": r"^main$",
+    "go": r"^(main|init)$",
+    "rust": r"^main$",
+}
+ENTRY = r"^(main|index|app|server|cli|__main__)\.[a-z]+$"
+
+
 def dead_code_report(ix: Index) -> DataFrame:
-    """Dead candidates that no unresolved use of the name saves, in buckets."""
+    """Dead candidates that no unresolved use of the name saves, in buckets.
+
+    Left out are names that the file's language calls by itself, and what lies in entry files at most two folders deep.
+    """
     loose = ix.raw("occurrences", "name", "resolved_symbol_id").where("resolved_symbol_id is null").select("name").distinct().withColumn("maybe", F.lit(True))
     rows = relational.dead_candidates(ix).join(loose, "name", "left")
-    entry = base_name(F.col("path")).rlike(r"^(main|index|app|server|cli|__main__|setup|manage|mod|lib)\.[a-z]+$")
+    entry = base_name(F.col("path")).rlike(ENTRY) & (F.size(F.split("path", "/")) <= 3)
     bucket = F.when(F.col("is_test"), "test").when(F.col("maybe"), "maybe used by name").when(F.col("is_exported"), "exported").otherwise("dead")
-    life = F.col("name").rlike(r"^(__\w+__|_ready|_process|_init|main|constructor|Awake|Start|Update|OnEnable|OnDisable)$")
-    return rows.where(~entry & ~life).select("symbol_id", "name", "path", bucket.alias("bucket"))
+    life = F.lit(False)
+    for lang, names in LIFECYCLE.items():
+        life = life | ((F.col("lang") == lang) & F.col("name").rlike(names))
+    return rows.where(~entry & ~F.coalesce(life, F.lit(False))).select("symbol_id", "name", "path", bucket.alias("bucket"))
 
 
 def hotspots(ix: Index) -> DataFrame:
@@ -98,26 +116,36 @@ def hotspots(ix: Index) -> DataFrame:
 
 
 def outline(ix: Index) -> DataFrame:
-    """Lines of each file's outline: kind, depth of the parent chain inside the file up to three, signature."""
+    """Lines of each file's outline: kind, depth of the parent chain inside the file, name.
+
+    A parent in another file or without a row ends the chain; what is on a circle or below one has no depth and is shown
+    at the margin.
+    """
     s = ix.symbols.select("symbol_id", "file_id", "parent_symbol_id", "start_line", "kind", "name")
-    up = ix.symbols.select(F.col("symbol_id").alias("p1"), F.col("parent_symbol_id").alias("g1"))
-    up2 = ix.symbols.select(F.col("symbol_id").alias("p2"), F.col("parent_symbol_id").alias("g2"))
-    rows = s.join(up, F.col("parent_symbol_id") == F.col("p1"), "left").join(up2, F.col("g1") == F.col("p2"), "left")
-    depth = F.when(F.col("p1").isNull(), 0).when(F.col("p2").isNull(), 1).when(F.col("g2").isNull(), 2).otherwise(3)
+    owner = ix.symbols.select(F.col("symbol_id").alias("oid"), F.col("file_id").alias("ofile"))
+    inner = s.where("parent_symbol_id is not null").join(owner, (F.col("parent_symbol_id") == F.col("oid")) & (F.col("file_id") == F.col("ofile")), "left")
+    links = inner.select("symbol_id", F.col("oid").alias("parent"), "name").unionByName(s.where("parent_symbol_id is null").select("symbol_id", F.col("parent_symbol_id").alias("parent"), "name"))
+    placed = hierarchy.expand(hierarchy.contract(links, "symbol_id", "parent", "name")).select(F.col("id").alias("pid"), "depth")
+    depth = F.coalesce("depth", F.lit(0)).cast("int")
+    rows = s.join(placed, F.col("symbol_id") == F.col("pid"))
     return rows.select("file_id", "start_line", "symbol_id", depth.alias("depth"), F.concat(F.repeat(F.lit("  "), depth), "kind", F.lit(" "), "name").alias("line"))
 
 
 def asset_users(ix: Index) -> DataFrame:
     """Scripts named by assets, with how many assets and places name them."""
     rows = ix.asset_refs.where("startswith(target, 'res://')").join(ix.assets.select("asset_id", "path"), "asset_id")
-    full = F.concat(F.substring_index("path", "/", 1), F.lit("/"), F.substring("target", 7, 100_000))
+    full = F.concat(F.substring_index("path", "/", 1), F.lit("/"), tail(F.col("target"), 7))
     return rows.select(full.alias("target_path"), "asset_id").groupBy("target_path").agg(F.countDistinct("asset_id").alias("n_assets"), F.count(F.lit(1)).alias("n_refs"))
 
 
 def confirmed_edges(ix: Index) -> DataFrame:
-    """Index edges after the precise call edges of the same index are taken as facts."""
-    precise = ix.edges.where("kind = 'calls' and provenance = 'lsp'").select("src_symbol_id", "dst_symbol_id")
-    return resolution.promote_edges(ix.edges, precise)
+    """Unsure index edges after what the precise edges of the same source and name say about their call sites."""
+    named = ix.symbols.select(F.col("symbol_id").alias("sid"), "name")
+    precise = ix.edges.where("kind = 'calls' and provenance = 'lsp'").join(named, F.col("dst_symbol_id") == F.col("sid"))
+    precise = precise.groupBy(F.col("src_symbol_id").alias("psrc"), F.col("name").alias("pname")).agg(F.min("dst_symbol_id").alias("target"))
+    sites = resolution.first_sites(ix, ix.edges.where("kind = 'calls' and provenance = 'index' and confidence <= 0.6"))
+    told = sites.join(named, F.col("dst_symbol_id") == F.col("sid")).join(precise, (F.col("src_symbol_id") == F.col("psrc")) & (F.col("name") == F.col("pname")))
+    return resolution.promote_edges(ix.edges, sites, told.select("file_id", "line", "col", "target"))
 
 
 def session_batches(spark: SparkSession, d: str) -> DataFrame:

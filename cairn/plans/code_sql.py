@@ -152,11 +152,15 @@ SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, cou
     "resolve_bases": _with(SYM, IMP, BASES) + "SELECT * FROM based",
     "call_edges": _with(OCC, SYM, ENCLOSING) + "SELECT enclosing_symbol_id AS src_symbol_id, resolved_symbol_id AS dst_symbol_id, 'calls' AS kind, max(confidence) AS confidence, 'index' AS provenance FROM enc WHERE enclosing_symbol_id <> resolved_symbol_id GROUP BY 1, 2",
     "type_edges": _with(SYM, IMP, BASES) + "SELECT symbol_id AS src_symbol_id, base_symbol_id AS dst_symbol_id, base_kind AS kind, max(confidence) AS confidence, 'index' AS provenance FROM based GROUP BY 1, 2, 3",
-    "promote_edges": _with(EDG)
-    + """, facts AS (SELECT DISTINCT src_symbol_id AS s, dst_symbol_id AS d FROM edg WHERE kind = 'calls' AND provenance = 'lsp'),
-low AS (SELECT * FROM edg WHERE kind = 'calls' AND provenance = 'index' AND confidence <= 0.6),
-kept AS (SELECT * FROM edg WHERE NOT coalesce(kind = 'calls' AND provenance = 'index' AND confidence <= 0.6, false) UNION ALL SELECT * FROM low WHERE src_symbol_id NOT IN (SELECT s FROM facts)
-  UNION ALL SELECT s, d, 'calls', 1.0, 'lsp' FROM facts WHERE s IN (SELECT src_symbol_id FROM low))
+    "promote_edges": _with(SYM, OCC, EDG)
+    + """, low AS (SELECT * FROM edg WHERE kind = 'calls' AND provenance = 'index' AND confidence <= 0.6),
+sites AS (SELECT e.src_symbol_id, e.dst_symbol_id, s.file_id, min({l: o.start_line, c: o.start_col}) AS p FROM low e JOIN sym s ON s.symbol_id = e.src_symbol_id
+  JOIN occ o ON o.file_id = s.file_id AND o.resolved_symbol_id = e.dst_symbol_id AND o.role = 'call' AND o.start_line BETWEEN s.start_line AND s.end_line GROUP BY 1, 2, 3),
+precise AS (SELECT e.src_symbol_id, s.name, min(e.dst_symbol_id) AS target FROM edg e JOIN sym s ON s.symbol_id = e.dst_symbol_id WHERE e.kind = 'calls' AND provenance = 'lsp' GROUP BY 1, 2),
+facts AS (SELECT t.file_id, t.p, min(r.target) AS target FROM sites t JOIN sym s ON s.symbol_id = t.dst_symbol_id JOIN precise r ON r.src_symbol_id = t.src_symbol_id AND r.name = s.name GROUP BY 1, 2),
+told AS (SELECT src_symbol_id, dst_symbol_id, min(target) AS target FROM sites JOIN facts USING (file_id, p) GROUP BY 1, 2),
+kept AS (SELECT * FROM edg e WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.src_symbol_id = e.src_symbol_id AND t.dst_symbol_id = e.dst_symbol_id AND e.kind = 'calls')
+  UNION ALL SELECT src_symbol_id, target, 'calls', 1.0, 'lsp' FROM told)
 SELECT src_symbol_id, dst_symbol_id, kind, max(confidence) AS confidence, arg_max(provenance, {c: confidence, p: provenance}) AS provenance FROM kept GROUP BY 1, 2, 3""",
     "impact_bfs": _with(SYM, EDG, CHG, IMPACT, recursive=True) + "SELECT node AS symbol_id, depth, via FROM walked",
     "import_reach": _with(IMP, CHG, REACH, recursive=True) + "SELECT node AS file_id, depth FROM walked",
@@ -203,12 +207,16 @@ SELECT file_id, arg_max(root, length(root)) AS root FROM above JOIN marks USING
  FROM (SELECT *, {BASE.format(p='path')} AS b FROM cur)) GROUP BY 1, 2, 3""",
     "dead_code_report": _with(CUR, SYM, DEAD)
     + rf"""SELECT symbol_id, name, path, CASE WHEN is_test THEN 'test' WHEN name IN (SELECT name FROM occurrences WHERE resolved_symbol_id IS NULL AND name IS NOT NULL) THEN 'maybe used by name' WHEN is_exported THEN 'exported' ELSE 'dead' END AS bucket
-FROM dead WHERE NOT regexp_matches({BASE.format(p='path')}, '^(main|index|app|server|cli|__main__|setup|manage|mod|lib)\.[a-z]+$') AND NOT regexp_matches(name, '^(__\w+__|_ready|_process|_init|main|constructor|Awake|Start|Update|OnEnable|OnDisable)$')""",
+FROM dead WHERE NOT (regexp_matches({BASE.format(p='path')}, '^(main|index|app|server|cli|__main__)\.[a-z]+$') AND len(string_split(path, '/')) <= 3)
+  AND NOT coalesce(CASE lang WHEN 'gdscript' THEN name LIKE '\_%' ESCAPE '\' WHEN 'python' THEN regexp_matches(name, '^__\w+__$')
+    WHEN 'c_sharp' THEN name IN ('Awake', 'Start', 'Update', 'FixedUpdate', 'LateUpdate', 'OnEnable', 'OnDisable', 'OnDestroy', 'OnGUI', 'OnValidate', 'Reset', 'Main')
+    WHEN 'cpp' THEN name IN ('main', 'BeginPlay', 'EndPlay', 'Tick') WHEN 'go' THEN name IN ('main', 'init') WHEN 'java' THEN name = 'main' WHEN 'rust' THEN name = 'main' END, false)""",
     "hotspots": _with(CUR)
     + "SELECT path, commits, n_lines, round(commits * log2(n_lines + 1), 6) AS score FROM (SELECT file_id, count(DISTINCT indexed_at) AS commits FROM files GROUP BY 1) JOIN (SELECT file_id, max(end_line) AS n_lines FROM symbols GROUP BY 1) USING (file_id) JOIN cur USING (file_id)",
-    "outline_depth": _with(SYM)
-    + """SELECT file_id, start_line, symbol_id, depth, repeat('  ', depth) || kind || ' ' || name AS line FROM (SELECT s.file_id, s.start_line, s.symbol_id, s.kind, s.name,
-  CASE WHEN a.symbol_id IS NULL THEN 0 WHEN b.symbol_id IS NULL THEN 1 WHEN b.parent_symbol_id IS NULL THEN 2 ELSE 3 END AS depth FROM sym s LEFT JOIN sym a ON a.symbol_id = s.parent_symbol_id LEFT JOIN sym b ON b.symbol_id = a.parent_symbol_id)""",
+    "outline_depth": _with(SYM, recursive=True)
+    + """, link AS (SELECT s.symbol_id, s.file_id, s.start_line, s.kind, s.name, p.symbol_id AS parent FROM sym s LEFT JOIN sym p ON p.symbol_id = s.parent_symbol_id AND p.file_id = s.file_id),
+down(symbol_id, depth) AS (SELECT symbol_id, 0 FROM link WHERE parent IS NULL UNION ALL SELECT l.symbol_id, d.depth + 1 FROM down d JOIN link l ON l.parent = d.symbol_id)
+SELECT file_id, start_line, symbol_id, coalesce(depth, 0)::INTEGER AS depth, repeat('  ', coalesce(depth, 0)) || kind || ' ' || name AS line FROM link LEFT JOIN down USING (symbol_id)""",
     "asset_users": _with(AST, REF)
     + "SELECT string_split(path, '/')[1] || '/' || substr(target, 7) AS target_path, count(DISTINCT asset_id) AS n_assets, count(*) AS n_refs FROM ref JOIN ast USING (asset_id) WHERE starts_with(target, 'res://') GROUP BY 1",
 }

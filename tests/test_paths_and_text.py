@@ -24,7 +24,7 @@ def test_path_parts(spark):
     assert value(spark, paths.extension(F.lit("a.b/none"))) == ""
     assert value(spark, paths.path_suffixes(F.lit("a/b/c"))) == ["a/b/c", "b/c", "c"]
     assert value(spark, paths.path_ancestors(F.lit("a/b/c"))) == ["a/b", "a", ""]
-    assert value(spark, paths.last_segment(F.lit("x::y.z"))) == "z"
+    assert value(spark, paths.tail(F.lit("res://" + "a" * 200_000), 7)) == "a" * 200_000
 
 
 @pytest.mark.parametrize("text, n", [("", 0), ("abcd", 2), ("x" * 37, 10), ("a  \n b", 1), (None, 0)])
@@ -44,11 +44,13 @@ def test_upsert_and_promotion(spark):
     up = upsert_edges(edges)
     assert up.count() == 4
     assert up.where("dst_symbol_id = 2").first()["provenance"] == "lsp"
-    facts = spark.createDataFrame([(4, 9), (1, 3), (8, 8)], "src_symbol_id long, dst_symbol_id long")
-    out = {(r[0], r[1], r[2], r[3], r[4]) for r in promote_edges(up, facts).collect()}
-    assert (4, 9, "calls", 1.0, "lsp") in out and (1, 3, "calls", 1.0, "lsp") in out
-    assert not any(r[:2] == (4, 5) for r in out) and not any(r[:2] == (8, 8) for r in out)
-    assert (4, 6, "extends", 0.6, None) in out
+    sites = spark.createDataFrame([(4, 5, 1, 10, 2), (1, 3, 1, 3, 4), (7, 7, 1, 1, 1)], "src_symbol_id long, dst_symbol_id long, file_id long, line int, col int")
+    facts = spark.createDataFrame([(1, 10, 2, 9), (1, 3, 4, 3), (1, 1, 1, 8), (1, 2, 2, 5), (1, 10, 2, None)], "file_id long, line int, col int, target long")
+    out = {tuple(r) for r in promote_edges(up, sites, facts).collect()}
+    assert (4, 9, "calls", 1.0, "lsp") in out and (1, 3, "calls", 1.0, "lsp") in out and (4, 6, "extends", 0.6, None) in out
+    assert (1, 2, "calls", 0.35, "lsp") in out and len(out) == 4
+    # an edge without a fact stays, whatever is known of its source's other calls
+    assert {tuple(r) for r in promote_edges(up, sites, facts.where("line = 3")).collect()} >= {(4, 5, "calls", 0.6, "index"), (1, 3, "calls", 1.0, "lsp")}
 
 
 def test_rank_fusion(spark):

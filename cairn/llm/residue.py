@@ -90,10 +90,12 @@ STAND_IN_WORDS = set(
 
 def stands_in(phrase: str) -> bool:
     """Whether a phrase, numbers aside, is nothing but stand-ins, said once or more."""
-    first = next((w for w in phrase.split() if not w.isdigit()), "")
-    if first.lower() not in STAND_IN_WORDS:
+    first = phrase.split(None, 1)[0] if phrase else ""
+    if not first.isdigit() and first.lower() not in STAND_IN_WORDS:
         return False
     words = [w for w in phrase.split() if not w.isdigit()]
+    if not words or words[0].lower() not in STAND_IN_WORDS:
+        return False
     return all(STAND_INS.match(" ".join(p)) for p in _pieces(words))
 
 
@@ -136,13 +138,21 @@ def without_slots(text: str) -> str:
     return SLOT.sub("", text) if any(c in text for c in SLOT_MARKS) else text
 
 
+DIGIT, NUMBER = re.compile(r"\d"), re.compile(r"[0-9a-f]*\d[0-9a-f]*")
+HAS_MARK = re.compile(rf"{MARK}|__")
+SENTENCE_END, BLANK_LINE = re.compile(r"(?<=[.!?。])\s+"), re.compile(r"\n\s*\n")
+HEADING, BOX, RULE, BULLET = re.compile(r"^#{1,6}\s"), re.compile(r"^[-*]\s+\[ \]"), re.compile(r"^\|[\s:|-]+\|?$"), re.compile(r"^[-*]\s+\w+$")
+LETTERS, SEPARATORS, PUNCTUATION = re.compile(r"[^\W\d_]+"), re.compile(r"[\W_]+"), re.compile(r"\W+")
+
+
 def normal(unit: str) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"[0-9a-f]*\d[0-9a-f]*", "0", unit.lower())).strip(" ")
+    low = unit.lower()
+    return " ".join((NUMBER.sub("0", low) if DIGIT.search(low) else low).split())
 
 
 def candidates(unit: str) -> tuple[str, str, list[tuple[str, str]]]:
     """The unit without what stands between marks, that filling, and (form, name) of each piece of it."""
-    found = [m for m in DELIMITED.finditer(unit)] if any(not c.isalnum() and c not in " .,;:!?'-" for c in unit) else []
+    found = [m for m in DELIMITED.finditer(unit)] if HAS_MARK.search(unit) else []
     if not found:
         return normal(unit), "", []
     bare = normal(DELIMITED.sub(" ", unit))
@@ -150,21 +160,22 @@ def candidates(unit: str) -> tuple[str, str, list[tuple[str, str]]]:
     return bare, normal(" ".join(m[0] for m in found)), forms
 
 
-def alignable(text: str) -> tuple[list[dict], list[dict]]:
+def alignable(text: str) -> tuple[list[tuple[str, str]], list[dict]]:
     """The distinct units of a text as (bare, filling), and (bare, form, name, snake) of every candidate."""
-    units, slots = {}, {}
+    units: dict[tuple[str, str], None] = {}
+    slots = {}
     for line in text.splitlines():
         for s in sentences(line):
             bare, filling, forms = candidates(s)
-            units[bare, filling] = {"bare": bare, "filling": filling}
+            units[bare, filling] = None
             for form, name in forms:
-                plain = re.sub(r"[\W_]+", " ", name).strip().lower()
+                plain = SEPARATORS.sub(" ", name).strip().lower()
                 slots[bare, form, plain] = {"bare": bare, "form": form, "name": plain, "snake": "_" in name.strip("_")}
-    return list(units.values()), list(slots.values())
+    return list(units), list(slots.values())
 
 
 def sentences(line: str) -> list[str]:
-    return [s for s in re.split(r"(?<=[.!?。])\s+", line.strip()) if s]
+    return [s for s in SENTENCE_END.split(line.strip()) if s]
 
 
 def without_quotes(text: str) -> str:
@@ -190,8 +201,8 @@ def unit_kinds(text: str | None) -> list[tuple[str, str]]:
     if any(c in loose for c in SLOT_MARKS) and (slot := SLOT.search(loose)):
         out.append(("slot", slot[0]))
     out += [("blank", "<!-- -->")] * comments
-    for block in re.split(r"\n\s*\n", plain):
-        words = re.findall(r"[^\W\d_]+", block.lower())
+    for block in BLANK_LINE.split(plain):
+        words = LETTERS.findall(block.lower())
         if len(words) >= 5 and sum(w in LATIN for w in words) >= 0.8 * len(words) and sum(w in LATIN for w in set(words)) >= 4:
             out.append(("latin", block[:40]))
             continue
@@ -201,11 +212,11 @@ def unit_kinds(text: str | None) -> list[tuple[str, str]]:
                 if line == "\x00":
                     out.append(("text", "code"))
                 continue
-            if re.match(r"^#{1,6}\s", line):
+            if HEADING.match(line):
                 out.append(("heading", line.lower()))
-            elif re.match(r"^[-*]\s+\[ \]", line):
+            elif BOX.match(line):
                 out.append(("blank", line.lower()))
-            elif re.match(r"^\|[\s:|-]+\|?$", line):
+            elif RULE.match(line):
                 continue
             elif line.startswith("|") and line.endswith("|"):
                 cells = [c.strip() for c in line.strip("|").split("|")]
@@ -231,7 +242,7 @@ def unit_kinds(text: str | None) -> list[tuple[str, str]]:
                         kind = "filler"
                     elif ERROR.match(s):
                         kind = "error"
-                    elif FURNITURE.match(s.strip(" .")) or re.match(r"^[-*]\s+\w+$", line):
+                    elif FURNITURE.match(s.strip(" .")) or BULLET.match(line):
                         kind = "furniture"
                     out.append((kind, s))
     return out
@@ -250,21 +261,21 @@ def _record(text: str | None) -> tuple:
     # a phrase said three times or more is on trial as filler
     said: dict[str, int] = {}
     for u in solid:
-        key = re.sub(r"\W+", " ", u.lower()).strip()
+        key = PUNCTUATION.sub(" ", u.lower()).strip()
         said[key] = said.get(key, 0) + 1
     echo = [k for k, n in said.items() if n >= 3 and k and 3 * n * 10 >= 8 * 3 * len(solid)]
     return (
         "slot" in names, "latin" in names, len(solid), names.count("error"), names.count("filler"), names.count("blank"),
         names.count("heading"), [u for k, u in kinds if k == "label"], [{"unit": u, "n": n, "notice": k == "error"} for (k, u), n in Counter(talk).items()] if page else [],
-        [{"phrase": k, "n": n} for k, n in said.items() if k], echo, slots, units,
+        [k for k in said if k], [n for k, n in said.items() if k], echo, slots, [u[0] for u in units], [u[1] for u in units],
     )
 
 
 RECORD = (
-    "slot boolean, latin boolean, n_text int, n_error int, n_filler int, n_blank int, n_heading int, labels array<string>, open array<struct<unit:string,n:int,notice:boolean>>, said array<struct<phrase:string,n:int>>, echo array<string>, "
-    "slots array<struct<bare:string,form:string,name:string,snake:boolean>>, units array<struct<bare:string,filling:string>>"
+    "slot boolean, latin boolean, n_text int, n_error int, n_filler int, n_blank int, n_heading int, labels array<string>, open array<struct<unit:string,n:int,notice:boolean>>, phrases array<string>, times array<int>, echo array<string>, "
+    "slots array<struct<bare:string,form:string,name:string,snake:boolean>>, bares array<string>, fillings array<string>"
 )
-COLUMNS = "slot latin n_text n_error n_filler n_blank n_heading labels open said echo slots units".split()
+COLUMNS = "slot latin n_text n_error n_filler n_blank n_heading labels open phrases times echo slots bares fillings".split()
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,7 +303,7 @@ def open_slots(seen: DataFrame, counted: DataFrame, scratch: Scratch) -> DataFra
 
     # alignment: units of all records that are the same but for what stands between marks
     bares = found.where("variable and bare <> ''").select("bare").distinct()
-    units = seen.select("key", F.explode("units").alias("u")).select("key", "u.bare", "u.filling").join(bares, "bare", "left_semi").join(counted, "key")
+    units = seen.select("key", F.explode(F.arrays_zip("bares", "fillings")).alias("u")).select("key", F.col("u.bares").alias("bare"), F.col("u.fillings").alias("filling")).join(bares, "bare", "left_semi").join(counted, "key")
     per_record = units.groupBy("bare", "key").agg(F.first("copies").alias("copies"), F.min("filling").alias("a"), F.max("filling").alias("z"))
     templates = per_record.groupBy("bare").agg(F.sum("copies").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"))
     templates = templates.where((F.col("n") >= SUPPORT) & (F.col("a") != F.col("z"))).select("bare", F.lit(True).alias("aligned"))
@@ -366,7 +377,7 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     echoes = seen.select(F.explode("echo").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("phrase")
 
     aligned = error_pages(seen, counted, scratch)
-    said = seen.select("key", F.explode("said").alias("s")).select("key", "s.phrase", "s.n")
+    said = seen.select("key", F.explode(F.arrays_zip("phrases", "times")).alias("s")).select("key", F.col("s.phrases").alias("phrase"), F.col("s.times").alias("n"))
     repeated = said.join(echoes, "phrase", "left_semi").groupBy("key").agg(F.sum("n").alias("n_echoed"))
 
     induced = open_slots(seen, counted, scratch).withColumn("induced", F.lit(True))

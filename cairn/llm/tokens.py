@@ -1,9 +1,11 @@
 """Token ids of whole texts by a public byte-level BPE, with forced boundaries.
 
 A pair of bytes that occurs inside no vocabulary token can never be joined by a merge, so there is always a token
-boundary between the two. Where the first byte is a visible ASCII character and the second is white space, the
-pre-tokeniser cuts there in any context as well, so what lies on either side can be encoded on its own. Every text is
-cut at all such places, each distinct fragment of a batch is encoded once, and the ids are put together again.
+boundary between the two. What lies on either side can be encoded on its own if the pre-tokeniser treats it alike without
+the other side: where the first byte is a visible ASCII character and the second white space, it cuts there in any
+context; where both are ASCII letters or digits, it has them in one run or cuts between them, and either half of a run is a
+run. Every text is cut at all such places, so one without spaces is cut as well, each distinct fragment of a batch is
+encoded once, and the ids are put together again.
 
 Defined results: null and empty texts have an empty list of ids; strings that look like special tokens are ordinary
 text; texts may be of any length, as only fragments are encoded.
@@ -40,6 +42,9 @@ def _load(path: str):
         inside[b[:-1], b[1:]] = True
     certain = np.zeros((256, 256), bool)
     certain[0x21:0x7F, [0x09, 0x0A, 0x0D, 0x20]] = True
+    word = np.zeros(256, bool)
+    word[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]] = True
+    certain |= word[:, None] & word[None, :]
     certain &= ~inside
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), certain
 

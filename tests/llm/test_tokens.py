@@ -14,7 +14,7 @@ def whole(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab'Z9.,!  \n\t\r é　ß中😀_-")), max_size=60))
+@given(st.text(alphabet=st.sampled_from(list("abqxzsld'Z790.,!  \n\t\r é　ß中😀_-")), max_size=60))
 def test_fragments_give_the_ids_of_the_whole(text):
     assert list(next(tokens.encode_texts(pd.Series([text]), PATH, {}))) == whole(text)
 

@@ -2,7 +2,8 @@
 
 Texts are sized in tokens of a public tokenizer and summed into cells (source, language, topic). The cells' weights are
 raked in turn to the marginals of source (the targets), language and topic (their own shares among the sources that
-have a target), never above a source's cap of repeats; the last rakings are by source, so its shares hold. A text of a
+have a target), never above a source's cap of repeats, until no weight changes by more than a millionth in a round; each
+round ends with the sources, whose weights are scaled exactly under the cap, so their shares hold. A text of a
 cell with weight r is taken floor(r) times, and once more with the probability of the rest: systematic sampling inside
 bounded buckets of each source, corrected by single copies, so that the size of the sample hardly varies.
 
@@ -16,14 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.tokens import token_count
 from cairn.session import Scratch
 
-ROUNDS = 8  # of raking by all three marginals
-LAST_ROUNDS = 12  # of raking by source under the cap
+TOLERANCE = 1e-6  # the largest relative change of a weight in a round at which raking ends
+MAX_ROUNDS = 60  # caps can keep languages and topics from their goals; then raking ends here at the latest
 BUCKET_ROWS = 2000
 
 
@@ -55,6 +56,27 @@ def _take(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[rows["copies"] > 0, ["doc_id", "source", "lang", "topic", "tokens", "copies"]]
 
 
+def with_whole(rows: DataFrame, *totals: F.Column) -> DataFrame:
+    """Every row beside totals over all rows."""
+    return rows.crossJoin(F.broadcast(rows.agg(*totals)))  # one row
+
+
+def under_cap(cells: DataFrame) -> DataFrame:
+    """Each source's weights times one factor, but at most the cap, so that their tokens are the source's goal.
+
+    In order of falling weight the first cells are at the cap and the rest are scaled to what is left; the first place
+    from which on no scaled weight is above the cap tells where the one ends and the other begins.
+    """
+    down = Window.partitionBy("source").orderBy(F.desc("r"), "lang", "topic")
+    before = F.coalesce(F.sum("size").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(F.col("size") * F.col("r")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    cells = cells.withColumns({"place": F.row_number().over(down), "factor": F.when(rest > 0, (F.col("goal") - F.col("cap") * before) / rest)})
+    fits = F.col("factor").isNotNull() & (F.col("r") * F.col("factor") <= F.col("cap") * (1 + 1e-12))
+    factor = F.min(F.when(fits, F.struct("place", "factor"))).over(Window.partitionBy("source"))["factor"]
+    scaled = F.when(factor.isNotNull(), F.least(F.col("r") * factor, F.col("cap").cast("double"))).otherwise(F.when(F.col("r") > 0, F.col("cap").cast("double")).otherwise(F.lit(0.0)))
+    return cells.withColumn("r", scaled).drop("factor", "place")
+
+
 class Mixture:
     def __init__(self, docs: DataFrame, targets: DataFrame, total_tokens: int | None = None):
         """docs: doc_id, text, source, lang, topic. targets: source, weight, max_repeats."""
@@ -73,45 +95,37 @@ class Mixture:
         sizes = self.texts.groupBy("source").agg(F.sum("tokens").alias("size"), F.count(F.lit(1)).alias("n_texts"))
         full = self.goals.join(sizes, "source", "left").fillna({"size": 0, "n_texts": 0})
         alive = F.when(F.col("size") > 0, F.col("weight"))
-        everyone = Window.partitionBy(F.lit(1))  # one row a target
-        share = alive / F.sum(alive).over(everyone)
-        full = full.withColumn("share", share)
+        full = with_whole(full, F.sum(alive).alias("all_weight")).withColumn("share", alive / F.col("all_weight")).drop("all_weight")
         # the largest total at which every target can be met under its cap
-        total = F.min(F.col("size") * F.col("cap") / F.col("share")).over(everyone)
-        if total_tokens is not None:
-            total = F.least(total, F.lit(float(total_tokens)))
-        self.plan = self.scratch.save(full.withColumn("goal", F.coalesce(total * F.col("share"), F.lit(0.0))), "plan")
+        full = with_whole(full, F.min(F.col("size") * F.col("cap") / F.col("share")).alias("total"))
+        total = F.col("total") if total_tokens is None else F.least("total", F.lit(float(total_tokens)))
+        self.plan = self.scratch.save(full.withColumn("goal", F.coalesce(total * F.col("share"), F.lit(0.0))).drop("total"), "plan")
         self.cells = self._rake()
 
     def _rake(self) -> DataFrame:
         """source, lang, topic, r: how often a text of the cell is wanted."""
         cells = self.texts.groupBy("source", "lang", "topic").agg(F.sum("tokens").cast("double").alias("size"))
         cells = cells.join(self.plan.select("source", "cap", "goal"), "source").withColumn("r", F.lit(1.0))
-        everything = Window.partitionBy(F.lit(1))  # cells only, never texts
+        cells = with_whole(cells, F.sum("size").alias("everything"))
+        wanted = self.plan.agg(F.sum("goal").alias("all"))
+        cells = cells.crossJoin(F.broadcast(wanted))  # one row of one number
         for name in ("lang", "topic"):
-            own = F.sum("size").over(Window.partitionBy(name)) / F.sum("size").over(everything)
-            wanted = self.plan.agg(F.sum("goal").alias("all"))
-            cells = cells.withColumn(f"{name}_part", own)
-        cells = cells.crossJoin(F.broadcast(wanted)).withColumns({"lang_goal": F.col("lang_part") * F.col("all"), "topic_goal": F.col("topic_part") * F.col("all")})
-        cells = self.scratch.save(cells.drop("lang_part", "topic_part", "all"), "cells")
-
-        def step(df: DataFrame, name: str, goal: str) -> DataFrame:
-            now = F.sum(F.col("size") * F.col("r")).over(Window.partitionBy(name))
-            return df.withColumn("r", F.least(F.when(now > 0, F.col("r") * F.col(goal) / now).otherwise(F.lit(0.0)), F.col("cap").cast("double")))
-
-        for _ in range(ROUNDS):
-            for name, goal in (("topic", "topic_goal"), ("lang", "lang_goal"), ("source", "goal")):
-                cells = step(cells, name, goal)
-            cells = self.scratch.save(cells, "cells")
-        by = Window.partitionBy("source")
-        for _ in range(LAST_ROUNDS):
-            # cells at the cap stay there; the others of the source share what is left
-            full = F.col("r") >= F.col("cap") * (1 - 1e-9)
-            held = F.sum(F.when(full, F.col("size") * F.col("r")).otherwise(0.0)).over(by)
-            loose = F.sum(F.when(full, F.lit(0.0)).otherwise(F.col("size") * F.col("r"))).over(by)
-            scaled = F.col("r") * (F.col("goal") - held) / loose
-            cells = cells.withColumn("r", F.when(full | (loose <= 0), F.col("r")).otherwise(F.least(scaled, F.col("cap").cast("double"))))
-        return self.scratch.save(cells.select("source", "lang", "topic", "r", "cap"), "weights")
+            own = F.sum("size").over(Window.partitionBy(name))
+            cells = cells.withColumn(f"{name}_goal", own / F.col("everything") * F.col("all"))
+        cells = self.scratch.save(cells.drop("everything", "all"), "cells")
+        for _ in range(MAX_ROUNDS):
+            seen = Observation()
+            moved = cells.withColumn("before", F.col("r"))
+            for name in ("topic", "lang"):
+                now = F.sum(F.col("size") * F.col("r")).over(Window.partitionBy(name))
+                scaled = F.when(now > 0, F.col("r") * F.col(f"{name}_goal") / now).otherwise(F.lit(0.0))
+                moved = moved.withColumn("r", F.least(scaled, F.col("cap").cast("double")))
+            moved = under_cap(moved)
+            change = F.abs(F.col("r") - F.col("before")) / F.greatest("before", F.lit(1e-12))
+            cells = self.scratch.save(moved.observe(seen, F.max(change).alias("change")).drop("before"), "cells")
+            if (seen.get["change"] or 0.0) <= TOLERANCE:
+                break
+        return cells.select("source", "lang", "topic", "r", "cap")
 
     def selection(self) -> DataFrame:
         """doc_id, source, lang, topic, tokens, copies of the texts taken at least once."""
@@ -126,8 +140,8 @@ class Mixture:
         """One row a target: its texts and tokens, target share, mean repeats, tokens taken and share reached."""
         got = self.selection().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"), F.max("copies").alias("most"))
         rows = self.plan.join(got, "source", "left").fillna({"taken": 0, "most": 0})
-        all_taken = F.sum("taken").over(Window.partitionBy(F.lit(1)))
-        return rows.select(
+        all_taken = F.col("all_taken")
+        return with_whole(rows, F.sum("taken").alias("all_taken")).select(
             "source", "n_texts", F.col("size").alias("size_tokens"), F.col("weight").alias("target_share"), F.col("cap").alias("max_repeats"), F.col("most").alias("repeats"),
             F.round(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0), 4).alias("mean_repeats"), F.col("taken").alias("taken_tokens"),
             F.round(F.when(all_taken > 0, F.col("taken") / all_taken).otherwise(0.0), 6).alias("actual_share"),
@@ -139,9 +153,7 @@ class Mixture:
         for name in ("lang", "topic"):
             have = self.texts.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("have"))
             took = self.selection().groupBy(F.col(name).alias("value")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("took"))
-            whole = Window.partitionBy(F.lit(1))
-            part = have.join(took, "value", "left").fillna({"took": 0}).select(
-                F.lit(name).alias("marginal"), "value", F.round(F.col("have") / F.sum("have").over(whole), 6).alias("wanted_share"), F.round(F.col("took") / F.sum("took").over(whole), 6).alias("actual_share")
-            )
+            part = with_whole(have.join(took, "value", "left").fillna({"took": 0}), F.sum("have").alias("all_have"), F.sum("took").alias("all_took"))
+            part = part.select(F.lit(name).alias("marginal"), "value", F.round(F.col("have") / F.col("all_have"), 6).alias("wanted_share"), F.round(F.col("took") / F.col("all_took"), 6).alias("actual_share"))
             made = part if made is None else made.unionByName(part)
         return made

@@ -40,3 +40,12 @@ def test_empty(spark):
     m = Mixture(docs(spark, []), targets(spark, [("a", 1.0, 1)]))
     assert m.selection().count() == 0
     assert [r["actual_share"] for r in m.report().collect()] == [0.0]
+
+
+def test_weights_under_a_cap(spark):
+    from cairn.llm.mixing import under_cap
+
+    rows = [("a", "x", "t", 100.0, 3.0, 2, 250.0), ("a", "y", "t", 50.0, 1.0, 2, 250.0), ("a", "z", "t", 10.0, 0.0, 2, 250.0), ("b", "x", "t", 10.0, 1.0, 1, 50.0), ("c", "x", "t", 10.0, 0.0, 1, 5.0), ("d", "x", "t", 8.0, 0.5, 4, 6.0)]
+    df = spark.createDataFrame(rows, "source string, lang string, topic string, size double, r double, cap int, goal double")
+    got = {(r["source"], r["lang"]): r["r"] for r in under_cap(df).collect()}
+    assert got == {("a", "x"): 2.0, ("a", "y"): 1.0, ("a", "z"): 0.0, ("b", "x"): 1.0, ("c", "x"): 0.0, ("d", "x"): 0.75}

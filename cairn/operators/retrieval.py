@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,66 @@ def within_budget(rows: DataFrame, group: str, order: str, cost: str, budget: in
     w = Window.partitionBy(group).orderBy(order)
     spent = rows.withColumn("spent", F.sum(F.col(cost)).over(w)).withColumn("place", F.row_number().over(w))
     return spent.where((F.col("spent") <= budget) | (F.col("place") == 1)).drop("place")
+
+
+def greedy_pack(rows: DataFrame, group: str, order: str, cost: str, budget: int, most: int = 8) -> DataFrame:
+    """group, kept (places), spent: of each group's first ``most`` sections those that fit, in order; what doesn't is skipped."""
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("place") <= most)
+    listed = first.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("place", F.col(cost).cast("bigint").alias("cost")))).alias("sections"))
+    start = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<int>").alias("kept"))
+    add = lambda acc, s: F.when(
+        acc["spent"] + s["cost"] <= budget, F.struct((acc["spent"] + s["cost"]).alias("spent"), F.concat(acc["kept"], F.array(s["place"])).alias("kept"))
+    ).otherwise(acc)
+    packed = listed.select(group, F.aggregate("sections", start, add).alias("p"))
+    return packed.select(group, F.array_join("p.kept", ",").alias("kept"), F.col("p.spent").alias("spent"))
+
+
+def snippet(lines: Column, first: Column, n: int) -> Column:
+    """Some lines of a text (an array of lines) behind their right-aligned numbers."""
+    cut = F.slice(lines, F.greatest(first, F.lit(1)), F.lit(n))
+    return F.array_join(F.transform(cut, lambda x, i: F.concat(F.lpad((F.greatest(first, F.lit(1)) + i).cast("string"), 6, " "), F.lit("  "), x)), "\n")
+
+
+BLOCKS, QUERY_ROWS = 64, 2048
+
+
+def exact_nearest(rows: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
+    """query_id, rank, id, cosine: the k nearest other rows (id, vec) of every query (query_id, vec), all rows compared.
+
+    Rows lie in 64 or more blocks and queries in parts of about 2,048; each block meets each part once, in one task, and
+    gives at most k rows a query. Vectors that are null, zero, of another size or hold no finite number take no part.
+    """
+    def usable(df: DataFrame, key: str) -> DataFrame:
+        bad = F.exists("vec", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+        norm = F.aggregate("vec", F.lit(0.0), lambda t, e: t + e.cast("double") * e)
+        good = df.where(F.col(key).isNotNull() & F.col("vec").isNotNull() & (F.size("vec") == dims)).where(~bad).where(norm > 0)
+        return good.groupBy(key).agg(F.min("vec").alias("vec"))
+
+    data, asked = usable(rows.select("id", "vec"), "id"), usable(queries.select("query_id", "vec"), "query_id")
+    parts = asked.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / QUERY_ROWS)).alias("n_parts"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("n_parts") - 1)
+    data = data.crossJoin(F.broadcast(parts))  # one row of one number
+    left = data.select(F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).alias("block"), F.explode(every).alias("part"), "id", "vec")
+    asked = asked.crossJoin(F.broadcast(parts)).select(F.pmod(F.xxhash64("query_id"), F.col("n_parts")).alias("qpart"), "query_id", F.col("vec").alias("q"))
+    right = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BLOCKS - 1).cast("bigint"))).alias("qblock"), "qpart", "query_id", "q")
+
+    def nearest(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(data) or not len(asks):
+            return pd.DataFrame({"query_id": [], "id": [], "cosine": []}).astype({"query_id": "int64", "id": "int64", "cosine": "float64"})
+        unit = lambda v: (m := np.stack(v.to_numpy()).astype(np.float64)) / np.linalg.norm(m, axis=1, keepdims=True)
+        ids, x = data["id"].to_numpy(), unit(data["vec"])
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        out = []
+        for start in range(0, len(asks), 256):
+            part = asks.iloc[start : start + 256]
+            cosine = unit(part["q"]) @ x.T
+            cosine[part["query_id"].to_numpy()[:, None] == ids[None, :]] = -2
+            top = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "id": ids[top].ravel(), "cosine": np.take_along_axis(cosine, top, 1).ravel()}))
+        found = pd.concat(out)
+        return found[found["cosine"] > -2]
+
+    met = left.groupBy("block", "part").cogroup(right.groupBy("qblock", "qpart")).applyInPandas(nearest, "query_id long, id long, cosine double")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.round("cosine", 6).alias("cosine"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import chunks, graph, lookups, resolution
-from cairn.operators.relational import Index
+from cairn.operators import chunks, graph, lookups, resolution, retrieval
+from cairn.operators.relational import TYPES, Index
+from cairn.session import Scratch
 from cairn.plans import code_sql
 from cairn.plans.code_queries import _name_queries, _on_index
 from cairn.plans.code_sql import CHG, CUR, EDG, ENCLOSING, IMP, OCC, SYM, _in, _with
@@ -48,6 +49,69 @@ def substring_search(ix: Index) -> DataFrame:
     return lookups.top(found, ["phrase"], [F.length("name"), "name"], 20).select(F.col("phrase").alias("query_id"), "rank", "name")
 
 
+def ego_graph(ix: Index) -> DataFrame:
+    """The edges among all symbols within two steps, either way, of a symbol of a changed file."""
+    edges = ix.edges.where("src_symbol_id is not null and dst_symbol_id is not null")
+    there = edges.select(F.col("src_symbol_id").alias("at"), F.col("dst_symbol_id").alias("to"))
+    back = edges.select(F.col("dst_symbol_id").alias("at"), F.col("src_symbol_id").alias("to"))
+    near = graph.walk(there.unionByName(back).distinct().withColumn("weight", F.lit(1.0)), changed_symbols(ix).withColumnRenamed("symbol_id", "node"), 2, Scratch(ix.spark, "ego"))
+    ends = near.select("node")
+    kept = edges.join(ends, F.col("src_symbol_id") == F.col("node"), "left_semi").join(ends, F.col("dst_symbol_id") == F.col("node"), "left_semi")
+    return kept.select("src_symbol_id", "dst_symbol_id", "kind")
+
+
+def packed_signatures(ix: Index) -> DataFrame:
+    """Per file the signatures of its first eight symbols that fit 60 estimated tokens; those too long are skipped."""
+    rows = ix.symbols.where("signature is not null").select("symbol_id", "file_id", retrieval.estimated_tokens(F.col("signature")).alias("cost"))
+    return retrieval.greedy_pack(rows, "file_id", "symbol_id", "cost", 60)
+
+
+def snippets(ix: Index) -> DataFrame:
+    """The first three lines of every symbol with their numbers."""
+    texts = ix.raw("sources", "path", "content").where("content is not null").dropDuplicates(["path"])
+    lines = ix.files.select("file_id", "path").join(texts, "path").select("file_id", F.split(F.regexp_replace("content", "\r\n", "\n"), "\n").alias("lines"))
+    rows = ix.symbols.where("start_line is not null").select("symbol_id", "file_id", "start_line").join(lines, "file_id")
+    return rows.select("symbol_id", retrieval.snippet(F.col("lines"), F.col("start_line"), 3).alias("snippet"))
+
+
+def vector_stats(ix: Index) -> DataFrame:
+    rows = ix.raw("chunk_vectors").groupBy("chunk_id").agg(F.max(F.size("embedding")).alias("n"))
+    return rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("n") >= 0).alias("n_embedded"), F.count_if(F.col("n") == 64).alias("n_sized"))
+
+
+def largest(ix: Index) -> DataFrame:
+    """The ten symbols most edges lead to and the ten files with most symbols."""
+    into = ix.edges.where("dst_symbol_id is not null").groupBy(F.col("dst_symbol_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("symbol"))
+    held = ix.symbols.where("file_id is not null").groupBy(F.col("file_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("file"))
+    return lookups.top(into.unionByName(held), ["what"], [F.desc("n"), "id"], 10).select("what", "rank", "id", "n")
+
+
+def name_lookup(ix: Index) -> DataFrame:
+    """Every name and qualified name with its first ten symbols; a type stands for itself if the rest are its constructors or impls.
+
+    Order: exported first, then path, line and id.
+    """
+    rows = ix.symbol_rows("symbol_id", "name", "qualified_name", "kind", "parent_symbol_id", "is_exported", "start_line")
+    each = rows.select("*", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("look")).where("look is not null")
+    order = [F.desc_nulls_last("is_exported"), "path", "start_line", "symbol_id"]
+    first = lookups.top(each, ["look"], order, 10)
+    kind = F.col("kind").isin([t for t in TYPES if t != "impl"])
+    head = first.where(kind).groupBy("look").agg(F.min_by(F.struct("symbol_id", "path"), "rank").alias("t"))
+    both = first.join(head, "look", "left")
+    own = F.col("symbol_id") == F.col("t.symbol_id")
+    part = ((F.col("kind") == "constructor") & (F.col("parent_symbol_id") == F.col("t.symbol_id"))) | ((F.col("kind") == "impl") & (F.col("path") == F.col("t.path")))
+    whole = both.groupBy(F.col("look").alias("l")).agg(F.min(F.coalesce(own | part, F.lit(False)).cast("int")).alias("one"))
+    kept = both.join(whole, F.col("look") == F.col("l")).where((F.col("one") == 0) | own)
+    return kept.select("look", F.when(F.col("one") == 1, F.lit(1)).otherwise(F.col("rank")).alias("rank"), "symbol_id")
+
+
+def exact_knn(ix: Index) -> DataFrame:
+    """The ten nearest vectors of every twentieth chunk, all chunks compared."""
+    rows = ix.raw("chunk_vectors", "chunk_id", "embedding").select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
+    near = retrieval.exact_nearest(rows, rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 10, 64)
+    return near.withColumnRenamed("id", "chunk_id")
+
+
 QUERIES = {
     "reference_rows": _on_index(lookups.reference_rows),
     "neighbours": _on_index(lookups.neighbours),
@@ -64,6 +128,13 @@ QUERIES = {
     "chunk_builder": _on_index(chunk_digests),
     "near_copies": _on_index(chunks.near_copy_links),
     "substring_search": _on_index(substring_search),
+    "ego_graph": _on_index(ego_graph),
+    "greedy_pack": _on_index(packed_signatures),
+    "snippets": _on_index(snippets),
+    "vector_stats": _on_index(vector_stats),
+    "largest": _on_index(largest),
+    "name_lookup": _on_index(name_lookup),
+    "exact_knn": _on_index(exact_knn),
 }
 
 
@@ -155,5 +226,35 @@ SELECT s.id AS symbol_id, c.class_id, c.n AS n_copies, (coalesce(m, 0) + c.n - 1
     + """, n AS (SELECT DISTINCT name FROM sym WHERE name IS NOT NULL), p AS (SELECT DISTINCT query_id FROM terms WHERE query_id <> '')
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY length(name), name)::INTEGER AS rank, name FROM p JOIN n ON contains(lower(name), lower(query_id)) QUALIFY rank <= 20""",
 }
+ORACLES |= {
+    "ego_graph": _with(SYM, EDG, CHG, recursive=True)[:-1] + """,
+e AS (SELECT src_symbol_id AS a, dst_symbol_id AS t FROM edg WHERE src_symbol_id <> dst_symbol_id UNION SELECT dst_symbol_id, src_symbol_id FROM edg WHERE src_symbol_id <> dst_symbol_id),
+hop(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE file_id IN (SELECT file_id FROM chg) UNION SELECT e.t, hop.depth + 1 FROM hop JOIN e ON e.a = hop.node WHERE hop.depth < 2)
+SELECT src_symbol_id, dst_symbol_id, kind FROM edg WHERE src_symbol_id IN (SELECT node FROM hop) AND dst_symbol_id IN (SELECT node FROM hop)""",
+    "greedy_pack": _with(SYM, recursive=True)[:-1] + r""",
+c AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY symbol_id) AS place, ceil(length(regexp_replace(signature, '\s+', ' ', 'g')) / 3.7)::BIGINT AS cost FROM sym WHERE signature IS NOT NULL QUALIFY place <= 8),
+p(file_id, place, spent, kept) AS (SELECT DISTINCT file_id, 0::BIGINT, 0::BIGINT, []::VARCHAR[] FROM c
+  UNION ALL SELECT c.file_id, c.place, CASE WHEN spent + cost <= 60 THEN spent + cost ELSE spent END, CASE WHEN spent + cost <= 60 THEN list_append(kept, c.place::VARCHAR) ELSE kept END FROM p JOIN c ON c.file_id IS NOT DISTINCT FROM p.file_id AND c.place = p.place + 1)
+SELECT file_id, array_to_string(arg_max(kept, place), ',') AS kept, arg_max(spent, place) AS spent FROM p GROUP BY 1""",
+    "snippets": _with(CUR, SYM, _LINES)[:-1] + """
+SELECT symbol_id, array_to_string(list_transform(list_slice(lines, greatest(start_line, 1), greatest(start_line, 1) + 2), lambda x, i: lpad((greatest(start_line, 1) + i - 1)::VARCHAR, 6, ' ') || '  ' || x), chr(10)) AS snippet
+FROM sym JOIN lines USING (file_id) WHERE start_line IS NOT NULL""",
+    "vector_stats": "SELECT count(*) AS n_chunks, count(n) AS n_embedded, count(*) FILTER (WHERE n = 64) AS n_sized FROM (SELECT chunk_id, max(len(embedding)) AS n FROM chunk_vectors GROUP BY 1)",
+    "largest": _with(SYM, EDG)[:-1] + """
+SELECT what, row_number() OVER (PARTITION BY what ORDER BY n DESC, id)::INTEGER AS rank, id, n FROM (SELECT 'symbol' AS what, dst_symbol_id AS id, count(*) AS n FROM edg WHERE dst_symbol_id IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'file', file_id, count(*) FROM sym WHERE file_id IS NOT NULL GROUP BY 2) QUALIFY rank <= 10""",
+    "name_lookup": _with(CUR, SYM)[:-1] + f""",
+r AS (SELECT s.*, path FROM sym s JOIN cur USING (file_id)),
+l AS (SELECT name AS look, * FROM r WHERE name IS NOT NULL UNION ALL SELECT qualified_name, * FROM r WHERE qualified_name IS NOT NULL AND qualified_name IS DISTINCT FROM name),
+f AS (SELECT *, row_number() OVER (PARTITION BY look ORDER BY is_exported DESC NULLS LAST, path, start_line, symbol_id)::INTEGER AS rank FROM l QUALIFY rank <= 10),
+t AS (SELECT look, arg_min(symbol_id, rank) AS tid, arg_min(path, rank) AS tpath FROM f WHERE kind IN {_in([x for x in TYPES if x != 'impl'])} GROUP BY 1),
+b AS (SELECT f.*, tid, coalesce(symbol_id = tid OR (kind = 'constructor' AND parent_symbol_id = tid) OR (kind = 'impl' AND path = tpath), false) AS own FROM f LEFT JOIN t USING (look)),
+w AS (SELECT look, bool_and(own) AS one FROM b GROUP BY 1)
+SELECT look, CASE WHEN one THEN 1 ELSE rank END AS rank, symbol_id FROM b JOIN w USING (look) WHERE NOT one OR symbol_id = tid""",
+    "exact_knn": """WITH v AS (SELECT chunk_id AS id, list_transform(any_value(embedding), lambda e: e::DOUBLE) AS v FROM chunk_vectors
+  WHERE chunk_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND list_sum(list_transform(embedding, lambda e: e::DOUBLE * e)) > 0 GROUP BY 1),
+c AS (SELECT a.id AS query_id, b.id AS chunk_id, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AS x FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, chunk_id)::INTEGER AS rank, chunk_id, round(x, 6) AS cosine FROM c QUALIFY rank <= 10""",
+}
 # a comma goes between the frames' common parts and those of a query
 ORACLES = {name: sql.replace("\n, ", ",\n", 1) for name, sql in ORACLES.items()}

@@ -176,8 +176,9 @@ def resolve_occurrences(ix: Index) -> DataFrame:
 def resolve_bases(ix: Index) -> DataFrame:
     """symbol_id, base_name, base_kind, base_symbol_id, confidence of every base type that can be resolved.
 
-    Each base is looked up as written, then by its last segment: same file 0.90, imported files 0.85, anywhere 0.70 if
-    unique, 0.40 for two to four; never the symbol itself.
+    Each base is looked up as written, then by its last segment: same file 0.90, the file that an import binds the name to
+    0.90, imported files 0.85, anywhere 0.70 if unique, 0.40 for two to four, but not for names common in the file's
+    language; never the symbol itself.
     """
     symbols = ix.symbols.select("symbol_id", "file_id", "name", "kind", "is_exported", "bases")
     wants = symbols.where("bases is not null").select("symbol_id", "file_id", F.explode("bases").alias("b")).select("symbol_id", "file_id", "b.name", "b.kind").where("name is not null").distinct()
@@ -188,10 +189,15 @@ def resolve_bases(ix: Index) -> DataFrame:
     keys = ["symbol_id", "file_id", "base_name", "base_kind", "form"]
     local = forms.join(types.withColumnRenamed("tfile", "file_id"), ["file_id", "look"]).where("tid <> symbol_id").groupBy(*keys).agg(F.min("tid").alias("tid")).select(*keys, "tid", F.lit(0.9).alias("confidence"), F.lit(1).alias("tier"))
     shown = types.where("is_exported")
-    near = forms.join(targets, "file_id").join(shown, ["tfile", "look"]).where("tid <> symbol_id").groupBy(*keys).agg(F.min("tid").alias("tid")).select(*keys, "tid", F.lit(0.85).alias("confidence"), F.lit(2).alias("tier"))
+    near = forms.join(targets, "file_id").join(shown, ["tfile", "look"]).where("tid <> symbol_id").groupBy(*keys).agg(F.min("tid").alias("tid")).select(*keys, "tid", F.lit(0.85).alias("confidence"), F.lit(3).alias("tier"))
+    named = ix.imports.where("resolved_file_id is not null").select("import_id", "file_id", "resolved_file_id", F.explode("names").alias("look")).where("look <> '*'")
+    named = named.groupBy("file_id", "look").agg(F.max_by("resolved_file_id", "import_id").alias("tfile"))
+    bound = forms.join(named, ["file_id", "look"]).join(shown, ["tfile", "look"]).where("tid <> symbol_id").groupBy(*keys).agg(F.min("tid").alias("tid")).select(*keys, "tid", F.lit(0.9).alias("confidence"), F.lit(2).alias("tier"))
     per_name = shown.groupBy("look").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("tid")).where("n <= 4")
-    far = forms.join(per_name, "look").where("tid <> symbol_id").select(*keys, "tid", F.when(F.col("n") == 1, 0.7).otherwise(0.4).alias("confidence"), F.lit(3).alias("tier"))
-    every = local.unionByName(near).unionByName(far)
+    common = F.broadcast(ubiquitous(ix))  # a fixed list of a few hundred words
+    rare = forms.join(ix.files.select("file_id", "lang"), "file_id").join(common, (F.col("lang") == F.col("ulang")) & (F.col("look") == F.col("uname")), "left_anti")
+    far = rare.join(per_name, "look").where("tid <> symbol_id").select(*keys, "tid", F.when(F.col("n") == 1, 0.7).otherwise(0.4).alias("confidence"), F.lit(4).alias("tier"))
+    every = local.unionByName(bound).unionByName(near).unionByName(far)
     best = every.groupBy("symbol_id", "base_name", "base_kind").agg(F.min_by(F.struct("tid", "confidence"), F.struct("form", "tier")).alias("r"))
     return best.select("symbol_id", "base_name", "base_kind", F.col("r.tid").alias("base_symbol_id"), F.col("r.confidence").alias("confidence"))
 

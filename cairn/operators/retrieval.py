@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.session import Scratch
+
 WEIGHTS = {"name": 10.0, "qualified_name": 5.0, "doc_comment": 1.0}
 K1, B = 1.2, 0.75
 FUSION = 60
@@ -40,7 +42,8 @@ def bm25(symbols: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sizes = lengths(symbols)
     corpus = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("d").alias("mean_d"))
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("n_terms"))
-    posts = postings(symbols).join(terms.select("term").distinct(), "term", "left_semi")
+    # read three times: for frequencies, for the rarest terms and for the others
+    posts = Scratch(symbols.sparkSession, "postings").save(postings(symbols).join(terms.select("term").distinct(), "term", "left_semi"), "postings")
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     asked = terms.join(df, "term")
     rarest = asked.groupBy("query_id", "n_terms").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("known")).where("known = n_terms")

@@ -62,22 +62,31 @@ def nearest_package(ix: Index) -> DataFrame:
     return above.join(marks, "root").groupBy("file_id").agg(F.max_by("root", F.length("root")).alias("root"))
 
 
+# What paths of tests look like, in any language and by language (base name or path).
+TEST_FOLDERS = r"(^|/)(test|tests|__tests__|__mocks__|spec|specs|e2e|cypress)/"
+TEST_NAMES = {
+    "python": r"^(test_.*|.*_test|conftest)\.py$",
+    "typescript": r"\.(test|spec|cy|e2e)\.[a-z]+$",
+    "javascript": r"\.(test|spec|cy|e2e)\.[a-z]+$",
+    "go": r"_test\.go$",
+    "java": r"(Test|Tests|IT|TestCase)\.java$",
+    "c_sharp": r"Tests?\.cs$",
+    "ruby": r"_(spec|test)\.rb$",
+    "rust": r"(_test|^tests)\.rs$",
+    "cpp": r"(^test_.*|.*(_test|Test|_unittest))\.(cpp|cc|cxx)$",
+    "gdscript": r"^test_.*\.gd$",
+}
+TEST_PLACES = {"java": r"(^|/)src/(test|androidTest)/", "c_sharp": r"(^|/)[^/]*\.Tests?/"}
+
+
 def test_path_check(ix: Index) -> DataFrame:
     """Files whose path looks like a test of its language, beside the flag of the index."""
-    p, b = F.col("path"), base_name(F.col("path"))
-    by_lang = (
-        F.when(F.col("lang") == "python", b.rlike(r"^(test_.*|.*_test|conftest)\.py$"))
-        .when(F.col("lang").isin("typescript", "javascript"), b.rlike(r"\.(test|spec)\.[a-z]+$") | p.rlike(r"(^|/)__tests__/"))
-        .when(F.col("lang") == "go", b.rlike(r"_test\.go$"))
-        .when(F.col("lang") == "java", b.rlike(r"(Test|Tests|IT)\.java$") | p.rlike(r"(^|/)src/test/"))
-        .when(F.col("lang") == "c_sharp", b.rlike(r"Tests?\.cs$"))
-        .when(F.col("lang") == "ruby", b.rlike(r"_(spec|test)\.rb$"))
-        .when(F.col("lang") == "rust", b.rlike(r"_test\.rs$"))
-        .when(F.col("lang") == "cpp", b.rlike(r"(_test|Test|_unittest)\.(cpp|cc)$"))
-        .otherwise(F.lit(False))
-    )
-    looks = p.rlike(r"(^|/)(test|tests)/") | by_lang
-    return ix.files.groupBy("lang", looks.alias("looks_like_test"), "is_test").agg(F.count(F.lit(1)).alias("n_files"))
+    looks = F.col("path").rlike(TEST_FOLDERS)
+    for lang, names in TEST_NAMES.items():
+        looks = looks | ((F.col("lang") == lang) & base_name(F.col("path")).rlike(names))
+    for lang, places in TEST_PLACES.items():
+        looks = looks | ((F.col("lang") == lang) & F.col("path").rlike(places))
+    return ix.files.groupBy("lang", F.coalesce(looks, F.lit(False)).alias("looks_like_test"), "is_test").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 # Names that a language's runtime or an engine calls by itself, as patterns by language.

@@ -64,14 +64,18 @@ _head, _cand, _rest = NAMES.split("@")
 NAMES = _head + _rest.split("),\nper AS")[0] + "),\n" + _cand + "per AS" + _rest.split("),\nper AS")[1]
 
 _TYPES = _in(TYPES)
-BASES = f"""wants AS (SELECT DISTINCT symbol_id, file_id, b.name AS base_name, b.kind AS base_kind FROM (SELECT symbol_id, file_id, unnest(bases) AS b FROM sym WHERE bases IS NOT NULL) WHERE b.name IS NOT NULL),
+BASES = f"""common(lang, name) AS (VALUES {_COMMON}),
+bound AS (SELECT file_id, name, arg_max(resolved_file_id, import_id) AS target FROM
+  (SELECT import_id, file_id, resolved_file_id, unnest(names) AS name FROM imp WHERE resolved_file_id IS NOT NULL) WHERE name <> '*' GROUP BY 1, 2),
+wants AS (SELECT DISTINCT symbol_id, file_id, b.name AS base_name, b.kind AS base_kind FROM (SELECT symbol_id, file_id, unnest(bases) AS b FROM sym WHERE bases IS NOT NULL) WHERE b.name IS NOT NULL),
 forms AS (SELECT *, 0 AS form, base_name AS look FROM wants UNION ALL
   SELECT *, 1, regexp_extract(base_name, '([^.:]*)$', 1) FROM wants WHERE regexp_extract(base_name, '([^.:]*)$', 1) <> base_name),
 types AS (SELECT symbol_id AS tid, file_id AS tfile, name AS look, is_exported FROM sym WHERE kind IN {_TYPES}),
 found AS (
   SELECT w.*, 1 AS tier, tid, 0.9 AS confidence FROM forms w JOIN types t ON t.look = w.look AND t.tfile = w.file_id WHERE tid <> symbol_id
-  UNION ALL SELECT w.*, 2, tid, 0.85 FROM forms w JOIN (SELECT DISTINCT file_id, resolved_file_id AS t FROM imp WHERE resolved_file_id IS NOT NULL) i USING (file_id) JOIN types t ON t.look = w.look AND t.tfile = i.t AND t.is_exported WHERE tid <> symbol_id
-  UNION ALL SELECT w.*, 3, g.tid, CASE WHEN g.n = 1 THEN 0.7 ELSE 0.4 END FROM forms w JOIN (SELECT look, count(*) AS n, min(tid) AS tid FROM types WHERE is_exported GROUP BY 1 HAVING count(*) <= 4) g USING (look) WHERE g.tid <> symbol_id),
+  UNION ALL SELECT w.*, 2, tid, 0.9 FROM forms w JOIN bound b ON b.file_id = w.file_id AND b.name = w.look JOIN types t ON t.look = w.look AND t.tfile = b.target AND t.is_exported WHERE tid <> symbol_id
+  UNION ALL SELECT w.*, 3, tid, 0.85 FROM forms w JOIN (SELECT DISTINCT file_id, resolved_file_id AS t FROM imp WHERE resolved_file_id IS NOT NULL) i USING (file_id) JOIN types t ON t.look = w.look AND t.tfile = i.t AND t.is_exported WHERE tid <> symbol_id
+  UNION ALL SELECT w.*, 4, g.tid, CASE WHEN g.n = 1 THEN 0.7 ELSE 0.4 END FROM (SELECT w.* FROM forms w JOIN cur f USING (file_id) WHERE NOT EXISTS (SELECT 1 FROM common c WHERE c.lang = f.lang AND c.name = w.look)) w JOIN (SELECT look, count(*) AS n, min(tid) AS tid FROM types WHERE is_exported GROUP BY 1 HAVING count(*) <= 4) g USING (look) WHERE g.tid <> symbol_id),
 based AS (SELECT symbol_id, base_name, base_kind, tid AS base_symbol_id, confidence::DOUBLE AS confidence FROM
   (SELECT *, row_number() OVER (PARTITION BY symbol_id, base_name, base_kind ORDER BY form, tier, tid) AS rn FROM found) WHERE rn = 1)"""
 
@@ -149,9 +153,9 @@ b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n_events, count(DISTINCT event_type) AS n_types FROM b GROUP BY user_id, batch""",
     "resolve_names": _with(CUR, SYM, IMP, NAMES) + "SELECT * FROM named",
     "resolve_occurrences": _with(CUR, SYM, IMP, OCC, NAMES) + "SELECT occ_id, n.symbol_id, n.confidence FROM occ o JOIN named n ON n.file_id = o.file_id AND n.name = o.name AND n.is_call = (o.role = 'call')",
-    "resolve_bases": _with(SYM, IMP, BASES) + "SELECT * FROM based",
+    "resolve_bases": _with(CUR, SYM, IMP, BASES) + "SELECT * FROM based",
     "call_edges": _with(OCC, SYM, ENCLOSING) + "SELECT enclosing_symbol_id AS src_symbol_id, resolved_symbol_id AS dst_symbol_id, 'calls' AS kind, max(confidence) AS confidence, 'index' AS provenance FROM enc WHERE enclosing_symbol_id <> resolved_symbol_id GROUP BY 1, 2",
-    "type_edges": _with(SYM, IMP, BASES) + "SELECT symbol_id AS src_symbol_id, base_symbol_id AS dst_symbol_id, base_kind AS kind, max(confidence) AS confidence, 'index' AS provenance FROM based GROUP BY 1, 2, 3",
+    "type_edges": _with(CUR, SYM, IMP, BASES) + "SELECT symbol_id AS src_symbol_id, base_symbol_id AS dst_symbol_id, base_kind AS kind, max(confidence) AS confidence, 'index' AS provenance FROM based GROUP BY 1, 2, 3",
     "promote_edges": _with(SYM, OCC, EDG)
     + """, low AS (SELECT * FROM edg WHERE kind = 'calls' AND provenance = 'index' AND confidence <= 0.6),
 sites AS (SELECT e.src_symbol_id, e.dst_symbol_id, s.file_id, min({l: o.start_line, c: o.start_col}) AS p FROM low e JOIN sym s ON s.symbol_id = e.src_symbol_id
@@ -200,10 +204,11 @@ CASE WHEN len(string_split(path, '/')) <= 2 THEN {BASE.format(p='path')} ELSE ar
 above AS (SELECT file_id, array_to_string(parts[1:i], '/') AS root FROM (SELECT file_id, string_split(path, '/') AS parts, unnest(range(0, len(string_split(path, '/')))) AS i FROM cur))
 SELECT file_id, arg_max(root, length(root)) AS root FROM above JOIN marks USING (root) GROUP BY 1""",
     "test_path_classify": _with(CUR)
-    + rf"""SELECT lang, looks_like_test, is_test, count(*) AS n_files FROM (SELECT lang, is_test, regexp_matches(path, '(^|/)(test|tests)/') OR CASE lang
- WHEN 'python' THEN regexp_matches(b, '^(test_.*|.*_test|conftest)\.py$') WHEN 'typescript' THEN regexp_matches(b, '\.(test|spec)\.[a-z]+$') OR regexp_matches(path, '(^|/)__tests__/')
- WHEN 'javascript' THEN regexp_matches(b, '\.(test|spec)\.[a-z]+$') OR regexp_matches(path, '(^|/)__tests__/') WHEN 'go' THEN regexp_matches(b, '_test\.go$') WHEN 'java' THEN regexp_matches(b, '(Test|Tests|IT)\.java$') OR regexp_matches(path, '(^|/)src/test/')
- WHEN 'c_sharp' THEN regexp_matches(b, 'Tests?\.cs$') WHEN 'ruby' THEN regexp_matches(b, '_(spec|test)\.rb$') WHEN 'rust' THEN regexp_matches(b, '_test\.rs$') WHEN 'cpp' THEN regexp_matches(b, '(_test|Test|_unittest)\.(cpp|cc)$') ELSE false END AS looks_like_test
+    + rf"""SELECT lang, looks_like_test, is_test, count(*) AS n_files FROM (SELECT lang, is_test, coalesce(regexp_matches(path, '(^|/)(test|tests|__tests__|__mocks__|spec|specs|e2e|cypress)/') OR CASE lang
+ WHEN 'python' THEN regexp_matches(b, '^(test_.*|.*_test|conftest)\.py$') WHEN 'typescript' THEN regexp_matches(b, '\.(test|spec|cy|e2e)\.[a-z]+$') WHEN 'javascript' THEN regexp_matches(b, '\.(test|spec|cy|e2e)\.[a-z]+$')
+ WHEN 'go' THEN regexp_matches(b, '_test\.go$') WHEN 'java' THEN regexp_matches(b, '(Test|Tests|IT|TestCase)\.java$') OR regexp_matches(path, '(^|/)src/(test|androidTest)/')
+ WHEN 'c_sharp' THEN regexp_matches(b, 'Tests?\.cs$') OR regexp_matches(path, '(^|/)[^/]*\.Tests?/') WHEN 'ruby' THEN regexp_matches(b, '_(spec|test)\.rb$') WHEN 'rust' THEN regexp_matches(b, '(_test|^tests)\.rs$')
+ WHEN 'cpp' THEN regexp_matches(b, '(^test_.*|.*(_test|Test|_unittest))\.(cpp|cc|cxx)$') WHEN 'gdscript' THEN regexp_matches(b, '^test_.*\.gd$') ELSE false END, false) AS looks_like_test
  FROM (SELECT *, {BASE.format(p='path')} AS b FROM cur)) GROUP BY 1, 2, 3""",
     "dead_code_report": _with(CUR, SYM, DEAD)
     + rf"""SELECT symbol_id, name, path, CASE WHEN is_test THEN 'test' WHEN name IN (SELECT name FROM occurrences WHERE resolved_symbol_id IS NULL AND name IS NOT NULL) THEN 'maybe used by name' WHEN is_exported THEN 'exported' ELSE 'dead' END AS bucket

@@ -66,6 +66,17 @@ def scratch_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_ROOTS: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that operators of this session wrote to the shared folder; results read from them are gone then."""
+    jvm = spark._jvm
+    while _ROOTS:
+        path = jvm.org.apache.hadoop.fs.Path(_ROOTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables written to the shared folder by one run of an operator.
 
@@ -77,6 +88,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._count = 0
+        _ROOTS.append(self.root)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._count += 1

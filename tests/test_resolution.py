@@ -49,7 +49,7 @@ def test_names_by_tier(ix):
 
 def test_bases(ix):
     got = {(r["symbol_id"], r["base_name"]): (r["base_symbol_id"], r["confidence"], r["base_kind"]) for r in resolution.resolve_bases(ix).collect()}
-    assert got == {(4, "Base"): (2, 0.85, "extends"), (4, "ns.Far"): (6, 0.7, "implements")}
+    assert got == {(4, "Base"): (2, 0.9, "extends"), (4, "ns.Far"): (6, 0.7, "implements")}
     assert {(r["src_symbol_id"], r["dst_symbol_id"], r["kind"]) for r in resolution.type_edges(ix).collect()} == {(4, 2, "extends"), (4, 6, "implements")}
 
 

@@ -89,14 +89,22 @@ STAND_IN_WORDS = set(
 
 
 def stands_in(phrase: str) -> bool:
-    """Whether a phrase, numbers aside, is nothing but stand-ins, said once or more."""
-    first = phrase.split(None, 1)[0] if phrase else ""
-    if not first.isdigit() and first.lower() not in STAND_IN_WORDS:
+    """Whether a phrase, numbers aside, is nothing but stand-ins, said once or more, or one phrase over and over."""
+    words = phrase.split()
+    if not words:
         return False
-    words = [w for w in phrase.split() if not w.isdigit()]
-    if not words or words[0].lower() not in STAND_IN_WORDS:
-        return False
-    return all(STAND_INS.match(" ".join(p)) for p in _pieces(words))
+    if words[0].lower() in STAND_IN_WORDS or words[0].isdigit():
+        words = [w for w in words if not w.isdigit()]
+        if words and words[0].lower() in STAND_IN_WORDS and all(STAND_INS.match(" ".join(p)) for p in _pieces(words)):
+            return True
+    # the first word of a phrase said again comes again
+    return words[1:].count(words[0]) > 0 and says_again([w for w in words if not w.isdigit()]) if words else False
+
+
+def says_again(words: list[str]) -> bool:
+    """Whether four or more words are one phrase said at least twice."""
+    n = len(words)
+    return n >= 4 and any(n % k == 0 and words == words[:k] * (n // k) for k in range(1, n // 2 + 1))
 
 
 def _pieces(words: list[str]) -> list[list[str]]:
@@ -261,7 +269,7 @@ def _record(text: str | None) -> tuple:
     # a phrase said three times or more is on trial as filler
     said: dict[str, int] = {}
     for u in solid:
-        key = PUNCTUATION.sub(" ", u.lower()).strip()
+        key = " ".join(w for w in PUNCTUATION.sub(" ", u.lower()).split() if not w.isdigit())
         said[key] = said.get(key, 0) + 1
     echo = [k for k, n in said.items() if n >= 3 and k and 3 * n * 10 >= 8 * 3 * len(solid)]
     return (

@@ -40,7 +40,7 @@ def test_empty_and_long(spark):
     assert {x["id"] for x in r.residue(long).collect()} == {2} or {x["id"]: x["why"] for x in r.residue(long).collect()}[2] == "open slot"
 
 
-@pytest.mark.parametrize("phrase, yes", [("sample text 72", True), ("content coming soon content coming soon", True), ("test the sample", False), ("asdf", True)])
+@pytest.mark.parametrize("phrase, yes", [("sample text 72", True), ("content coming soon content coming soon", True), ("test the sample", False), ("asdf", True), ("to be written to be written 17", True), ("noch zu schreiben noch zu schreiben", True), ("we saw that we saw the tree", False), ("12 34", False), ("", False), ("very very", False)])
 def test_stand_ins(phrase, yes):
     assert r.stands_in(phrase) is yes
 
@@ -59,3 +59,9 @@ def test_long_texts_take_part_and_copies_count(spark):
     real = ["The sweep keeps old rows and reports each of them. " + "It reads the index in path order. " * 10]
     df = spark.createDataFrame(list(enumerate(echo + pages + form + real)), "doc_id long, text string")
     assert {x["id"]: x["why"] for x in r.residue(df).collect()} == dict.fromkeys([0, 1], "filler") | dict.fromkeys([2, 3, 4], "error page") | dict.fromkeys([5, 6, 7], "unfilled form")
+
+
+def test_numbers_do_not_part_what_is_said_again(spark):
+    texts = ["noch offen\nnoch offen\nnoch offen\nnoch offen 64", "noch offen\n" * 8 + "noch offen 15", "noch offen 29", "Noch offen ist die Frage nach dem Index."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["id"]: x["why"] for x in r.residue(df).collect()} == dict.fromkeys([0, 1, 2], "filler")

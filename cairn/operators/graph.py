@@ -40,6 +40,33 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, scratch: Scratch) -> Da
     return reached
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """source_id, target_id, steps, path (ids with ``>`` between) of the pairs (source_id, target_id) that a path joins.
+
+    edges: at, to, weight. Each source is walked level by level, a node is kept at its first level only, and comes from the
+    node a step before over the heaviest edge, then from the lowest. Then the paths are read backwards, a step of all at once.
+    """
+    pairs = pairs.select("source_id", "target_id").where("source_id is not null and target_id is not null").distinct()
+    edges = scratch.save(edges.where("at is not null and to is not null and at <> to"), "edges")
+    level = pairs.select("source_id", F.col("source_id").alias("node"), F.lit(None).cast("bigint").alias("via"), F.lit(0).alias("steps")).distinct()
+    levels = [scratch.save(level, "level")]
+    for d in range(1, depth + 1):
+        seen = Observation()
+        step = levels[-1].select("source_id", F.col("node").alias("at")).join(edges, "at").groupBy("source_id", F.col("to").alias("node")).agg(F.max(F.struct("weight", (-F.col("at")).alias("neg"))).alias("best"))
+        step = step.join(scratch.together(levels).select("source_id", "node"), ["source_id", "node"], "left_anti")
+        step = step.select("source_id", "node", (-F.col("best.neg")).alias("via"), F.lit(d).alias("steps"))
+        levels.append(scratch.save(step.observe(seen, F.count(F.lit(1)).alias("n")), "level"))
+        if not seen.get["n"]:
+            break
+    reached = scratch.together(levels)
+    found = pairs.join(reached, (pairs["source_id"] == reached["source_id"]) & (F.col("target_id") == F.col("node"))).select(pairs["source_id"], "target_id", "steps", "via", F.col("target_id").cast("string").alias("path"))
+    back = reached.select(F.col("source_id").alias("bs"), F.col("node").alias("bn"), F.col("via").alias("bv"))
+    for _ in range(len(levels) - 1):
+        open_ = found.join(back, (F.col("source_id") == F.col("bs")) & (F.col("via") == F.col("bn")), "left")
+        found = open_.select("source_id", "target_id", "steps", F.col("bv").alias("via"), F.when(F.col("via").isNull(), F.col("path")).otherwise(F.concat(F.col("via").cast("string"), F.lit(">"), "path")).alias("path"))
+    return found.select("source_id", "target_id", "steps", "path")
+
+
 def changed_files(ix: Index) -> DataFrame:
     """Files that were indexed more than once with different times: the ones that changed."""
     rows = ix.raw("files", "file_id", "indexed_at").where("file_id is not null")

@@ -115,6 +115,59 @@ ranked AS (SELECT query_id, symbol_id, score, row_number() OVER (PARTITION BY qu
 
 _SCRIPT_SUFFIXES = "['.ts', '.tsx', '.d.ts', '.js', '.jsx', '.mjs', '.cjs', '.vue', '.svelte', '/index.ts', '/index.tsx', '/index.js', '/index.jsx']"
 
+
+def _norm(x: str) -> str:
+    return (
+        f"array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split({x}, '/'), lambda q: [q])), "
+        "lambda a, q: CASE WHEN q[1] IN ('', '.') THEN a WHEN q[1] = '..' THEN a[1:len(a) - 1] ELSE list_concat(a, q) END), '/')"
+    )
+
+
+def _join(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' THEN {b} ELSE {a} || '/' || {b} END"
+
+
+_ROOTED = "CASE WHEN contains(spec, '/') AND NOT starts_with(spec, '.') THEN [root || '/' || spec || '{end}'] ELSE []::VARCHAR[] END"
+_PREFIXES = "flatten(list_transform(range(len(segs), 0, -1), lambda k: [{b} || '/' || array_to_string(segs[1:k], '/') || '.rs', {b} || '/' || array_to_string(segs[1:k], '/') || '/mod.rs']))"
+_RELATIVE = _norm("CASE WHEN dots > 1 THEN (" + _join("here", "rtrim(repeat('../', dots - 1), '/')") + ") ELSE (" + _join("here", "'.'") + ") END || '/' || rest")
+IMPORTS = f"""src AS (SELECT i.import_id, i.specifier AS spec, f.lang, f.path, {DIR.format(p='f.path')} AS here, string_split(f.path, '/')[1] AS root,
+    length(regexp_extract(i.specifier, '^(\\.*)', 1)) AS dots, replace(regexp_replace(i.specifier, '^\\.+', ''), '.', '/') AS rest,
+    string_split(regexp_replace(i.specifier, '^(crate|self|super)::', ''), '::') AS segs
+  FROM imp i JOIN cur f USING (file_id) WHERE i.specifier IS NOT NULL),
+near_ AS (SELECT *, {_norm("(" + _join("here", "spec") + ")")} AS near FROM src),
+near2 AS (SELECT *, regexp_replace(near, '\\.(js|mjs|cjs|jsx)$', '') AS stem, regexp_extract(near, '\\.(js|mjs|cjs|jsx)$', 1) AS ending,
+    CASE WHEN dots > 0 THEN [{_RELATIVE}] ELSE [{_join("root", "rest")}, {_join("here", "rest")}] END AS pybases,
+    {DIR.format(p='here')} AS above FROM near_),
+lists AS (SELECT import_id, CASE
+    WHEN lang IN ('typescript', 'javascript') THEN CASE WHEN starts_with(spec, '.') THEN list_concat(
+      [CASE ending WHEN 'mjs' THEN stem || '.mts' WHEN 'cjs' THEN stem || '.cts' WHEN '' THEN NULL ELSE stem || '.ts' END, CASE WHEN ending IN ('js', 'jsx') THEN stem || '.tsx' END, near],
+      list_transform({_SCRIPT_SUFFIXES}, lambda q: near || q)) END
+    WHEN lang = 'python' THEN flatten(list_transform(pybases, lambda b: [b || '.py', b || '/__init__.py', b || '.pyi']))
+    WHEN lang = 'ruby' THEN CASE WHEN starts_with(spec, '.') THEN [near, near || '.rb'] ELSE [root || '/lib/' || spec || '.rb', root || '/' || spec || '.rb'] END
+    WHEN lang = 'gdscript' THEN list_concat(CASE WHEN starts_with(spec, 'res://') THEN [root || '/' || substr(spec, 7)] WHEN starts_with(spec, '.') THEN [near] ELSE []::VARCHAR[] END, {_ROOTED.format(end='.gd')})
+    WHEN lang = 'go' THEN {_ROOTED.format(end='.go')}
+    WHEN lang = 'c_sharp' THEN {_ROOTED.format(end='.cs')}
+    WHEN lang = 'cpp' THEN CASE WHEN NOT starts_with(spec, '<') THEN [near, {_join("root", "spec")}] END
+    WHEN lang = 'rust' THEN CASE WHEN starts_with(spec, './') THEN [near || '.rs', near || '/mod.rs', root || '/src/' || substr(spec, 3) || '.rs', root || '/src/' || substr(spec, 3) || '/mod.rs']
+      ELSE list_concat(CASE WHEN starts_with(spec, 'crate::') THEN list_concat({_PREFIXES.format(b="root || '/src'")}, {_PREFIXES.format(b='root')})
+        WHEN starts_with(spec, 'self::') THEN {_PREFIXES.format(b='here')} WHEN starts_with(spec, 'super::') THEN {_PREFIXES.format(b='above')} ELSE []::VARCHAR[] END, {_ROOTED.format(end='.rs')}) END
+  END AS l FROM near2),
+listed AS (SELECT import_id, unnest(l) AS c, generate_subscripts(l, 1) AS rank FROM lists),
+by_path AS (SELECT path AS c, min(file_id) AS target FROM cur GROUP BY 1),
+ruled AS (SELECT import_id, arg_min(target, rank) AS target_file_id FROM listed JOIN by_path USING (c) GROUP BY 1),
+ends AS (SELECT file_id, array_to_string(string_split(path, '/')[i:], '/') AS suffix FROM (SELECT file_id, path, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM cur WHERE lang = 'java')),
+sole AS (SELECT suffix, min(file_id) AS target_file_id FROM ends GROUP BY 1 HAVING count(*) = 1),
+java AS (SELECT import_id, target_file_id FROM src JOIN sole ON suffix = replace(regexp_replace(spec, '\\.\\*$', ''), '.', '/') || '.java' WHERE lang = 'java'),
+folders AS (SELECT {DIR.format(p='path')} AS folder, arg_min(file_id, {{p: path, f: file_id}}) AS target_file_id FROM cur WHERE ends_with(path, '.go') GROUP BY 1),
+go AS (SELECT import_id, target_file_id FROM (SELECT import_id, CASE WHEN spec = root OR starts_with(spec, root || '/') THEN spec ELSE root || '/' || spec END AS folder FROM src
+  WHERE lang = 'go' AND (spec = root OR contains(spec, '/'))) JOIN folders USING (folder)),
+spaces AS (SELECT root, space, arg_min(file_id, {{p: path, f: file_id}}) AS target_file_id FROM (SELECT string_split(f.path, '/')[1] AS root, coalesce(s.qualified_name, s.name) AS space, f.file_id, f.path
+  FROM sym s JOIN cur f USING (file_id) WHERE s.kind = 'namespace' AND f.lang = 'c_sharp') GROUP BY 1, 2),
+sharp AS (SELECT import_id, target_file_id FROM src JOIN spaces p ON p.root = src.root AND p.space = regexp_replace(regexp_replace(spec, '^static\\s+', ''), '^\\w+\\s*=\\s*', '') WHERE lang = 'c_sharp'),
+bases AS (SELECT string_split(path, '/')[1] AS root, {BASE.format(p='path')} AS base, min(file_id) AS target_file_id FROM cur GROUP BY 1, 2 HAVING count(DISTINCT file_id) = 1),
+cpp AS (SELECT import_id, target_file_id FROM src JOIN bases b ON b.root = src.root AND b.base = {BASE.format(p='spec')} WHERE lang = 'cpp' AND NOT starts_with(spec, '<')),
+rest_ AS (SELECT import_id, any_value(target_file_id) AS target_file_id FROM (SELECT * FROM go UNION ALL SELECT * FROM sharp UNION ALL SELECT * FROM cpp) WHERE import_id NOT IN (SELECT import_id FROM ruled) GROUP BY 1)"""
+
 ORACLES = {
     "counts_by_language": _with(CUR, SYM) + "SELECT lang, count(DISTINCT file_id) AS n_files, count(s.symbol_id) AS n_symbols FROM cur LEFT JOIN sym s USING (file_id) GROUP BY 1",
     "index_stats": _with(CUR, SYM, IMP, OCC, EDG)
@@ -151,6 +204,7 @@ SELECT ref_id, r.target, a.path AS user_path, owner_path FROM ref r JOIN ast a U
     "debounce_sessions": """WITH e AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS batch FROM e)
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n_events, count(DISTINCT event_type) AS n_types FROM b GROUP BY user_id, batch""",
+    "resolve_imports": _with(CUR, SYM, IMP, IMPORTS) + "SELECT * FROM ruled UNION ALL SELECT * FROM java UNION ALL SELECT * FROM rest_",
     "resolve_names": _with(CUR, SYM, IMP, NAMES) + "SELECT * FROM named",
     "resolve_occurrences": _with(CUR, SYM, IMP, OCC, NAMES) + "SELECT occ_id, n.symbol_id, n.confidence FROM occ o JOIN named n ON n.file_id = o.file_id AND n.name = o.name AND n.is_call = (o.role = 'call')",
     "resolve_bases": _with(CUR, SYM, IMP, BASES) + "SELECT * FROM based",

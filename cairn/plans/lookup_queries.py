@@ -112,6 +112,17 @@ def exact_knn(ix: Index) -> DataFrame:
     return near.withColumnRenamed("id", "chunk_id")
 
 
+def call_paths(ix: Index) -> DataFrame:
+    """The shortest call paths, of six steps at most, from the first symbol of each changed file to the twenty most called ones."""
+    calls = ix.edges.where("kind = 'calls'")
+    most = calls.where("dst_symbol_id is not null").groupBy(F.col("dst_symbol_id").alias("target_id")).agg(F.count(F.lit(1)).alias("n"))
+    most = most.orderBy(F.desc("n"), "target_id").limit(20).select("target_id")
+    first = ix.symbols.join(graph.changed_files(ix), "file_id", "left_semi").groupBy("file_id").agg(F.min("symbol_id").alias("source_id")).select("source_id")
+    pairs = first.crossJoin(F.broadcast(most))  # twenty targets
+    edges = calls.select(F.col("src_symbol_id").alias("at"), F.col("dst_symbol_id").alias("to"), F.col("confidence").alias("weight"))
+    return graph.shortest_paths(edges, pairs, 6, Scratch(ix.spark, "paths"))
+
+
 QUERIES = {
     "reference_rows": _on_index(lookups.reference_rows),
     "neighbours": _on_index(lookups.neighbours),
@@ -129,6 +140,7 @@ QUERIES = {
     "near_copies": _on_index(chunks.near_copy_links),
     "substring_search": _on_index(substring_search),
     "ego_graph": _on_index(ego_graph),
+    "call_paths": _on_index(call_paths),
     "greedy_pack": _on_index(packed_signatures),
     "snippets": _on_index(snippets),
     "vector_stats": _on_index(vector_stats),
@@ -231,6 +243,15 @@ ORACLES |= {
 e AS (SELECT src_symbol_id AS a, dst_symbol_id AS t FROM edg WHERE src_symbol_id <> dst_symbol_id UNION SELECT dst_symbol_id, src_symbol_id FROM edg WHERE src_symbol_id <> dst_symbol_id),
 hop(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE file_id IN (SELECT file_id FROM chg) UNION SELECT e.t, hop.depth + 1 FROM hop JOIN e ON e.a = hop.node WHERE hop.depth < 2)
 SELECT src_symbol_id, dst_symbol_id, kind FROM edg WHERE src_symbol_id IN (SELECT node FROM hop) AND dst_symbol_id IN (SELECT node FROM hop)""",
+    "call_paths": _with(SYM, EDG, CHG, recursive=True)[:-1] + """,
+src AS (SELECT min(symbol_id) AS s FROM sym WHERE file_id IN (SELECT file_id FROM chg) GROUP BY file_id),
+tgt AS (SELECT dst_symbol_id AS t FROM edg WHERE kind = 'calls' AND dst_symbol_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20),
+e AS (SELECT src_symbol_id AS a, dst_symbol_id AS t, confidence AS w FROM edg WHERE kind = 'calls' AND src_symbol_id <> dst_symbol_id),
+hop(s, node, depth) AS (SELECT s, s, 0 FROM src UNION SELECT hop.s, e.t, hop.depth + 1 FROM hop JOIN e ON e.a = hop.node WHERE hop.depth < 6),
+lev AS (SELECT s, node, min(depth) AS depth FROM hop GROUP BY 1, 2),
+par AS (SELECT l.s, l.node, arg_max(e.a, {w: e.w, n: -e.a}) AS via FROM lev l JOIN e ON e.t = l.node JOIN lev p ON p.s = l.s AND p.node = e.a AND p.depth = l.depth - 1 GROUP BY 1, 2),
+back(s, t, cur, path) AS (SELECT l.s, l.node, l.node, l.node::VARCHAR FROM lev l JOIN tgt ON tgt.t = l.node UNION ALL SELECT b.s, b.t, p.via, p.via || '>' || b.path FROM back b JOIN par p ON p.s = b.s AND p.node = b.cur)
+SELECT b.s AS source_id, b.t AS target_id, l.depth AS steps, b.path FROM back b JOIN lev l ON l.s = b.s AND l.node = b.t WHERE b.cur = b.s""",
     "greedy_pack": _with(SYM, recursive=True)[:-1] + r""",
 c AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY symbol_id) AS place, ceil(length(regexp_replace(signature, '\s+', ' ', 'g')) / 3.7)::BIGINT AS cost FROM sym WHERE signature IS NOT NULL QUALIFY place <= 8),
 p(file_id, place, spent, kept) AS (SELECT DISTINCT file_id, 0::BIGINT, 0::BIGINT, []::VARCHAR[] FROM c

@@ -79,6 +79,7 @@ def import_candidates(lang: Column, path: Column, spec: Column) -> Column:
         .when(lang == "gdscript", F.concat(godot, rooted(".gd")))
         .when(lang == "go", rooted(".go"))
         .when(lang == "c_sharp", rooted(".cs"))
+        .when(lang == "java", rooted(".java"))
         .when(lang == "cpp", quoted)
         .when(lang == "rust", rust)
         .otherwise(F.array().cast("array<string>"))
@@ -113,8 +114,8 @@ def resolve_imports(ix: Index) -> DataFrame:
     bases = files.groupBy(top("path").alias("root"), F.substring_index("path", "/", -1).alias("base")).agg(F.countDistinct("file_id").alias("n"), F.min("file_id").alias("target_file_id")).where("n = 1")
     quoted = rows.where("lang = 'cpp' and not startswith(specifier, '<')").select("import_id", top("path").alias("root"), F.substring_index("specifier", "/", -1).alias("base"))
     cpp = quoted.join(bases, ["root", "base"]).select("import_id", "target_file_id")
-    rest = go.unionByName(c_sharp).unionByName(cpp).join(ruled, "import_id", "left_anti")
-    return ruled.unionByName(java).unionByName(rest.dropDuplicates(["import_id"]))
+    rest = java.unionByName(go).unionByName(c_sharp).unionByName(cpp).join(ruled, "import_id", "left_anti")
+    return ruled.unionByName(rest.dropDuplicates(["import_id"]))
 
 
 def _stats(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -147,6 +147,7 @@ lists AS (SELECT import_id, CASE
     WHEN lang = 'gdscript' THEN list_concat(CASE WHEN starts_with(spec, 'res://') THEN [root || '/' || substr(spec, 7)] WHEN starts_with(spec, '.') THEN [near] ELSE []::VARCHAR[] END, {_ROOTED.format(end='.gd')})
     WHEN lang = 'go' THEN {_ROOTED.format(end='.go')}
     WHEN lang = 'c_sharp' THEN {_ROOTED.format(end='.cs')}
+    WHEN lang = 'java' THEN {_ROOTED.format(end='.java')}
     WHEN lang = 'cpp' THEN CASE WHEN NOT starts_with(spec, '<') THEN [near, {_join("root", "spec")}] END
     WHEN lang = 'rust' THEN CASE WHEN starts_with(spec, './') THEN [near || '.rs', near || '/mod.rs', root || '/src/' || substr(spec, 3) || '.rs', root || '/src/' || substr(spec, 3) || '/mod.rs']
       ELSE list_concat(CASE WHEN starts_with(spec, 'crate::') THEN list_concat({_PREFIXES.format(b="root || '/src'")}, {_PREFIXES.format(b='root')})
@@ -166,7 +167,7 @@ spaces AS (SELECT root, space, arg_min(file_id, {{p: path, f: file_id}}) AS targ
 sharp AS (SELECT import_id, target_file_id FROM src JOIN spaces p ON p.root = src.root AND p.space = regexp_replace(regexp_replace(spec, '^static\\s+', ''), '^\\w+\\s*=\\s*', '') WHERE lang = 'c_sharp'),
 bases AS (SELECT string_split(path, '/')[1] AS root, {BASE.format(p='path')} AS base, min(file_id) AS target_file_id FROM cur GROUP BY 1, 2 HAVING count(DISTINCT file_id) = 1),
 cpp AS (SELECT import_id, target_file_id FROM src JOIN bases b ON b.root = src.root AND b.base = {BASE.format(p='spec')} WHERE lang = 'cpp' AND NOT starts_with(spec, '<')),
-rest_ AS (SELECT import_id, any_value(target_file_id) AS target_file_id FROM (SELECT * FROM go UNION ALL SELECT * FROM sharp UNION ALL SELECT * FROM cpp) WHERE import_id NOT IN (SELECT import_id FROM ruled) GROUP BY 1)"""
+rest_ AS (SELECT import_id, any_value(target_file_id) AS target_file_id FROM (SELECT * FROM java UNION ALL SELECT * FROM go UNION ALL SELECT * FROM sharp UNION ALL SELECT * FROM cpp) WHERE import_id NOT IN (SELECT import_id FROM ruled) GROUP BY 1)"""
 
 ORACLES = {
     "counts_by_language": _with(CUR, SYM) + "SELECT lang, count(DISTINCT file_id) AS n_files, count(s.symbol_id) AS n_symbols FROM cur LEFT JOIN sym s USING (file_id) GROUP BY 1",
@@ -204,7 +205,7 @@ SELECT ref_id, r.target, a.path AS user_path, owner_path FROM ref r JOIN ast a U
     "debounce_sessions": """WITH e AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS batch FROM e)
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n_events, count(DISTINCT event_type) AS n_types FROM b GROUP BY user_id, batch""",
-    "resolve_imports": _with(CUR, SYM, IMP, IMPORTS) + "SELECT * FROM ruled UNION ALL SELECT * FROM java UNION ALL SELECT * FROM rest_",
+    "resolve_imports": _with(CUR, SYM, IMP, IMPORTS) + "SELECT * FROM ruled UNION ALL SELECT * FROM rest_",
     "resolve_names": _with(CUR, SYM, IMP, NAMES) + "SELECT * FROM named",
     "resolve_occurrences": _with(CUR, SYM, IMP, OCC, NAMES) + "SELECT occ_id, n.symbol_id, n.confidence FROM occ o JOIN named n ON n.file_id = o.file_id AND n.name = o.name AND n.is_call = (o.role = 'call')",
     "resolve_bases": _with(CUR, SYM, IMP, BASES) + "SELECT * FROM based",

@@ -36,6 +36,7 @@ SAMPLE_ROWS = 20_000  # bound (in expectation) of the rows centroids are fitted
 BLOCK_ROWS, CHUNK_ROWS = 4096, 16384
 COPY_ROWS = 2000  # copies of one vector that meet one task
 TILE = 1024
+LOOSE = 0.02  # share of a tile's pairs left after the first block of columns, above which going on by blocks doesn't pay
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -50,12 +51,40 @@ def reject_factor(columns: int, dims: int, epsilon: float) -> float:
     return min(1.0, columns / dims * (1 + epsilon / math.sqrt(columns)) ** 2) if columns < dims else 1.0
 
 
-def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (query row, data row, squared distance) within ``limit`` of each query, by column blocks."""
+def leading(x: np.ndarray) -> np.ndarray:
+    """The first block of columns, its squared length and a one: a product with ``asking`` gives partial squared distances."""
+    first = x[:, : CUTS[0]]
+    return np.concatenate([first, (first**2).sum(1, keepdims=True), np.ones((len(x), 1), np.float32)], axis=1).astype(np.float32)
+
+
+def asking(q: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+    """The other side of that product, less what each query rejects beyond."""
+    first = q[:, : CUTS[0]]
+    return np.concatenate([-2 * first, np.ones((len(q), 1), np.float32), (first**2).sum(1, keepdims=True) - threshold[:, None]], axis=1).astype(np.float32)
+
+
+def whole_scan(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of each query with its k nearest rows, those as near as the last of them included."""
+    dist = 2 - 2 * (q @ x.T)
+    last = np.partition(dist, k - 1, axis=1)[:, k - 1]
+    a, b = np.nonzero(dist <= last[:, None])
+    return a, b, dist[a, b]
+
+
+def adaptive_scan(q: np.ndarray, x: np.ndarray, ahead: np.ndarray, limit: np.ndarray, epsilon: float, k: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query row, data row, squared distance) within ``limit`` of each query, by column blocks; ahead: ``leading(x)``.
+
+    Where the first block rejects little, as at a list's beginning, and only the k nearest are asked for, the distances
+    are taken whole.
+    """
     first, dims = CUTS[0], q.shape[1]
-    part = (q[:, :first] ** 2).sum(1)[:, None] + (x[:, :first] ** 2).sum(1)[None, :] - 2 * (q[:, :first] @ x[:, :first].T)
-    a, b = np.nonzero(part <= (limit * reject_factor(first, dims, epsilon))[:, None])
-    dist, done = part[a, b], first
+    threshold = limit * reject_factor(first, dims, epsilon)
+    part = (asking(q, threshold) @ ahead.T).ravel()
+    hit = np.flatnonzero(part <= 1e-6)
+    if 0 < k < len(x) and len(hit) > LOOSE * len(part):
+        return whole_scan(q, x, k)
+    a, b = np.divmod(hit, len(x))
+    dist, done = part[hit] + threshold[a], first
     for cut in CUTS[1:]:
         step = q[a, done:cut] - x[b, done:cut]
         dist = dist + np.einsum("ij,ij->i", step, step)
@@ -67,12 +96,13 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, epsilon: floa
 def scan_block(q: np.ndarray, qid: np.ndarray, limit: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, epsilon: float):
     """The up to k nearest of x for each query below its limit (k = 0: all), tile by tile, tightening the limit."""
     out = []
+    ahead = leading(x)
     for i in range(0, len(q), TILE):
         qt, ids = q[i : i + TILE], qid[i : i + TILE]
         lim = limit[i : i + TILE].copy()
         a, b, d = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
         for j in range(0, len(x), TILE):
-            na, nb, nd = adaptive_scan(qt, x[j : j + TILE], lim, epsilon)
+            na, nb, nd = adaptive_scan(qt, x[j : j + TILE], ahead[j : j + TILE], lim, epsilon, k + 1 if k else 0)
             other = ids[na] != xid[j + nb]
             a, b, d = np.concatenate([a, na[other]]), np.concatenate([b, j + nb[other]]), np.concatenate([d, nd[other]])
             if k and len(a):
@@ -113,7 +143,8 @@ class ProbedLists:
             m = (m / np.linalg.norm(m, axis=1, keepdims=True)) @ turn
             return pd.Series([r.tobytes() for r in m.astype(np.float32)])
 
-        self.reps = self.scratch.save(groups.select("rep", "vec", rotated("vec").alias("r")), "reps")
+        # a hash in front of the array makes a sorting join compare whole arrays only where they are the same
+        self.reps = self.scratch.save(groups.select("rep", F.xxhash64("vec").alias("h"), "vec", rotated("vec").alias("r")), "reps")
         self.n = self.reps.count()
         self.n_lists = min(MAX_LISTS, max(1, math.ceil(self.n / list_rows)))
         probes = self.n_lists if exact else min(self.n_lists, max(n_probe, math.ceil(PROBE_GROWTH * math.sqrt(self.n_lists))))
@@ -136,6 +167,11 @@ class ProbedLists:
         visits = visits.agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
         self.shape = self.scratch.save(sizes.join(visits, "list"), "shape")
 
+    def members(self, rows: DataFrame) -> DataFrame:
+        """id, rep of every row."""
+        hashed = rows.select("id", F.xxhash64("vec").alias("h"), "vec")
+        return self.scratch.save(hashed.join(self.reps.select("h", "vec", "rep"), ["h", "vec"]).select("id", "rep"), "members")
+
     def _centroids(self) -> np.ndarray:
         if self.n_lists == 1:
             return np.zeros((1, DIMS), np.float32)
@@ -221,7 +257,7 @@ def similar_classes(df: DataFrame, id_col: str, vec_col: str, cosine: float, exa
     """Members (id, rep) and the pairs of representatives (rep_a < rep_b, cosine); copies aren't expanded."""
     rows = usable(df, id_col, vec_col)
     lists = ProbedLists(rows, epsilon=3.0, exact=exact)
-    members = lists.scratch.save(rows.join(lists.reps.select("vec", "rep"), "vec").select("id", "rep"), "members")
+    members = lists.members(rows)
     return members, lists.scratch.save(lists.within(cosine), "pairs"), lists
 
 
@@ -263,7 +299,7 @@ def nearest_rows(df: DataFrame, id_col: str, vec_col: str, k: int = 10, exact: b
     """
     rows = usable(df, id_col, vec_col)
     lists = ProbedLists(rows, exact=exact)
-    members = lists.scratch.save(rows.join(lists.reps.select("vec", "rep"), "vec").select("id", "rep"), "members")
+    members = lists.members(rows)
 
     def lowest(df: DataFrame, *by: str) -> DataFrame:
         order = Window.partitionBy(*by).orderBy("id")

@@ -39,7 +39,7 @@ COST = 0.5
 EPOCHS = 12
 UNSURE = -0.6  # margin from which an unlabelled row isn't used as a negative
 BY_LOOKS = ["generated", "minified", "data"]  # heads whose classifier needs no giveaway above its upper threshold
-SLACK = 0.25  # how far the lower threshold lies below the lowest margin of a labelled file there
+SLACK = 0.5  # how far the lower threshold lies below the lowest margin of a labelled file there
 # The notices of tools, in a comment, by language.
 NOTICE = re.compile(
     r"(?im)^[ \t]*(?://+|#+|/\*+!?|\*+|--|;+|<!--)[ \t]*(?!.*\b(?:not|no longer|isn't|never)\b.{0,20}generated)(?!.*\bmethod stub\b)(?:.*@generated\b|.*\bdo not (?:edit|modify)\b|(?:this (?:file|code) (?:is|was|has been) )?(?:auto-?generated|automatically generated|machine[- ](?:made|generated))\b|"

@@ -90,9 +90,10 @@ STAND_IN_WORDS = set(
 
 def stands_in(phrase: str) -> bool:
     """Whether a phrase, numbers aside, is nothing but stand-ins, said once or more, or one phrase over and over."""
-    words = phrase.split()
-    if not words:
+    first = phrase.split(None, 1)[0] if phrase.strip() else ""
+    if not first or not (first.lower() in STAND_IN_WORDS or first.isdigit() or phrase.count(first) > 1):
         return False
+    words = phrase.split()
     if words[0].lower() in STAND_IN_WORDS or words[0].isdigit():
         words = [w for w in words if not w.isdigit()]
         if words and words[0].lower() in STAND_IN_WORDS and all(STAND_INS.match(" ".join(p)) for p in _pieces(words)):
@@ -140,6 +141,8 @@ FURNITURE = re.compile(
 WEAK = r"(?i)\b(?:java ?script|scripts?|skripte|cookies|browser|error|fehler|erreur|denied|forbidden|not found|unavailable|available|permission|session|reload|refresh|expired|introuvable|gefunden|encontrada|gateway|requests)\b"
 
 WEAK_WORDS = re.compile(WEAK)
+# Every such word holds one of these.
+WEAK_STEMS = "script skripte cookie browser error fehler erreur denied forbidden found available permission session reload refresh expired introuvable gefunden encontrada gateway requests".split()
 
 
 def without_slots(text: str) -> str:
@@ -264,12 +267,16 @@ def _record(text: str | None) -> tuple:
     whole = "\x00" not in " ".join(solid) and "code" not in solid
     # a page of failures has no code or quotes, and a good part of its units say so
     talk = [(k, u) for k, u in kinds if k in ("text", "error")]
-    n_failing = sum(k == "error" or WEAK_WORDS.search(u) is not None for k, u in talk)
+    low = (text or "").lower()
+    weak = any(w in low for w in WEAK_STEMS)
+    n_failing = sum(k == "error" or (weak and WEAK_WORDS.search(u) is not None) for k, u in talk)
     page = bool(talk) and whole and n_failing >= FAILING * len(talk)
     # a phrase said three times or more is on trial as filler
     said: dict[str, int] = {}
     for u in solid:
-        key = " ".join(w for w in PUNCTUATION.sub(" ", u.lower()).split() if not w.isdigit())
+        key = PUNCTUATION.sub(" ", u.lower()).strip()
+        if DIGIT.search(key):
+            key = " ".join(w for w in key.split() if not w.isdigit())
         said[key] = said.get(key, 0) + 1
     echo = [k for k, n in said.items() if n >= 3 and k and 3 * n * 10 >= 8 * 3 * len(solid)]
     return (

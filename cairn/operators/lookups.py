@@ -119,17 +119,6 @@ def resolution_pass(ix: Index, scope: DataFrame, fresh: DataFrame) -> DataFrame:
     return upsert_edges(kept.unionByName(stale).unionByName(new.select(*ix.edges.columns)))
 
 
-def visible_files(ix: Index, most: int = 50) -> DataFrame:
-    """file_id, n_visible: files of the same namespace that a C# file sees without an import; larger groups than ``most`` see none."""
-    files = ix.files.where("lang = 'c_sharp'").select("file_id", F.substring_index("path", "/", 1).alias("root"))
-    spaces = ix.symbols.where("kind = 'namespace'").select("file_id", F.coalesce("qualified_name", "name").alias("space")).distinct().join(files, "file_id")
-    sizes = spaces.groupBy("root", "space").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most))
-    met = spaces.join(sizes, ["root", "space"])
-    others = met.select("root", "space", F.col("file_id").alias("other_id"))
-    seen = met.join(others, ["root", "space"]).where("file_id <> other_id").select("file_id", "other_id").distinct()
-    return seen.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_visible"))
-
-
 def name_positions(ix: Index, within: int = 5) -> DataFrame:
     """symbol_id, line: the first of a symbol's leading lines that holds its name as a word; null if none does."""
     texts = ix.raw("sources", "path", "content").where("content is not null").dropDuplicates(["path"])

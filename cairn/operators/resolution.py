@@ -118,6 +118,21 @@ def resolve_imports(ix: Index) -> DataFrame:
     return ruled.unionByName(rest.dropDuplicates(["import_id"]))
 
 
+def seen_without_import(ix: Index, most: int = 50) -> DataFrame:
+    """file_id, target: what a C# file sees of its repository besides single files: its own namespaces and those it uses.
+
+    Namespaces of more than ``most`` files show none of them.
+    """
+    files = ix.files.where("lang = 'c_sharp'").select("file_id", F.substring_index("path", "/", 1).alias("root"))
+    spaces = ix.symbols.where("kind = 'namespace'").select("file_id", F.coalesce("qualified_name", "name").alias("space")).join(files, "file_id").distinct()
+    sizes = spaces.groupBy("root", "space").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
+    members = spaces.join(sizes.select("root", "space"), ["root", "space"]).select("root", "space", F.col("file_id").alias("target"))
+    bare = F.regexp_replace(F.regexp_replace("specifier", r"^static\s+", ""), r"^\w+\s*=\s*", "")
+    used = ix.imports.where("specifier is not null").select("file_id", bare.alias("space")).join(files, "file_id").select("file_id", "root", "space")
+    pairs = used.unionByName(spaces.select("file_id", "root", "space")).distinct().join(members, ["root", "space"])
+    return pairs.where("file_id <> target").select("file_id", "target").distinct()
+
+
 def _stats(df: DataFrame, keys: list[str]) -> DataFrame:
     """Of the candidates under each key: how many, how many callable, and the lowest id of either."""
     call = F.col("kind").isin(CALLABLE)
@@ -135,8 +150,8 @@ def _preferred(df: DataFrame) -> DataFrame:
 def resolve_names(ix: Index) -> DataFrame:
     """file_id, name, is_call, symbol_id, confidence, tier for every name used in a file that can be resolved.
 
-    Tiers: 1 bound by an import (0.90); 2 same file (0.85, or 0.70 if several); 3 exported in an imported file (0.70, or
-    0.50 if several); 4 exported anywhere (0.60, or 0.35 for two to four). Several: the lowest id. Common names stop after 2.
+    Tiers: 1 bound by an import (0.90); 2 same file (0.85, or 0.70 if several); 3 exported in an imported file or one of a
+    namespace in sight (0.70, or 0.50 if several); 4 exported anywhere (0.60, or 0.35 for two to four). Several: the lowest id. Common names stop after 2.
     """
     uses = ix.raw("occurrences", "file_id", "name", "role").where("name is not null and file_id is not null")
     uses = uses.select("file_id", "name", (F.col("role") == "call").alias("is_call")).distinct()
@@ -156,7 +171,7 @@ def resolve_names(ix: Index) -> DataFrame:
     common = F.broadcast(ubiquitous(ix))  # a fixed list of a few hundred words
     langs = ix.files.select("file_id", "lang")
     rest = uses.join(langs, "file_id").join(common, (F.col("lang") == F.col("ulang")) & (F.col("name") == F.col("uname")), "left_anti").drop("lang")
-    targets = imports.select("file_id", F.col("resolved_file_id").alias("target")).distinct()
+    targets = imports.select("file_id", F.col("resolved_file_id").alias("target")).unionByName(seen_without_import(ix)).distinct()
     near = rest.join(targets, "file_id").join(by_file, ["target", "name"]).groupBy("file_id", "name", "is_call").agg(
         F.sum("n").alias("n"), F.sum("n_call").alias("n_call"), F.min("low").alias("low"), F.min("low_call").alias("low_call")
     )

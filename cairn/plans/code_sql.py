@@ -40,6 +40,11 @@ ENCLOSING = """inside AS (SELECT o.occ_id, o.resolved_symbol_id, o.confidence, s
   WHERE o.role = 'call' AND o.resolved_symbol_id IS NOT NULL),
 enc AS (SELECT occ_id, resolved_symbol_id, confidence, enclosing_symbol_id FROM inside WHERE rn = 1)"""
 
+VISIBLE = r"""spaced AS (SELECT DISTINCT file_id, string_split(path, '/')[1] AS root, coalesce(qualified_name, name) AS space FROM sym JOIN cur USING (file_id) WHERE kind = 'namespace' AND lang = 'c_sharp'),
+shows AS (SELECT root, space FROM spaced GROUP BY 1, 2 HAVING count(*) <= 50),
+looks AS (SELECT file_id, root, space FROM spaced UNION SELECT i.file_id, string_split(f.path, '/')[1], regexp_replace(regexp_replace(specifier, '^static\s+', ''), '^\w+\s*=\s*', '') FROM imp i JOIN cur f USING (file_id) WHERE f.lang = 'c_sharp' AND specifier IS NOT NULL),
+visible AS (SELECT DISTINCT a.file_id, b.file_id AS t FROM looks a JOIN shows USING (root, space) JOIN spaced b USING (root, space) WHERE a.file_id <> b.file_id)"""
+
 _COMMON = ", ".join("('%s', '%s')" % (lang, n.replace("'", "''")) for lang, names in UBIQUITOUS.items() for n in names)
 _CALL = _in(CALLABLE)
 NAMES = f"""common(lang, name) AS (VALUES {_COMMON}),
@@ -49,7 +54,7 @@ bound AS (SELECT file_id, name, arg_max(resolved_file_id, import_id) AS target F
 cand AS (
   SELECT u.file_id, u.name, u.is_call, 1 AS tier, s.symbol_id, s.kind FROM uses u JOIN bound b USING (file_id, name) JOIN sym s ON s.file_id = b.target AND s.name = u.name AND s.is_exported
   UNION ALL SELECT u.file_id, u.name, u.is_call, 2, s.symbol_id, s.kind FROM uses u JOIN sym s USING (file_id, name)
-  UNION ALL SELECT u.file_id, u.name, u.is_call, 3, s.symbol_id, s.kind FROM rest u JOIN (SELECT DISTINCT file_id, resolved_file_id AS t FROM imp WHERE resolved_file_id IS NOT NULL) i USING (file_id)
+  UNION ALL SELECT u.file_id, u.name, u.is_call, 3, s.symbol_id, s.kind FROM rest u JOIN (SELECT file_id, resolved_file_id AS t FROM imp WHERE resolved_file_id IS NOT NULL UNION SELECT file_id, t FROM visible) i USING (file_id)
     JOIN sym s ON s.file_id = i.t AND s.name = u.name AND s.is_exported),
 rest AS (SELECT u.* FROM uses u JOIN cur f USING (file_id) WHERE NOT EXISTS (SELECT 1 FROM common c WHERE c.lang = f.lang AND c.name = u.name)),
 per AS (SELECT file_id, name, is_call, tier, count(*) AS n, count(*) FILTER (WHERE kind IN {_CALL}) AS nc, min(symbol_id) AS low, min(symbol_id) FILTER (WHERE kind IN {_CALL}) AS lowc FROM cand GROUP BY 1, 2, 3, 4),
@@ -206,8 +211,8 @@ SELECT ref_id, r.target, a.path AS user_path, owner_path FROM ref r JOIN ast a U
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS batch FROM e)
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n_events, count(DISTINCT event_type) AS n_types FROM b GROUP BY user_id, batch""",
     "resolve_imports": _with(CUR, SYM, IMP, IMPORTS) + "SELECT * FROM ruled UNION ALL SELECT * FROM rest_",
-    "resolve_names": _with(CUR, SYM, IMP, NAMES) + "SELECT * FROM named",
-    "resolve_occurrences": _with(CUR, SYM, IMP, OCC, NAMES) + "SELECT occ_id, n.symbol_id, n.confidence FROM occ o JOIN named n ON n.file_id = o.file_id AND n.name = o.name AND n.is_call = (o.role = 'call')",
+    "resolve_names": _with(CUR, SYM, IMP, VISIBLE, NAMES) + "SELECT * FROM named",
+    "resolve_occurrences": _with(CUR, SYM, IMP, OCC, VISIBLE, NAMES) + "SELECT occ_id, n.symbol_id, n.confidence FROM occ o JOIN named n ON n.file_id = o.file_id AND n.name = o.name AND n.is_call = (o.role = 'call')",
     "resolve_bases": _with(CUR, SYM, IMP, BASES) + "SELECT * FROM based",
     "call_edges": _with(OCC, SYM, ENCLOSING) + "SELECT enclosing_symbol_id AS src_symbol_id, resolved_symbol_id AS dst_symbol_id, 'calls' AS kind, max(confidence) AS confidence, 'index' AS provenance FROM enc WHERE enclosing_symbol_id <> resolved_symbol_id GROUP BY 1, 2",
     "type_edges": _with(CUR, SYM, IMP, BASES) + "SELECT symbol_id AS src_symbol_id, base_symbol_id AS dst_symbol_id, base_kind AS kind, max(confidence) AS confidence, 'index' AS provenance FROM based GROUP BY 1, 2, 3",

@@ -123,6 +123,11 @@ def call_paths(ix: Index) -> DataFrame:
     return graph.shortest_paths(edges, pairs, 6, Scratch(ix.spark, "paths"))
 
 
+def visible_files(ix: Index) -> DataFrame:
+    """How many files each C# file sees over namespaces."""
+    return resolution.seen_without_import(ix).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_visible"))
+
+
 QUERIES = {
     "reference_rows": _on_index(lookups.reference_rows),
     "neighbours": _on_index(lookups.neighbours),
@@ -132,7 +137,7 @@ QUERIES = {
     "removal_status": _on_index(lookups.removal_status),
     "removal_cascade": _on_index(lookups.removal_cascade),
     "resolution_pass": _on_index(scoped_resolution),
-    "visible_files": _on_index(lookups.visible_files),
+    "visible_files": _on_index(visible_files),
     "name_positions": _on_index(lookups.name_positions),
     "call_hierarchy": _on_index(caller_levels),
     "type_hierarchy": _on_index(subtype_levels),
@@ -206,10 +211,7 @@ own AS (SELECT symbol_id FROM sym WHERE file_id IN (SELECT file_id FROM scope)),
 kept AS (SELECT * FROM edg WHERE provenance IS DISTINCT FROM 'index' OR src_symbol_id NOT IN (SELECT symbol_id FROM own)
   UNION ALL SELECT enclosing_symbol_id, resolved_symbol_id, 'calls', max(confidence), 'index' FROM enc WHERE enclosing_symbol_id <> resolved_symbol_id AND enclosing_symbol_id IN (SELECT symbol_id FROM own) GROUP BY 1, 2)
 SELECT src_symbol_id, dst_symbol_id, kind, max(confidence) AS confidence, arg_max(provenance, {c: confidence, p: provenance}) AS provenance FROM kept GROUP BY 1, 2, 3""",
-    "visible_files": _with(CUR, SYM)
-    + """, sp AS (SELECT DISTINCT file_id, string_split(path, '/')[1] AS root, coalesce(qualified_name, name) AS space FROM sym JOIN cur USING (file_id) WHERE kind = 'namespace' AND lang = 'c_sharp'),
-ok AS (SELECT root, space FROM sp GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 50)
-SELECT a.file_id, count(DISTINCT b.file_id) AS n_visible FROM sp a JOIN ok USING (root, space) JOIN sp b USING (root, space) WHERE a.file_id <> b.file_id GROUP BY 1""",
+    "visible_files": _with(CUR, SYM, IMP, code_sql.VISIBLE) + "SELECT file_id, count(*) AS n_visible FROM visible GROUP BY 1",
     "name_positions": _with(CUR, SYM, _LINES)
     + """SELECT symbol_id, (start_line + place - 1)::INTEGER AS line FROM (SELECT symbol_id, start_line,
   list_min(list_filter(list_transform(list_slice(lines, start_line, start_line + 4), lambda x, i: CASE WHEN list_contains(regexp_split_to_array(x, '[^A-Za-z0-9_]+'), name) THEN i END), lambda i: i IS NOT NULL)) AS place

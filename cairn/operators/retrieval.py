@@ -67,6 +67,27 @@ def prefix_matches(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.where("n = n_terms").select("query_id", "symbol_id")
 
 
+def phrase_matches(symbols: DataFrame, queries: DataFrame, column: str) -> DataFrame:
+    """query_id, symbol_id of the symbols whose column holds the query's words (phrase array) one after the other.
+
+    The last word may be the beginning of one. Queries of a single word or none match nothing here. Each query meets the
+    postings of its rarest whole word, then the places are compared.
+    """
+    asked = queries.where(F.size("phrase") > 1).select("query_id", "phrase").distinct()
+    whole = F.slice("phrase", F.lit(1), F.size("phrase") - 1)
+    keys = asked.select("query_id", "phrase", F.explode(F.array_distinct(whole)).alias("term"))
+    docs = symbols.select("symbol_id", words(F.col(column)).alias("said"))
+    posts = docs.select("symbol_id", F.explode(F.array_distinct("said")).alias("term")).join(keys.select("term").distinct(), "term", "left_semi")
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a word that no symbol holds leaves its query without a match
+    rarest = keys.join(df, "term", "left").groupBy("query_id", "phrase").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("term"))
+    met = rarest.join(posts, "term").join(docs, "symbol_id")
+    n = F.size("phrase")
+    at = F.when(F.size("said") >= n, F.sequence(F.lit(1), F.size("said") - n + 1)).otherwise(F.array().cast("array<int>"))
+    here = lambda i: (F.slice("said", i, n - 1) == F.slice("phrase", F.lit(1), n - 1)) & F.startswith(F.element_at("said", i + n - 1), F.element_at("phrase", -1))
+    return met.where(F.exists(at, here)).select("query_id", "symbol_id")
+
+
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """query_id, symbol_id, score, rank of two ranked lists (query_id, symbol_id, rank), by reciprocal ranks."""
     both = first.select("query_id", "symbol_id", F.col("rank").alias("a")).join(second.select("query_id", "symbol_id", F.col("rank").alias("b")), ["query_id", "symbol_id"], "full")

@@ -128,6 +128,13 @@ def visible_files(ix: Index) -> DataFrame:
     return resolution.seen_without_import(ix).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_visible"))
 
 
+def phrase_search(ix: Index) -> DataFrame:
+    """Every dotted qualified name as a phrase: how many symbols' qualified names hold it, and the first and last of them."""
+    names = ix.symbols.where("qualified_name like '%.%'").select(F.col("qualified_name").alias("query_id")).distinct()
+    hits = retrieval.phrase_matches(ix.symbols, names.select("query_id", retrieval.words(F.col("query_id")).alias("phrase")), "qualified_name")
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("symbol_id").alias("first_id"), F.max("symbol_id").alias("last_id"))
+
+
 QUERIES = {
     "reference_rows": _on_index(lookups.reference_rows),
     "neighbours": _on_index(lookups.neighbours),
@@ -144,6 +151,7 @@ QUERIES = {
     "chunk_builder": _on_index(chunk_digests),
     "near_copies": _on_index(chunks.near_copy_links),
     "substring_search": _on_index(substring_search),
+    "phrase_search": _on_index(phrase_search),
     "ego_graph": _on_index(ego_graph),
     "call_paths": _on_index(call_paths),
     "greedy_pack": _on_index(packed_signatures),
@@ -254,6 +262,12 @@ lev AS (SELECT s, node, min(depth) AS depth FROM hop GROUP BY 1, 2),
 par AS (SELECT l.s, l.node, arg_max(e.a, {w: e.w, n: -e.a}) AS via FROM lev l JOIN e ON e.t = l.node JOIN lev p ON p.s = l.s AND p.node = e.a AND p.depth = l.depth - 1 GROUP BY 1, 2),
 back(s, t, cur, path) AS (SELECT l.s, l.node, l.node, l.node::VARCHAR FROM lev l JOIN tgt ON tgt.t = l.node UNION ALL SELECT b.s, b.t, p.via, p.via || '>' || b.path FROM back b JOIN par p ON p.s = b.s AND p.node = b.cur)
 SELECT b.s AS source_id, b.t AS target_id, l.depth AS steps, b.path FROM back b JOIN lev l ON l.s = b.s AND l.node = b.t WHERE b.cur = b.s""",
+    "phrase_search": _with(SYM)[:-1] + r""",
+q AS (SELECT DISTINCT qualified_name AS query_id, regexp_extract_all(lower(qualified_name), '[a-z0-9_$]+') AS p FROM sym WHERE qualified_name LIKE '%.%'),
+d AS (SELECT symbol_id, regexp_extract_all(lower(coalesce(qualified_name, '')), '[a-z0-9_$]+') AS t FROM sym),
+f AS (SELECT symbol_id, t, unnest(list_distinct(t)) AS w FROM d)
+SELECT query_id, count(*) AS n_hits, min(symbol_id) AS first_id, max(symbol_id) AS last_id FROM q JOIN f ON f.w = q.p[1] AND len(p) > 1
+WHERE len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 2] = p[1:len(p) - 1] AND starts_with(t[i + len(p) - 1], p[len(p)]))) > 0 GROUP BY 1""",
     "greedy_pack": _with(SYM, recursive=True)[:-1] + r""",
 c AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY symbol_id) AS place, ceil(length(regexp_replace(signature, '\s+', ' ', 'g')) / 3.7)::BIGINT AS cost FROM sym WHERE signature IS NOT NULL QUALIFY place <= 8),
 p(file_id, place, spent, kept) AS (SELECT DISTINCT file_id, 0::BIGINT, 0::BIGINT, []::VARCHAR[] FROM c

@@ -58,3 +58,11 @@ def test_rank_fusion(spark):
     b = spark.createDataFrame([("q", 2, 1), ("q", 3, 2)], "query_id string, symbol_id long, rank int")
     out = {r["symbol_id"]: (r["rank"], r["score"]) for r in fuse(a, b, 5).collect()}
     assert out[2] == (1, round(1 / 62 + 1 / 61, 9)) and out[1][0] == 2 and out[3][0] == 3
+
+
+def test_phrases(spark):
+    from cairn.operators.retrieval import phrase_matches
+
+    symbols = spark.createDataFrame([(1, "UserService.findAll"), (2, "user.service.find"), (3, "a.user.service.finder.x"), (4, None), (5, "service.user")], "symbol_id long, qualified_name string")
+    queries = spark.createDataFrame([("q1", ["user", "service", "fi"]), ("q2", ["userservice", "f"]), ("q3", ["service"]), ("q4", []), ("q5", None), ("q6", ["nobody", "x"]), ("q7", ["service", "user"])], "query_id string, phrase array<string>")
+    assert {tuple(r) for r in phrase_matches(symbols, queries, "qualified_name").collect()} == {("q1", 2), ("q1", 3), ("q2", 1), ("q7", 5)}

@@ -54,17 +54,16 @@ def _by_id(refs: DataFrame, known: DataFrame, removed: DataFrame) -> DataFrame:
     return odd.join(gone, F.col("ref") == F.col("gid"), "left").select("row_id", reason.alias("reason"), "period_day")
 
 
-def direct_orphans(t: dict[str, DataFrame]) -> DataFrame:
+def direct_orphans(t: dict[str, DataFrame], of_file: DataFrame, symbols: DataFrame) -> DataFrame:
     """src_table, field_name, row_id, reason, period_day.
 
-    t: files, symbols, imports, occurrences, assets, asset_refs, removals.
+    t: files, imports, occurrences, assets, asset_refs, removals. of_file: fid, path, lang, period_day of the current files;
+    symbols: symbol_id and the period_day of their files.
     """
-    files = current_files(t["files"])
-    days = files.select(F.col("file_id").alias("fid"), F.col("first_day").alias("period_day"))
+    days = of_file.select("fid", "period_day")
     removals = t["removals"].select("rec_table", F.col("rec_id").alias("id"))
-    known_files = files.select(F.col("file_id").alias("id"), F.col("first_day").alias("day"))
-    symbols = t["symbols"].where("symbol_id is not null").groupBy(F.col("symbol_id").alias("id")).agg(F.min("file_id").alias("sfile"))
-    known_symbols = symbols.join(known_files.withColumnRenamed("id", "kf"), F.col("sfile") == F.col("kf"), "left").select("id", "day")
+    known_files = of_file.select(F.col("fid").alias("id"), F.col("period_day").alias("day"))
+    known_symbols = symbols.select(F.col("symbol_id").alias("id"), F.col("period_day").alias("day"))
 
     occ = t["occurrences"].where("resolved_symbol_id is not null").select(
         F.col("occ_id").alias("row_id"), "file_id", F.col("resolved_symbol_id").alias("ref")
@@ -72,7 +71,6 @@ def direct_orphans(t: dict[str, DataFrame]) -> DataFrame:
     occ = occ.join(days, F.col("file_id") == F.col("fid"), "left").select("row_id", "ref", "period_day")
     found = [_by_id(occ, known_symbols, removals.where("rec_table = 'symbols'")).withColumns({"src_table": F.lit("occurrences"), "field_name": F.lit("resolved_symbol_id")})]
 
-    of_file = files.select(F.col("file_id").alias("fid"), "path", "lang", F.col("first_day").alias("period_day"))
     imports = t["imports"].select(F.col("import_id").alias("row_id"), "file_id", "specifier", F.col("resolved_file_id").alias("ref"))
     imports = imports.join(of_file, F.col("file_id") == F.col("fid"), "left")
     found.append(
@@ -99,7 +97,7 @@ def direct_orphans(t: dict[str, DataFrame]) -> DataFrame:
     )
     refs = t["asset_refs"].where("target is not null").select(F.col("ref_id").alias("row_id"), "asset_id", "target_kind", "target").distinct()
     refs = refs.join(assets, F.col("asset_id") == F.col("aid"), "left")
-    on_disk = files.select(F.col("path").alias("p"), F.col("first_day").alias("day"))
+    on_disk = of_file.select(F.col("path").alias("p"), F.col("period_day").alias("day"))
     old = t["files"].select(F.col("path").alias("p"), F.lit(None).cast("string").alias("day"))
     there = (
         on_disk.unionByName(old)
@@ -217,7 +215,9 @@ def orphan_cascade(t: dict[str, DataFrame]) -> DataFrame:
     occurrences and edges that refer to any of them inherit.
     """
     scratch = Scratch(t["symbols"].sparkSession, "orphans")
-    files = scratch.save(current_files(t["files"]).select(F.col("file_id").alias("fid"), F.col("first_day").alias("period_day")), "files")
+    of_file = current_files(t["files"]).select(F.col("file_id").alias("fid"), "path", "lang", F.col("first_day").alias("period_day"))
+    of_file = scratch.save(of_file, "files")
+    files = of_file.select("fid", "period_day")
     symbols = (
         t["symbols"].where("symbol_id is not null").groupBy("symbol_id").agg(F.min("file_id").alias("file_id"), F.min("parent_symbol_id").alias("parent"))
     )
@@ -259,7 +259,7 @@ def orphan_cascade(t: dict[str, DataFrame]) -> DataFrame:
             (F.col("level") + 1).alias("level"),
         )
         edges = part if edges is None else edges.unionByName(part)
-    direct = direct_orphans(t).withColumn("row_key", none).unionByName(owner_orphans(t, files, symbols)).withColumn("level", F.lit(0).cast("bigint"))
+    direct = direct_orphans(t, of_file, symbols).withColumn("row_key", none).unionByName(owner_orphans(t, files, symbols)).withColumn("level", F.lit(0).cast("bigint"))
     out = direct.select(ALL_COLUMNS)
     for more in (own_rows, heirs, uses.distinct(), edges):
         out = out.unionByName(more.select(ALL_COLUMNS))

@@ -300,6 +300,7 @@ def doc_pairs(symbols: DataFrame, files: DataFrame, sources: DataFrame, with_cod
 
     files: file_id, path, lang (one row each).
     """
+    files = files.select("file_id", "path", "lang")
     wanted = symbols.where(F.col("kind").isin(*KINDS) & F.col("doc_comment").isNotNull() & F.col("symbol_id").isNotNull())
     wanted = wanted.select("symbol_id", "file_id", "name", "start_line", "signature", F.col("doc_comment").alias("doc")).dropDuplicates(["symbol_id"])
     texts = sources.where("content is not null").select(F.col("path").alias("p"), "content").dropDuplicates(["p"])

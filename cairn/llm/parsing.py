@@ -511,7 +511,8 @@ def check_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     language: files meet hashes, and only one copy of each text is shuffled to where it is parsed.
     """
     sha = F.sha2("content", 256).alias("sha")
-    texts = sources.where("content is not null and path is not null")
+    files = files.select("file_id", "path", "lang")
+    texts = sources.select("path", "content").where("content is not null and path is not null")
     hashed = files.join(texts.select(F.col("path").alias("p"), sha).distinct(), F.col("path") == F.col("p")).select("file_id", "lang", "sha")
     wanted = hashed.select("sha", "lang").distinct()
     once = texts.select(sha, "content").dropDuplicates(["sha"])

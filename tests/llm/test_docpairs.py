@@ -53,6 +53,8 @@ def test_pairs_table(spark):
     rows = {r["symbol_id"]: r for r in dp.doc_pairs(symbols, files, sources).collect()}
     assert set(rows) == {1, 3} and rows[1]["code"] == "def a(x):\n    return x" and rows[1]["comment"] == "# Never throws." and rows[1]["readable"]
     assert dp.doc_pairs(symbols.limit(0), files, sources).count() == 0
+    clash = files.selectExpr("*", "1 AS p", "2 AS fid", "3 AS lid", "'x' AS content", "'y' AS code")
+    assert {r["symbol_id"] for r in dp.doc_pairs(symbols.selectExpr("*", "1 AS fid", "'z' AS comment"), clash, sources.selectExpr("*", "1 AS file_id", "'go' AS lang")).collect()} == {1, 3}
 
 
 @pytest.mark.parametrize(

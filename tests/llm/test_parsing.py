@@ -70,6 +70,8 @@ def test_table(spark):
     assert out[1]["valid"] and out[2]["valid"] is False and out[2]["error_token"] == "end of file" and out[4]["valid"] is None and out[5]["valid"] is None
     assert out[7]["valid"] is False and out[8]["valid"] is False and out[6]["valid"]
     assert parsing.check_files(files.limit(0), sources).count() == 0
+    clash = files.selectExpr("*", "1 AS sha", "2 AS p", "3 AS as_lang", "'x' AS content")
+    assert parsing.check_files(clash, sources.selectExpr("*", "1 AS sha", "'go' AS lang")).count() == 7
 
 
 @pytest.mark.parametrize("lang", sorted(VALID))

@@ -131,8 +131,7 @@ def visible_files(ix: Index) -> DataFrame:
 def phrase_search(ix: Index) -> DataFrame:
     """Every dotted qualified name as a phrase: how many symbols' qualified names hold it, and the first and last of them."""
     names = ix.symbols.where("qualified_name like '%.%'").select(F.col("qualified_name").alias("query_id")).distinct()
-    hits = retrieval.phrase_matches(ix.symbols, names.select("query_id", retrieval.words(F.col("query_id")).alias("phrase")), "qualified_name")
-    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("symbol_id").alias("first_id"), F.max("symbol_id").alias("last_id"))
+    return retrieval.phrase_counts(ix.symbols, names.select("query_id", retrieval.words(F.col("query_id")).alias("phrase")), "qualified_name")
 
 
 QUERIES = {

@@ -125,3 +125,13 @@ def heavy_keys(values: DataFrame, delivered: DataFrame, share: float) -> DataFra
     counts = values.groupBy("key").agg(F.sum("c").alias("n_rows"))
     # one row with one number
     return counts.crossJoin(F.broadcast(total)).where(F.col("n_rows") >= F.col("total_rows") * F.lit(share)).select("key", "n_rows")
+
+
+def heavy_figures(
+    df: DataFrame, key: str, source: str, value: str, share: float, quantiles: Sequence[float] = (0.25, 0.5, 0.75)
+) -> DataFrame:
+    """What ``key_figures`` gives, for the keys with at least ``share`` of the rows delivered only."""
+    heavy = heavy_keys(histogram(df, key, value), df, share).select(F.col("key").alias("heavy_key"))
+    heavy = Scratch(df.sparkSession, "heavy").save(heavy, "keys")
+    # at most 1 / share keys
+    return key_figures(df.join(F.broadcast(heavy), F.col(key).cast("string") == F.col("heavy_key"), "left_semi"), key, source, value, quantiles)

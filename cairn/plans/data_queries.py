@@ -33,10 +33,10 @@ HOT_TABLES = [("edges", "dst_symbol_id", "src_symbol_id"), ("occurrences", "name
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The heavy keys by their figures; their rows alone make them heavy."""
     out = None
-    for name, key, _ in HOT_TABLES:
-        rows = table(spark, d, name, key, "confidence")
-        heavy = hotkeys.heavy_keys(hotkeys.histogram(rows, key, "confidence"), rows, 0.02)
+    for name, key, source in HOT_TABLES:
+        heavy = hotkeys.heavy_figures(table(spark, d, name, key, source, "confidence"), key, source, "confidence", 0.02)
         part = heavy.select(F.lit(name).alias("src_table"), F.col("key").alias("heavy_key"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -53,3 +53,23 @@ def test_empty_and_heavy(spark):
     more = df.unionByName(spark.createDataFrame([(None, 1.0, 5)] * 20, df.schema))
     assert {r["key"] for r in heavy_keys(histogram(more, "k", "v"), more, 0.02).collect()} == {"a"}
     assert heavy_keys(histogram(df.limit(0), "k", "v"), df.limit(0), 0.02).count() == 0
+
+
+def test_found_keys_come_with_all_their_figures(spark, tmp_path, monkeypatch):
+    from cairn.operators import hotkeys
+    from cairn.plans.data_queries import p3_found
+
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(400)}", rng.randrange(40), rng.choice([rng.random(), None])) for _ in range(3000)] + [(None, 1, 0.5)] * 20
+    spark.createDataFrame(rows, "name string, file_id long, confidence double").write.parquet(f"{tmp_path}/occurrences.parquet")
+    spark.createDataFrame(rows, "dst_symbol_id string, src_symbol_id long, confidence double").write.parquet(f"{tmp_path}/edges.parquet")
+    selected = []
+    real = hotkeys.select_quantiles
+    monkeypatch.setattr(hotkeys, "select_quantiles", lambda values, *more: selected.append({r["key"] for r in values.select("key").distinct().collect()}) or real(values, *more))
+    assert {tuple(r) for r in p3_found(spark, str(tmp_path)).collect()} == {("edges", "hot"), ("occurrences", "hot")}
+    assert selected == [{"hot"}, {"hot"}]
+    df = spark.createDataFrame(rows, "k string, s long, c double")
+    got = {r["key"]: r for r in hotkeys.heavy_figures(df, "k", "s", "c", 0.02).collect()}
+    values = [v for k, _, v in rows if k == "hot" and v is not None]
+    assert set(got) == {"hot"} and got["hot"]["n_rows"] == sum(k == "hot" for k, *_ in rows)
+    assert [got["hot"][p] for p in ("p25", "p50", "p75")] == [rank(values, q) for q in (0.25, 0.5, 0.75)]

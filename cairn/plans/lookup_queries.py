@@ -130,8 +130,9 @@ def visible_files(ix: Index) -> DataFrame:
 
 def phrase_search(ix: Index) -> DataFrame:
     """Every dotted qualified name as a phrase: how many symbols' qualified names hold it, and the first and last of them."""
-    names = ix.symbols.where("qualified_name like '%.%'").select(F.col("qualified_name").alias("query_id")).distinct()
-    return retrieval.phrase_counts(ix.symbols, names.select("query_id", retrieval.words(F.col("query_id")).alias("phrase")), "qualified_name")
+    texts = retrieval.distinct_texts(ix.symbols, "qualified_name")
+    names = texts.where("qualified_name like '%.%'").select(F.col("qualified_name").alias("query_id"), retrieval.words(F.col("qualified_name")).alias("phrase"))
+    return retrieval.phrase_counts(texts, names, "qualified_name")
 
 
 QUERIES = {
